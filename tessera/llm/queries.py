@@ -17,6 +17,15 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.topk_search import integer_vectors, topk_search
+
+    table = _table(spark, sf_dir, "embeddings")
+    rows = integer_vectors(table)
+    n = table.count()
+    return topk_search(rows, rows.filter("id_ % 50 = 0"), n, -(-n // 50), k=5)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_counts import token_counts
 
@@ -30,11 +39,25 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_counts, op5_best_fit_packing]
+    found = [op1_maxscore_topk, op4_token_counts, op5_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_maxscore_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+            from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+        ), r as (
+            select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s
+        )
+        select query_id, rank, vec_id, score from r where rank <= 5
+    """,
+}
 
 
 def oracle_sql() -> dict[str, str]:
