@@ -26,6 +26,18 @@ def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(rows, rows.filter("id_ % 50 = 0"), n, -(-n // 50), k=5)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_counts import token_counts
 
@@ -39,7 +51,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_maxscore_topk, op4_token_counts, op5_best_fit_packing]
+    found = [op1_maxscore_topk, op2_toxicity, op4_token_counts, op5_best_fit_packing, op9_quality]
     return {f.__name__: f for f in found}
 
 
