@@ -1,18 +1,23 @@
-"""Toxicity: class-conditional Kneser-Ney models of the letters in words.
-
-Two models predict each letter of a word from the four before it, one from
-the labelled toxic texts and one from the ordinary ones.  Both subtract a
-discount from their own counts and hand what it frees to one shared backoff:
-Kneser-Ney continuation counts (in how many different surroundings a letter
-sequence occurs) of both classes together, down to single letters.  A rare
-expression thus gets what its parts say.  A text is scored by the difference
-of the two log-likelihoods for each word of it, calibrated by isotonic
-regression on training rows that the counts have not seen.
-
-The counts come from all labelled training texts: word counts are summed by
-a shuffle, and the letter sequences of the words counted by another.  What
-the tasks need for scoring are tables of hashed cells whose number is fixed
-(about 25 MB), whatever the input.
+"""Toxicity: class-conditional Kneser-Ney models of words, letter by letter.
+
+Two models spell a word from its start, each letter given all before it: one
+learnt from the labelled toxic texts, one from the ordinary ones.  Both
+subtract a discount from their own counts and hand what it frees to one shared
+backoff, the counts of both classes together.  So a rare expression gets what
+its beginning says, and a beginning that neither class knows says nothing.
+Counts are Kneser-Ney continuation counts: in how many different surroundings
+(after how many different words) a word occurs, estimated from a mask of 64
+hashed predecessors.  Copies of a text therefore count once.
+
+A text is scored by the difference of the two log-likelihoods for each word of
+it, calibrated by isotonic regression on training rows that the counts have
+not seen.  Of every word's difference the part within ``DEAD_ZONE`` nats of
+none is left out: it is the noise of the smaller class.
+
+The counts come from all labelled training texts: words are combined by a
+shuffle, and then the beginnings of words.  What the tasks need for scoring is
+a table of ``2**TABLE_BITS`` cells (20 bytes each), whatever the input; where
+two beginnings meet in a cell the more frequent one stays, told by its tag.
 
 Defined results: null texts count as empty; empty texts get the share of toxic
 training rows.  Every row gets its score, repeated ids too; a null id counts
@@ -22,7 +27,7 @@ Only doc_id and text are read, so extra columns do no harm.
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +38,13 @@ from pyspark.sql import functions as F
 from tessera.llm.calibration import BROADCAST_LABELS, Isotonic, fit_isotonic, training_labels
 from tessera.llm.common import CACHE_ENTRIES, GOLDEN, fold, materialise, mix64, ship_package
 
-ORDER = 5
+#: Letters of a word that are looked at, discount, nats of each word's difference that count as noise.
+DEPTH = 12
 DISCOUNT = 0.75
-DEAD_ZONE = 1.5
-#: log2 of the number of hashed cells of the sequences of 1 to 5 letters, and of their contexts.
-CELLS = (12, 16, 18, 19, 20)
-CONTEXTS = (0, 12, 16, 18, 19)
+DEAD_ZONE = 2.5
+#: Beginnings counted less often than this, in both classes together, are not kept.
+LEAST = 2
+TABLE_BITS = 20
 
 
 def word_of(chunk: str) -> str:
@@ -47,129 +53,136 @@ def word_of(chunk: str) -> str:
     return low if low.isalnum() else "".join(c for c in low if c.isalnum())
 
 
-def sequences(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """For each letter of the words (and the end of each): the word's index, hashes of the last 1..5 letters, hashes of what is before."""
-    spelt = np.frombuffer("".join([f"\x02\x02\x02\x02{w}\x03" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes + 4)
-    index = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(len(index)) + 4 * (index + 1)
-    del ends
-    grams, before = [], []
-    context = np.full(len(at), 7, np.uint64)
-    suffix: list[np.ndarray] = []
-    for k in range(ORDER):  # context of k letters: letters at-k .. at-1, hashed from the nearest outwards
-        suffix.append(context)
-        if k + 1 < ORDER:
-            context = (context ^ spelt[at - k - 1]) * GOLDEN
-            context = context ^ (context >> np.uint64(29))
-    for k in range(ORDER):
-        before.append(mix64(suffix[k] + np.uint64(k)))
-        grams.append(mix64((suffix[k] + spelt[at]) * GOLDEN + np.uint64(k)))
-    return index, grams, before
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word, toxic, ordinary: how often each word occurs in the texts of either class, from rows (text, y_)."""
+class _Predecessor(dict):
+    """Word -> one of 64 bits."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        got = self[word] = 1 << (zlib.crc32(word.encode("utf-8", "surrogatepass")) & 63)
+        return got
+
+
+def beginnings(words: list[str]) -> np.ndarray:
+    """Row by row the hashes of a word's first 0, 1, ... ``DEPTH`` letters (and its end); 0 where it has no so many."""
+    out = np.zeros((len(words), DEPTH + 1), np.uint64)
+    if not words:
+        return out
+    cut = [w[:DEPTH] if len(w) >= DEPTH else w + "\x03" for w in words]
+    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+    letters = np.zeros((len(cut), DEPTH), np.uint64)
+    letters[np.arange(DEPTH)[None, :] < sizes[:, None]] = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = np.full(len(cut), 0x51ED270B, np.uint64)
+    out[:, 0] = mix64(h)
+    for k in range(DEPTH):
+        h = (h ^ letters[:, k]) * GOLDEN
+        h ^= h >> np.uint64(29)
+        out[:, k + 1] = np.where(k < sizes, np.maximum(mix64(h + np.uint64(k)), np.uint64(1)), np.uint64(0))
+    return out
+
+
+def word_surroundings(rows: DataFrame) -> DataFrame:
+    """word, toxic, ordinary: masks of the words before it in the texts of either class, from rows (text, y_)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Counter(), Counter()
+        bits = _Predecessor()
+        masks: tuple[dict[str, int], dict[str, int]] = {}, {}
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                both[int(y)].update((text or "").split())
-            if len(both[0]) + len(both[1]) > 2 * CACHE_ENTRIES:
-                yield out(*both)
-                both = Counter(), Counter()
-        yield out(*both)
-
-    def out(ordinary: Counter, toxic: Counter) -> pa.RecordBatch:
+                mine, before = masks[int(y)], ""
+                for chunk in (text or "").split():
+                    mine[chunk] = mine.get(chunk, 0) | bits[before]
+                    before = chunk
+                if len(masks[0]) + len(masks[1]) > 2 * CACHE_ENTRIES:
+                    yield out(*masks)
+                    masks = {}, {}
+        yield out(*masks)
+
+    def out(ordinary: dict[str, int], toxic: dict[str, int]) -> pa.RecordBatch:
         words: dict[str, list[int]] = {}
-        for k, counts in enumerate((toxic, ordinary)):
-            for chunk, n in counts.items():
+        for k, found in enumerate((toxic, ordinary)):
+            for chunk, mask in found.items():
                 word = word_of(chunk)
                 if word:
-                    words.setdefault(word, [0, 0])[k] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), *(pa.array([v[k] for v in words.values()], pa.int64()) for k in (0, 1))], names=["word", "toxic", "ordinary"])
+                    words.setdefault(word, [0, 0])[k] |= mask
+        masks = np.array(list(words.values()), np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(masks[:, 0]), pa.array(masks[:, 1])], names=["word", "toxic", "ordinary"])
 
-    counted = rows.select("text", "y_").mapInArrow(run, "word string, toxic long, ordinary long")
-    return counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    found = rows.select("text", "y_").mapInArrow(run, "word string, toxic long, ordinary long")
+    return found.groupBy("word").agg(F.bit_or("toxic").alias("toxic"), F.bit_or("ordinary").alias("ordinary"))
 
 
-def sequence_counts(words: DataFrame) -> DataFrame:
-    """g5 .. g1, c5 .. c2, toxic, ordinary: each sequence of five letters once, with its suffixes, contexts and counts."""
-    names = [f"g{k}" for k in range(ORDER, 0, -1)] + [f"c{k}" for k in range(ORDER, 1, -1)]
+def beginning_counts(words: DataFrame) -> DataFrame:
+    """key, toxic, ordinary, toxic_kinds, ordinary_kinds: each beginning once, with its counts and its different next letters in either class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            index, grams, before = sequences(b.column(0).to_pylist())
-            keys, first, which = np.unique(grams[-1], return_index=True, return_inverse=True)
-            columns = [g[first].view(np.int64) for g in grams[::-1]] + [c[first].view(np.int64) for c in before[:0:-1]]
-            n = [np.bincount(which, b.column(k).to_numpy()[index], len(keys)).astype(np.int64) if len(keys) else np.zeros(0, np.int64) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in [*columns, *n]], names=[*names, "toxic", "ordinary"])
-
-    rows = words.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "toxic", "ordinary"]))
-    return rows.groupBy("g5").agg(*[F.min(n).alias(n) for n in names[1:]], F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
-class LetterModels:
-    """The two class models over their shared backoff, in hashed cells."""
-
-    def __init__(self) -> None:
-        self.tables: dict[str, np.ndarray] = {}
-
-    def put(self, name: str, bits: int, rows: list, columns: dict[str, str]) -> None:
-        for column, label in columns.items():
-            table = np.zeros(1 << bits, np.float32)
-            if rows:
-                table[np.array([r["cell"] for r in rows])] = [float(r[column]) for r in rows]
-            self.tables[f"{name}{label}"] = table
+            h = beginnings(b.column(0).to_pylist())
+            at = h[:, 1:] != 0
+            keys, first, which = np.unique(h[:, 1:][at], return_index=True, return_inverse=True)
+            above = h[:, :-1][at][first]
+            row = np.nonzero(at)[0]
+            n = [np.bincount(which, b.column(k).to_numpy()[row], len(keys)) if len(keys) else np.zeros(0) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), above.view(np.int64), *n)], names=["key", "above", "toxic", "ordinary"])
+
+    # Linear counting: of 64 cells this many are taken.
+    several = lambda c: F.round(-64 * F.log(1 - F.least(F.bit_count(c).cast("double"), F.lit(63.5)) / 64))
+    rows = words.select("word", several("toxic").alias("t"), several("ordinary").alias("o")).mapInArrow(run, "key long, above long, toxic double, ordinary double")
+    once = rows.groupBy("key").agg(F.min("above").alias("above"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    none = F.lit(0.0)
+    own = once.select("key", "toxic", "ordinary", none.alias("tk"), none.alias("ok"))
+    # The root's counts are the sums of its children's.
+    root = F.col("above") == F.lit(int(beginnings(["a"])[0, 0].view(np.int64)))
+    kinds = once.select(F.col("above"), F.when(root, F.col("toxic")).otherwise(0.0), F.when(root, F.col("ordinary")).otherwise(0.0), (F.col("toxic") > 0).cast("double"), (F.col("ordinary") > 0).cast("double"))
+    return own.union(kinds).groupBy("key").agg(*[F.sum(c).alias(n) for c, n in (("toxic", "toxic"), ("ordinary", "ordinary"), ("tk", "toxic_kinds"), ("ok", "ordinary_kinds"))])
+
+
+class PrefixModels:
+    """The two class models over their shared backoff, in a table of fixed size."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int = TABLE_BITS):
+        """``counts``: rows of toxic, ordinary, toxic_kinds, ordinary_kinds; of keys that meet, the last stays."""
+        self.bits = bits
+        self.tags = np.zeros(1 << bits, np.uint32)
+        self.counts = np.zeros((1 << bits, 4), np.float32)
+        cell, tag = self._place(keys)
+        self.tags[cell], self.counts[cell] = tag, counts
+
+    def _place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys & np.uint64((1 << self.bits) - 1)).astype(np.int64), (keys >> np.uint64(32)).astype(np.uint32)
 
     def log_ratio(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary), less the dead zone."""
-        if not words:
-            return np.zeros(0)
-        index, grams, before = sequences(words)
-        t = self.tables
-        cell = lambda h, bits: (h & np.uint64((1 << bits) - 1)).astype(np.int64)
-        one = t["g1n"][cell(grams[0], CELLS[0])]
-        p = (one + 0.1) / (t["g1n"].sum() + 0.1 * len(t["g1n"]))
-        for k in range(2, ORDER + 1):
-            c, g = cell(before[k - 1], CONTEXTS[k - 1]), cell(grams[k - 1], CELLS[k - 1])
-            mixed = lambda n, total, kinds, p=p, g=g, c=c: np.where(t[total][c] > 0, (np.maximum(t[n][g] - DISCOUNT, 0) + DISCOUNT * t[kinds][c] * p) / np.maximum(t[total][c], 1), p)
-            p = mixed(f"g{k}n", f"c{k}n", f"c{k}k")
-        ratio = np.log(mixed("g5t", "c5t", "c5tk", p)) - np.log(mixed("g5o", "c5o", "c5ok", p))
-        whole = np.bincount(index, ratio, len(words))
-        return np.sign(whole) * np.maximum(np.abs(whole) - DEAD_ZONE, 0.0)
-
-
-def fit_letter_models(rows: DataFrame) -> LetterModels:
-    """Count all training rows (text, y_); the driver gets cells of fixed number."""
-    five = materialise(sequence_counts(word_counts(rows)), "letter-sequences")
-    model = LetterModels()
-
-    def cells(df: DataFrame, column: str, bits: int, **sums) -> list:
-        cell = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-        return df.groupBy(cell.alias("cell")).agg(*[v.alias(k) for k, v in sums.items()]).collect()
-
-    t, o = F.sum("toxic"), F.sum("ordinary")
-    model.put("g5", CELLS[4], cells(five, "g5", CELLS[4], t=t, o=o, n=t + o), {k: k for k in ("t", "o", "n")})
-    kinds = {"n": t + o, "k": F.count("*"), "tk": F.sum((F.col("toxic") > 0).cast("int")), "ok": F.sum((F.col("ordinary") > 0).cast("int"))}
-    model.put("c5", CONTEXTS[4], cells(five, "c5", CONTEXTS[4], t=t, o=o, **kinds), {k: k for k in ("t", "o", "n", "k", "tk", "ok")})
-    longer = five
-    for k in range(ORDER - 1, 0, -1):
-        rest = [f"g{j}" for j in range(k - 1, 0, -1)] + [f"c{j}" for j in range(k, 1, -1)]
-        shorter = longer.groupBy(f"g{k}").agg(F.count("*").alias("n"), *[F.min(x).alias(x) for x in rest])
-        model.put(f"g{k}", CELLS[k - 1], cells(shorter, f"g{k}", CELLS[k - 1], n=F.sum("n")), {"n": "n"})
-        if k > 1:
-            model.put(f"c{k}", CONTEXTS[k - 1], cells(shorter, f"c{k}", CONTEXTS[k - 1], n=F.sum("n"), k=F.count("*")), {"n": "n", "k": "k"})
-        longer = shorter
-    return model
+        h = beginnings(words)
+        total = np.zeros(len(words))
+        cell, tag = self._place(h)
+        known = (self.tags[cell] == tag) & (h != 0)
+        alive = known[:, 0]
+        for k in range(1, DEPTH + 1):
+            alive = alive & known[:, k]
+            if not alive.any():
+                break
+            above, here = self.counts[cell[alive, k - 1]].astype(np.float64), self.counts[cell[alive, k]].astype(np.float64)
+            alone = (here[:, 0] + here[:, 1]) / np.maximum(above[:, 0] + above[:, 1], 1.0)
+            p = [np.where(above[:, c] > 0, (np.maximum(here[:, c] - DISCOUNT, 0) + DISCOUNT * above[:, c + 2] * alone) / np.maximum(above[:, c], 1.0), alone) for c in (0, 1)]
+            total[alive] += np.log(p[0]) - np.log(p[1])
+        return np.sign(total) * np.maximum(np.abs(total) - DEAD_ZONE, 0.0)
+
+
+def fit_prefix_models(rows: DataFrame) -> PrefixModels:
+    """Count all training rows (text, y_); the driver gets at most one row for each cell."""
+    counts = beginning_counts(word_surroundings(rows)).filter(F.col("toxic") + F.col("ordinary") >= LEAST)
+    cell = F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+    most = F.struct((F.col("toxic") + F.col("ordinary")).alias("n"), "key", "toxic", "ordinary", "toxic_kinds", "ordinary_kinds")
+    kept = counts.groupBy(cell.alias("cell")).agg(F.max(most).alias("m")).select("m.key", "m.toxic", "m.ordinary", "m.toxic_kinds", "m.ordinary_kinds").toArrow()
+    columns = [kept.column(k).to_numpy() for k in range(5)]
+    return PrefixModels(columns[0].view(np.uint64), np.stack(columns[1:], axis=1) if kept.num_rows else np.zeros((0, 4)))
 
 
 class _Ratios(dict):
     """Chunk -> log ratio of its word; filled for many chunks at once, emptied when full."""
 
-    def __init__(self, model: LetterModels):
+    def __init__(self, model: PrefixModels):
         super().__init__()
         self.model = model
 
@@ -228,7 +241,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
     few = F.broadcast(marks) if head["n"] <= BROADCAST_LABELS else marks
     train = docs.select("doc_id", "text").join(few, "doc_id")
     usable = bool(head["toxic"] and head["ordinary"])
-    shared = spark.sparkContext.broadcast(fit_letter_models(train.filter("fold_ <> 4")) if usable else None)
+    shared = spark.sparkContext.broadcast(fit_prefix_models(train.filter("fold_ <> 4")) if usable else None)
 
     def known() -> _Ratios:
         if id(shared) not in _RATIOS:
