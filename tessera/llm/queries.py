@@ -50,8 +50,20 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), max_tokens=4096, end_id=1, with_ids=False)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import line_dedup
+
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat_format import chat_format
+
+    return chat_format(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_maxscore_topk, op2_toxicity, op4_token_counts, op5_best_fit_packing, op9_quality]
+    found = [op1_maxscore_topk, op2_toxicity, op4_token_counts, op5_best_fit_packing, op6_line_dedup, op7_chat_format, op9_quality]
     return {f.__name__: f for f in found}
 
 
@@ -69,6 +81,27 @@ ORACLE: dict[str, str] = {
         )
         select query_id, rank, vec_id, score from r where rank <= 5
     """,
+    "op6_line_dedup": """
+        with l as (
+            select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents
+        ), t as (select *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as x from l),
+        b as (
+            select x, min(doc_id) as first from t where x <> ''
+            group by x having count(distinct coalesce('s' || source, 'n')) >= 5
+        ), k as (
+            select t.doc_id, t.line, t.pos, b.x is not null and t.doc_id is distinct from b.first as gone from t left join b on t.x = b.x
+        ), c as (
+            select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as text, count(*) filter (gone) as n_removed from k group by doc_id
+        )
+        select d.doc_id, case when d.text is null then null else coalesce(c.text, '') end as text, coalesce(c.n_removed, 0) as n_removed
+        from documents d left join c on d.doc_id = c.doc_id
+    """,
+    "op7_chat_format": """
+        select conv_id, turn, coalesce(role, 'unknown') as role,
+            lpad(turn::varchar, 12, '0') || '/0/' || lpad(turn::varchar, 12, '0') as order_key, 'ok' as status,
+            to_json({'content': coalesce(text, ''), 'role': coalesce(role, 'unknown')})::varchar as json
+        from conversations
+    """,
 }
 
 
