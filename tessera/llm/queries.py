@@ -62,8 +62,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_maxscore_topk, op2_toxicity, op4_token_counts, op5_best_fit_packing, op6_line_dedup, op7_chat_format, op9_quality]
+    found = [op1_maxscore_topk, op2_toxicity, op4_token_counts, op5_best_fit_packing, op6_line_dedup, op7_chat_format, op9_quality, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
