@@ -9,7 +9,6 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,30 +77,52 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """White-space separated chunk -> 64-bit hash of its letters and digits in lower case; 0 if it has none.
+def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each byte of a lower-case text: is it part of a word, is it white space, and a random odd value."""
+    word = np.zeros(256, bool)
+    word[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+    space = np.zeros(256, bool)
+    space[[*range(9, 14), *range(28, 33)]] = True
+    return word, space, mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN) | np.uint64(1)
+
+
+_WORD, _SPACE, _VALUE = _byte_tables()
+_BASE = 0xD1342543DE82EF95
+_UNBASE = pow(_BASE, -1, 2**64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    Bounded: emptied when full, which changes nothing but speed.
-    """
 
-    def __missing__(self, chunk: str) -> int:
-        word = chunk.lower()
-        if not word.isalnum():
-            word = "".join(c for c in word if c.isalnum())
-        value = (xxhash.xxh3_64_intdigest(word) or 1) if word else 0
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[chunk] = value
-        return value
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * len(_POWERS[0]), 1 << 16)
+        for k, base in enumerate((_BASE, _UNBASE)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS
 
 
-def word_hashes(text: str | None, cache: WordHashes) -> np.ndarray:
-    """Hashes of the words of a text in order; chunks without letters or digits are no words."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order.
+
+    A word is what stands between white space, in lower case and without
+    punctuation (of ASCII); chunks of punctuation alone are no words.  The
+    hash is a polynomial in the word's bytes, so that running sums over the
+    whole text give those of all its words at once.
+    """
     if not text:
         return np.zeros(0, np.uint64)
-    chunks = text.split()
-    out = np.fromiter(map(cache.__getitem__, chunks), np.uint64, len(chunks))
-    return out if out.all() else out[out != 0]
+    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    data = data[(_WORD | _SPACE)[data]]
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _WORD[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * power[: len(data)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import GOLDEN, WordHashes, materialise, mix64, shingle_hashes, ship_package, shuffle_partitions, word_hashes
+from tessera.llm.common import GOLDEN, materialise, mix64, shingle_hashes, ship_package, shuffle_partitions, word_hashes
 
 WIDTH, SIMILARITY, RUNS = 5, 0.8, 8
 #: Sets of a bucket up to which it is compared without splitting it further.
@@ -45,9 +45,9 @@ LIMIT = 256
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 
 
-def shingle_set(text: str | None, cache: WordHashes, width: int = WIDTH) -> np.ndarray:
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    return np.unique(shingle_hashes(word_hashes(text, cache), width))
+    return np.unique(shingle_hashes(word_hashes(text), width))
 
 
 def chosen(tokens: np.ndarray, node: int, similarity: float) -> np.ndarray:
@@ -75,12 +75,11 @@ def set_table(docs: DataFrame, width: int, runs: int, similarity: float) -> Data
     """doc_id, key (of the shingle set), n (its size), paths, of every row with an id and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         kind = pa.list_(pa.struct([("a", pa.int64()), ("kids", pa.list_(pa.struct([("b", pa.int64()), ("c", pa.list_(pa.int64()))])))]))
         for batch in batches:
             ids, keys, sizes, found = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, cache, width)
+                s = shingle_set(text, width)
                 if len(s):
                     ids.append(i)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -198,7 +197,6 @@ def compare(sets: DataFrame, homes: DataFrame, docs: DataFrame, width: int, simi
     texts = docs.select(F.col("doc_id").alias("one"), "text").join(tasks, "one")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         names = ["bucket", "i", "j", "block", "key", "copies", "homes", "members"]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -210,7 +208,7 @@ def compare(sets: DataFrame, homes: DataFrame, docs: DataFrame, width: int, simi
             rows, waiting = [], 0
             cols = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("text", "key", "copies", "homes")]
             for text, key, copies, own in zip(*cols, strict=True):
-                s = shingle_set(text, cache, width)
+                s = shingle_set(text, width)
                 if xxhash.xxh3_128_digest(s.tobytes()) != key:
                     continue  # another text of a repeated id
                 data = s.tobytes()

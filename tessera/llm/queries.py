@@ -38,6 +38,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_counts import token_counts
 
@@ -69,7 +75,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_maxscore_topk, op2_toxicity, op4_token_counts, op5_best_fit_packing, op6_line_dedup, op7_chat_format, op9_quality, op10_jaccard_join]
+    found = [op1_maxscore_topk, op2_toxicity, op3_decontaminate, op4_token_counts, op5_best_fit_packing, op6_line_dedup, op7_chat_format, op9_quality, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
