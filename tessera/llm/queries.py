@@ -68,6 +68,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.jaccard_join import jaccard_join
 
@@ -75,8 +81,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_maxscore_topk, op2_toxicity, op3_decontaminate, op4_token_counts, op5_best_fit_packing, op6_line_dedup, op7_chat_format, op9_quality, op10_jaccard_join]
-    return {f.__name__: f for f in found}
+    found = [op1_maxscore_topk, op2_toxicity, op3_decontaminate, op4_token_counts, op5_best_fit_packing, op6_line_dedup, op7_chat_format, op8_html_extract, op9_quality, op10_jaccard_join]
+    import corpus_pipeline
+
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 ORACLE: dict[str, str] = {

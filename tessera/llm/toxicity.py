@@ -227,46 +227,72 @@ def ratio_of_texts(texts: list[str | None], ratios: _Ratios) -> np.ndarray:
     return out
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document.
+class ToxicityScorer:
+    """Scores texts: the shared models, the calibration and the base rate. Sent to the tasks as it is."""
+
+    def __init__(self, shared, curve: Isotonic, base: float):
+        self.shared, self.curve, self.base = shared, curve, base
+
+    def raw(self, texts: list[str | None]) -> np.ndarray:
+        """Before calibration; NaN without words."""
+        key = id(self.shared)
+        if key not in _RATIOS:
+            _RATIOS.clear()
+            _RATIOS[key] = _Ratios(self.shared.value)
+        return 16.0 * ratio_of_texts(texts, _RATIOS[key])
 
-    Folds 1 to 3 of the ids give the counts, fold 4 the calibration; fold 0 is held out.
-    """
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        if self.shared is None:
+            return np.full(len(texts), self.base)
+        raw = self.raw(texts)
+        return np.where(np.isnan(raw), self.base, self.curve(np.nan_to_num(raw)))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityScorer:
+    """Learn from the labelled rows of folds 1 to 4: folds 1 to 3 give the counts, fold 4 the calibration."""
     spark = docs.sparkSession
     ship_package(spark)
     marks = training_labels(labels, "toxic").filter(fold(F.col("doc_id")) != 0)
     marks = materialise(marks.withColumn("fold_", fold(F.col("doc_id"))), "toxicity-labels")
     head = marks.agg(F.count("*").alias("n"), F.avg("y_").alias("p"), F.count_if(F.expr("fold_ <> 4 and y_ = 1")).alias("toxic"), F.count_if(F.expr("fold_ <> 4 and y_ = 0")).alias("ordinary")).first()
-    base = head["p"] if head["n"] else 0.5
+    scorer = ToxicityScorer(None, Isotonic(np.zeros(0), np.zeros(0), np.zeros(0)), head["p"] if head["n"] else 0.5)
+    if not (head["toxic"] and head["ordinary"]):
+        return scorer
     few = F.broadcast(marks) if head["n"] <= BROADCAST_LABELS else marks
     train = docs.select("doc_id", "text").join(few, "doc_id")
-    usable = bool(head["toxic"] and head["ordinary"])
-    shared = spark.sparkContext.broadcast(fit_prefix_models(train.filter("fold_ <> 4")) if usable else None)
-
-    def known() -> _Ratios:
-        if id(shared) not in _RATIOS:
-            _RATIOS.clear()
-            _RATIOS[id(shared)] = _Ratios(shared.value)
-        return _RATIOS[id(shared)]
+    scorer.shared = spark.sparkContext.broadcast(fit_prefix_models(train.filter("fold_ <> 4")))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = ratio_of_texts(b.column(0).to_pylist(), known())
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(np.isnan(got), None, 16.0 * got), pa.float64()), b.column(1)], names=["raw", "y_"])
+            got = scorer.raw(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64(), from_pandas=True), b.column(1)], names=["raw", "y_"])
 
-    curve = Isotonic(np.zeros(0), np.zeros(0), np.zeros(0))
-    if usable:
-        curve = fit_isotonic(train.filter("fold_ = 4").select("text", "y_").mapInArrow(raw, "raw double, y_ double").filter("raw is not null"))
+    scorer.curve = fit_isotonic(train.filter("fold_ = 4").select("text", "y_").mapInArrow(raw, "raw double, y_ double").filter("raw is not null"))
+    return scorer
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, held_out (fold 0), score, predicted of every document."""
+    scorer = fit_toxicity(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.full(b.num_rows, base)
-            if usable:
-                x = ratio_of_texts(b.column(2).to_pylist(), known())
-                got = np.where(np.isnan(x), base, curve(np.nan_to_num(16.0 * x)))
+            got = scorer(b.column(2).to_pylist())
             held = pa.array(b.column(1).to_numpy(zero_copy_only=False) == 0)
             yield pa.RecordBatch.from_arrays([b.column(0), held, pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=["c0", "c1", "c2", "c3"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", fold(F.col("doc_id")).alias("fold_"), "text")
     return rows.mapInArrow(score, f"c0 {kind}, c1 boolean, c2 double, c3 int").toDF("doc_id", "held_out", "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose score reaches the threshold."""
+    scorer = fit_toxicity(docs, labels)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(scorer(b.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
