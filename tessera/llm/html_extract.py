@@ -211,7 +211,8 @@ class DomModel:
                 if node.parent >= 0:
                     for y in (0, 1):
                         weight[node.parent][y] += weight[k][y]
-            state = [int(w[1] * 2 > w[0] + w[1]) for w in weight]
+            # A marked element's state is its mark; one around parts of both kinds is what most of its text is.
+            state = [int(node.mark == "1") if node.mark else int(w[1] * 2 > w[0] + w[1]) for node, w in zip(nodes, weight, strict=True)]
             for k, node in enumerate(nodes):
                 y = state[k]
                 if node.parent >= 0:
@@ -323,6 +324,11 @@ def training_pages(n: int = 400, seed: int = 7) -> list[str]:
             out.insert(r.randrange(len(out) + 1), f'<div{named("ad", "ads", "advert", "sponsored", "promo")} data-content="0">{prose()}</div>')
         if r.random() < 0.25:
             out.insert(r.randrange(len(out) + 1), r.choice([f'<aside{named("related", "share", "widget")} data-content="0">{links()}</aside>', f'<form data-content="0"><label>{sentence(1, 3)}</label><button>{word()}</button></form>', f'<div{named("newsletter", "notice", "subscribe")} data-content="0"><p>{prose()}</p></div>', f'<div{named("share", "tags", "social")} data-content="0">{links()}</div>']))
+        if r.random() < 0.15:
+            several = "".join(f"<p>{prose()}</p>" if r.random() < 0.5 else f'<div{named("comment", "reply")}><p>{prose()}</p></div>' for _ in range(r.randint(1, 4)))
+            out.append(f'<{(t := r.choice(["div", "section", "ul"]))}{named("comments", "comment", "discussion")} data-content="0"><h3>{word()}</h3>{several}</{t}>')
+        if r.random() < 0.1:
+            out.insert(0, f'<header data-content="1"><h1>{sentence(2, 8)}</h1></header>')
         return "".join(out)
 
     def page() -> str:
