@@ -327,8 +327,6 @@ def training_pages(n: int = 400, seed: int = 7) -> list[str]:
         if r.random() < 0.15:
             several = "".join(f"<p>{prose()}</p>" if r.random() < 0.5 else f'<div{named("comment", "reply")}><p>{prose()}</p></div>' for _ in range(r.randint(1, 4)))
             out.append(f'<{(t := r.choice(["div", "section", "ul"]))}{named("comments", "comment", "discussion")} data-content="0"><h3>{word()}</h3>{several}</{t}>')
-        if r.random() < 0.1:
-            out.insert(0, f'<header data-content="1"><h1>{sentence(2, 8)}</h1></header>')
         return "".join(out)
 
     def page() -> str:
