@@ -1 +1 @@
-
+"""Column expressions: everything stays in the JVM."""

@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from tessera.plans import q_vectors  # noqa: F401
