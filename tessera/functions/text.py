@@ -79,10 +79,14 @@ def task_type(query: Column) -> Column:
     return first_match(query, [(n, "|".join(w)) for n, w in TASKS], "understand")
 
 
+def _like(pattern: str):
+    return lambda word: word.rlike(pattern)
+
+
 def attack_plan(query: Column) -> Column:
     """The plan that most words of a query speak for."""
     words = F.split(F.lower(query), r"\s+")
-    scores = [F.size(F.filter(words, lambda w, p="|".join(kws): w.rlike(p))) for _, kws in PLANS]
+    scores = [F.size(F.filter(words, _like("|".join(kws)))) for _, kws in PLANS]
     best = F.greatest(*scores)
     out = F.when(best == 0, PLANS[0][0])
     for (name, _), s in zip(PLANS, scores, strict=True):
