@@ -57,11 +57,11 @@ def q04(spark, d):
     return _quantized(spark, d).select("vec_id", F.round("scale", 9).alias("scale"), F.array_join(F.col("data").cast("array<string>"), ",").alias("data"))
 
 
-@query("q05_dequantize", f"{_QUANTIZED} select vec_id, round(list_sum(list_transform(data, lambda x: x::double * scale)), 6) as total, case when data[1] = 0 then 0.0::double else round(data[1]::double * scale, 6) end as first from z")
+@query("q05_dequantize", f"{_QUANTIZED} select vec_id, round(list_sum(list_transform(data, lambda x: x::double * scale)), 6) + 0.0::double as total, case when data[1] = 0 then 0.0::double else round(data[1]::double * scale, 6) end as first from z")
 def q05(spark, d):
     back = V.dequantize(F.col("data"), F.col("scale"))
     z = _quantized(spark, d).withColumn("back", back)
-    return z.select("vec_id", F.round(F.aggregate("back", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.when(F.col("data")[0] == 0, F.lit(0.0)).otherwise(F.round(F.col("back")[0], 6)).alias("first"))
+    return z.select("vec_id", (F.round(F.aggregate("back", F.lit(0.0), lambda s, x: s + x), 6) + F.lit(0.0)).alias("total"), F.when(F.col("data")[0] == 0, F.lit(0.0)).otherwise(F.round(F.col("back")[0], 6)).alias("first"))
 
 
 @query(
