@@ -50,32 +50,37 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text), width))
 
 
-def chosen(tokens: np.ndarray, node: int, similarity: float) -> np.ndarray:
-    """The tokens of a set that are chosen at a node, as the child nodes they lead to."""
-    h = mix64((tokens ^ np.uint64(node)) * GOLDEN)
-    limit = min(1.0, 1.0 / (similarity * len(tokens)))
-    return mix64(h[h <= np.uint64(min(2**64 - 1, int(limit * 2.0**64)))] ^ np.uint64(node))
-
-
-def paths(tokens: np.ndarray, runs: int, similarity: float) -> list[tuple[int, list[tuple[int, list[int]]]]]:
-    """(node, [(child, [grandchild, ...]), ...]) for each node of the first level, over all runs."""
-    out = []
-    for run in range(runs):
-        start = (run + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1
-        for a in chosen(tokens, start, similarity).tolist():
-            out.append((a, [(b, chosen(tokens, b, similarity).tolist()) for b in chosen(tokens, a, similarity).tolist()]))
-    return out
-
-
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
+def chosen(tokens: np.ndarray, nodes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a set that are chosen at each of several nodes: positions of nodes, and the child nodes they lead to."""
+    limit = np.uint64(min(2**64 - 1, int(min(1.0, 1.0 / (similarity * len(tokens))) * 2.0**64)))
+    where, child = [], []
+    step = max(1, 2_000_000 // len(tokens))
+    for begin in range(0, len(nodes), step):
+        some = nodes[begin : begin + step, None]
+        h = mix64((tokens[None, :] ^ some) * GOLDEN)
+        row, column = np.nonzero(h <= limit)
+        where.append(row + begin)
+        child.append(mix64(h[row, column] ^ some[row, 0]))
+    return np.concatenate(where), np.concatenate(child)
+
+
+def paths(tokens: np.ndarray, runs: int, similarity: float) -> list[tuple[int, list[int]]]:
+    """(node, children) for each distinct node of the first level, over all runs, as signed numbers."""
+    first = np.unique(chosen(tokens, np.arange(1, runs + 1, dtype=np.uint64) * GOLDEN, similarity)[1])
+    if not len(first):
+        return []
+    where, child = chosen(tokens, first, similarity)
+    kids: list[list[int]] = [[] for _ in first]
+    for k, c in zip(where.tolist(), child.view(np.int64).tolist(), strict=True):
+        kids[k].append(c)
+    return list(zip(first.view(np.int64).tolist(), kids, strict=True))
 
 
 def set_table(docs: DataFrame, width: int, runs: int, similarity: float) -> DataFrame:
     """doc_id, key (of the shingle set), n (its size), paths, of every row with an id and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("a", pa.int64()), ("kids", pa.list_(pa.struct([("b", pa.int64()), ("c", pa.list_(pa.int64()))])))]))
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("kids", pa.list_(pa.int64()))]))
         for batch in batches:
             ids, keys, sizes, found = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -84,43 +89,42 @@ def set_table(docs: DataFrame, width: int, runs: int, similarity: float) -> Data
                     ids.append(i)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
-                    found.append([{"a": _signed(a), "kids": [{"b": _signed(b), "c": list(map(_signed, c))} for b, c in kids]} for a, kids in paths(s, runs, similarity)])
+                    found.append([{"a": a, "kids": kids} for a, kids in paths(s, runs, similarity)])
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, kind)], names=["c0", "c1", "c2", "c3"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").filter("doc_id is not null")
-    return rows.mapInArrow(run, f"c0 {kind}, c1 binary, c2 bigint, c3 array<struct<a:bigint,kids:array<struct<b:bigint,c:array<bigint>>>>>").toDF("doc_id", "key", "n", "paths")
+    return rows.mapInArrow(run, f"c0 {kind}, c1 binary, c2 bigint, c3 array<struct<a:bigint,kids:array<bigint>>>").toDF("doc_id", "key", "n", "paths")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Buckets of two sets or more: their number of sets, and a digest of which they are."""
+    return rows.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("who")).filter("m > 1")
 
 
 def buckets(sets: DataFrame, limit: int) -> DataFrame:
-    """bucket, key, of every bucket with two sets or more that is to be compared."""
-    size = lambda df: df.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"))
-    one = sets.select("key", F.explode("paths").alias("p")).select("key", F.col("p.a").alias("bucket"), F.col("p.kids").alias("kids")).dropDuplicates(["bucket", "key"])
-    at = size(one).filter("m > 1")
-    small = at.filter(F.col("m") <= limit)
-    big = at.filter(F.col("m") > limit)
-    two = one.join(big.select("bucket", F.col("m").alias("above")), "bucket").select("key", F.col("bucket").alias("parent"), "above", F.explode("kids").alias("k")).select("key", "parent", "above", F.col("k.b").alias("bucket"), F.col("k.c").alias("kids"))
-    sized = two.groupBy("parent", "above", "bucket").agg(F.count("*").alias("m"))
-    # Near copies stay together: such a bucket is compared as it is.
-    dense = sized.groupBy("parent", "above").agg(F.max("m").alias("most")).filter(F.col("most") * 2 >= F.col("above")).select(F.col("parent").alias("bucket"))
-    split = two.join(dense.select(F.col("bucket").alias("parent")), "parent", "left_anti")
-    at2 = size(split).filter("m > 1")
-    three = split.join(at2.filter(F.col("m") > limit).select("bucket", F.col("m").alias("over")), "bucket").select("key", F.col("bucket").alias("parent"), "over", F.explode("kids").alias("bucket"))
-    at3 = size(three).filter("m > 1")
-    dense2 = three.groupBy("parent", "over", "bucket").agg(F.count("*").alias("m")).groupBy("parent", "over").agg(F.max("m").alias("most")).filter(F.col("most") * 2 >= F.col("over")).select(F.col("parent").alias("bucket"))
-    three = three.join(dense2.select(F.col("bucket").alias("parent")), "parent", "left_anti")
-    at3 = size(three).filter("m > 1")
-    final = (
-        small.select("bucket", "m", "who")
-        .unionByName(big.join(dense, "bucket").select("bucket", "m", "who"))
-        .unionByName(at2.filter(F.col("m") <= limit).select("bucket", "m", "who"))
-        .unionByName(at2.join(dense2, "bucket").select("bucket", "m", "who"))
-        .unionByName(at3.select("bucket", "m", "who"))
-    )
+    """bucket, key, m (number of sets), of every bucket with two sets or more that is to be compared.
+
+    Only the sets of large buckets are looked at again, with their children;
+    what is passed on between the steps is written, so that nothing is done twice.
+    """
+    one = sets.select("key", F.explode(F.transform("paths", lambda p: p["a"])).alias("bucket"))
+    rows = materialise(one.join(_sized(one), "bucket"), "buckets")
+    big = rows.filter(F.col("m") > limit)
+    if not big.isEmpty():
+        kids = F.filter("paths", lambda p: p["a"] == F.col("parent"))[0]["kids"]
+        two = big.select(F.col("bucket").alias("parent"), "key", F.col("m").alias("above")).join(sets.select("key", "paths"), "key")
+        two = materialise(two.select("parent", "above", "key", F.explode(kids).alias("bucket")), "children")
+        sized = materialise(two.groupBy("parent", "above", "bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("who")), "children-sizes")
+        # Near copies stay together: such a bucket is compared as it is.
+        dense = sized.groupBy("parent", "above").agg(F.max("m").alias("most")).filter(F.col("most") * 2 >= F.col("above")).select("parent")
+        split = sized.filter("m > 1").join(dense, "parent", "left_anti").select("parent", "bucket", "m", "who")
+        kept = two.join(split, ["parent", "bucket"]).select("bucket", "key", "m", "who")
+        whole = big.join(dense.select(F.col("parent").alias("bucket")), "bucket", "left_semi").select("bucket", "key", "m", "who")
+        rows = materialise(rows.filter(F.col("m") <= limit).select("bucket", "key", "m", "who").unionByName(kept).unionByName(whole), "buckets")
     # Buckets of the same sets are compared once.
-    once = final.groupBy("m", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = one.select("bucket", "key").unionByName(two.select("bucket", "key")).unionByName(three.select("bucket", "key"))
-    return rows.join(once, "bucket").dropDuplicates(["bucket", "key"])
+    once = rows.groupBy("m", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return rows.join(once, "bucket", "left_semi").select("bucket", "key", "m")
 
 
 def merged_buckets(rows: DataFrame, limit: int) -> DataFrame:
@@ -129,11 +133,12 @@ def merged_buckets(rows: DataFrame, limit: int) -> DataFrame:
     The runs find a group of near copies again and again; this keeps it from
     being compared as often.  A set's home is the largest of its large buckets.
     """
-    size = rows.groupBy("bucket").agg(F.count("*").alias("m")).filter(F.col("m") > limit)
-    large = rows.join(size, "bucket")
+    large = rows.filter(F.col("m") > limit)
+    if large.isEmpty():
+        return rows.select("bucket", "key")
     home = large.groupBy("key").agg(F.max(F.struct("m", "bucket")).alias("h")).select("key", F.col("h.bucket").alias("home"))
     votes = large.join(home, "key").groupBy("bucket", "m", "home").agg(F.count("*").alias("v"))
-    best = votes.groupBy("bucket", "m").agg(F.max(F.struct("v", "home")).alias("b")).select("bucket", "m", F.col("b.home").alias("home"), F.col("b.v").alias("v"))
+    best = materialise(votes.groupBy("bucket", "m").agg(F.max(F.struct("v", "home")).alias("b")).select("bucket", "m", F.col("b.home").alias("home"), F.col("b.v").alias("v")), "bucket-homes")
     roots = best.filter("home = bucket").select(F.col("bucket").alias("home"))
     moved = best.filter("home <> bucket and v * 2 >= m").join(roots, "home", "left_semi").select("bucket", "home")
     return rows.join(moved, "bucket", "left").select(F.coalesce("home", "bucket").alias("bucket"), "key").dropDuplicates(["bucket", "key"])
