@@ -57,7 +57,7 @@ _KINDS = {
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head", "title"}, {"html"})}
 #: What the words of class, id and role hint at.
 _HINTS = (
-    ("comment", ("comment", "disqus", "respond", "reply", "replies", "discussion")),
+    ("comment", ("comment", "comments", "commentlist", "responses", "disqus", "respond", "reply", "replies", "discussion")),
     ("ad", ("ad", "ads", "advert", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "adsense")),
     ("notice", ("cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "paywall", "toast")),
     ("nav", ("nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "tabs", "skip")),
@@ -69,6 +69,10 @@ _HINTS = (
 _HINT = {w: name for name, words in reversed(_HINTS) for w in words}
 
 
+#: Power of the feature potentials: the features of a node are not independent, nor are those of its neighbours.
+TEMPER = 0.5
+
+
 class Node:
     """A block element, or (``text`` is not None) a block of text in it."""
 
@@ -233,8 +237,8 @@ class DomModel:
         return tuple(out)
 
     def _seen(self, is_text: bool, feature: str) -> tuple[float, float]:
-        """P(feature | state)."""
-        return tuple((self.seen[is_text, feature, y] + 1.0) / (self.seen[is_text, "all", y] + 8.0) for y in (0, 1))
+        """P(feature | state), tempered."""
+        return tuple(((self.seen[is_text, feature, y] + 1.0) / (self.seen[is_text, "all", y] + 8.0)) ** TEMPER for y in (0, 1))
 
     def ready(self) -> DomModel:
         self._edge_cache: dict[str, tuple] = {}
@@ -316,7 +320,7 @@ def training_pages(n: int = 400, seed: int = 7) -> list[str]:
         for _ in range(r.choice([1, 2, 3, 5, 8, 13])):
             out.append(
                 r.choices(
-                    [f"<p>{prose()}</p>", f"<p><b>{prose()}<br>", f"<h2>{sentence(1, 6)}</h2>", "<ul>" + "".join(f"<li>{sentence(1, 8)}</li>" for _ in range(r.randint(1, 5))) + "</ul>", f"<blockquote><p>{prose()}</p></blockquote>", f"<table><tr><td>{word()}</td><td>{sentence(1, 4)}</td></tr></table>", f"<p>{sentence(1, 4)} {link()} {sentence(1, 4)}</p>", f"<figure><img src=x><figcaption>{sentence()}</figcaption></figure>", f"<div>{prose()}</div>", f"<pre>{prose()}</pre>"],
+                    [f"<p>{prose()}</p>", f"<p><b>{prose()}<br>", f"<h2>{sentence(1, 6)}</h2>", "<ul>" + "".join(f"<li>{word() if short else sentence(1, 8)}</li>" for short in [r.random() < 0.5] for _ in range(r.randint(1, 5))) + "</ul>", f"<blockquote><p>{prose()}</p></blockquote>", f"<table><tr><td>{word()}</td><td>{sentence(1, 4)}</td></tr></table>", f"<p>{sentence(1, 4)} {link()} {sentence(1, 4)}</p>", f"<figure><img src=x><figcaption>{sentence()}</figcaption></figure>", f"<div>{prose()}</div>", f"<pre>{prose()}</pre>"],
                     [60, 6, 7, 6, 4, 3, 6, 2, 3, 2],
                 )[0]
             )
