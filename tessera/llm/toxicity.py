@@ -27,6 +27,7 @@ Only doc_id and text are read, so extra columns do no harm.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -198,7 +199,7 @@ class _Ratios(dict):
             self.update(zip(some, [r if w else None for r, w in zip(got.tolist(), words, strict=True)], strict=True))
 
 
-_RATIOS: dict[int, _Ratios] = {}
+_RATIOS: dict[str, _Ratios] = {}
 
 
 def ratio_of_texts(texts: list[str | None], ratios: _Ratios) -> np.ndarray:
@@ -232,14 +233,15 @@ class ToxicityScorer:
 
     def __init__(self, shared, curve: Isotonic, base: float):
         self.shared, self.curve, self.base = shared, curve, base
+        #: What a worker remembers of a model is kept under this name.
+        self.name = uuid.uuid4().hex
 
     def raw(self, texts: list[str | None]) -> np.ndarray:
         """Before calibration; NaN without words."""
-        key = id(self.shared)
-        if key not in _RATIOS:
+        if self.name not in _RATIOS:
             _RATIOS.clear()
-            _RATIOS[key] = _Ratios(self.shared.value)
-        return 16.0 * ratio_of_texts(texts, _RATIOS[key])
+            _RATIOS[self.name] = _Ratios(self.shared.value)
+        return 16.0 * ratio_of_texts(texts, _RATIOS[self.name])
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if self.shared is None:
