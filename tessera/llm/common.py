@@ -51,14 +51,44 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders written by ``materialise`` in this process.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_materialised(spark: SparkSession) -> int:
+    """Delete what ``materialise`` has written; for when the results are written themselves."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
+#: Rows of a joined side (of a few numbers each) that are broadcast, and parts a key is spread over beyond.
+BROADCAST_ROWS, SALTS = 200_000, 32
+
+
+def few_join(rows: DataFrame, few: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few`` (unique keys) where one key may hold a large part of ``rows``.
+
+    Broadcast up to ``BROADCAST_ROWS`` rows of ``few``, by a count; else each
+    key is dealt to ``SALTS`` parts by a hash of ``spread``.
+    """
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), key, how)
+    salted = few.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "salt_"], how).drop("salt_")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

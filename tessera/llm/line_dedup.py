@@ -2,7 +2,10 @@
 
 Each line's hash gets a HyperLogLog sketch of the sites (sources) it occurs
 in; partial sketches merge by aggregation before and after the shuffle, so a
-line that every document holds is one row from each task.  Where a sketch's
+line that every document holds is one row from each task.  Lines are joined
+with what was found about them without bringing a frequent line's rows
+together: the found side is broadcast where a count shows it to be small, and
+spread over salts otherwise.  Where a sketch's
 estimate is further from the threshold than its error, it decides; the lines
 near the threshold get an exact distinct count.  Lines of ``min_sites`` sites
 or more are boilerplate and go from every document, except (``keep_first``)
@@ -22,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import few_join, materialise
+
 #: log2 of a sketch's registers; its relative standard error is 1.04 / sqrt(2**LG_K), 1.6 %.
 LG_K = 12
 MIN_SITES = 5
@@ -47,9 +52,9 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str
     spread = lines.groupBy("hash_").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site_", F.lit(LG_K))).alias("estimate_"), F.min("doc_id").alias("first_"))
     # Four standard errors, and one site for the rounding.
     margin = 1 + int(min_sites * 4 * 1.04 / 2 ** (LG_K / 2) + 1)
-    maybe = spread.filter(F.col("estimate_") >= min_sites - margin)
+    maybe = materialise(spread.filter(F.col("estimate_") >= min_sites - margin), "spread-lines")
     near = maybe.filter(F.col("estimate_") <= min_sites + margin)
-    exact = lines.join(near.select("hash_"), "hash_", "left_semi").select("hash_", "site_").distinct().groupBy("hash_").agg(F.count("*").alias("exact_"))
+    exact = few_join(lines, near.select("hash_"), "hash_", F.col("site_")).select("hash_", "site_").distinct().groupBy("hash_").agg(F.count("*").alias("exact_"))
     told = maybe.join(exact, "hash_", "left").withColumn("n_sites_", F.coalesce("exact_", "estimate_"))
     return told.filter(F.col("n_sites_") >= min_sites).select("hash_", "first_", "n_sites_")
 
@@ -58,9 +63,9 @@ def clean_documents(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str =
     """``docs`` with boilerplate lines cut from ``text``, and n_removed (lines cut)."""
     names = docs.columns
     key = F.xxhash64("doc_id", "text")
-    boiler = boilerplate_lines(docs, min_sites, site_col)
+    boiler = materialise(boilerplate_lines(docs, min_sites, site_col), "boilerplate-lines")
     own = _lines(docs, F.col("doc_id"), key.alias("key_")).distinct()
-    hit = own.join(boiler, "hash_")
+    hit = few_join(own, boiler, "hash_", F.col("key_"))
     if keep_first:
         hit = hit.filter(~F.col("doc_id").eqNullSafe(F.col("first_")))
     gone = hit.groupBy("key_").agg(F.collect_set("hash_").alias("gone_"))
