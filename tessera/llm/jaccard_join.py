@@ -6,9 +6,11 @@ set chooses those of its tokens whose hash, keyed by the node, is below
 choose a common token with probability over one half, and each chosen token
 leads to a child node.  Buckets of bounded size are compared by brute force;
 larger ones are split again unless most of a bucket stays together in a child
-(then it is a group of near copies, and splitting it is useless).  ``runs``
-independent runs bring the chance of missing a pair at the threshold below
-0.4 ** runs.  A bucket of any size is compared whole: its sets are dealt to
+(then it is a group of near copies, and splitting it is useless).  A pair at
+the threshold shares one node of a run on average, so that ``runs`` = 8
+independent runs miss it with a chance of exp(-8), 0.03 %, and of exp(-5),
+0.7 %, if every bucket they share is split once more; more similar pairs are
+missed less.  A bucket of any size is compared whole: its sets are dealt to
 blocks by hash, and each pair of blocks is one task.  No pair is ever emitted:
 a task returns for each set the number of links it found and one edge to a
 representative of its component in the task.  A pair that meets in several
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import GOLDEN, materialise, mix64, shingle_hashes, ship_package, shuffle_partitions, word_hashes
+from tessera.llm.common import GOLDEN, few_join, materialise, mix64, shingle_hashes, ship_package, shuffle_partitions, word_hashes
 
 WIDTH, SIMILARITY, RUNS = 5, 0.8, 8
 #: Sets of a bucket up to which it is compared without splitting it further.
@@ -109,9 +111,13 @@ def buckets(sets: DataFrame, limit: int) -> DataFrame:
     what is passed on between the steps is written, so that nothing is done twice.
     """
     one = sets.select("key", F.explode(F.transform("paths", lambda p: p["a"])).alias("bucket"))
-    rows = materialise(one.join(_sized(one), "bucket"), "buckets")
+    sized = materialise(_sized(one), "bucket-sizes")
+    large = sized.filter(F.col("m") > limit)
+    # Large buckets apart, so that none is one task's.
+    rows = few_join(one, large.select("bucket"), "bucket", F.col("key"), "left_anti").join(sized, "bucket")
+    rows = materialise(rows.unionByName(few_join(one, large, "bucket", F.col("key"))), "buckets")
     big = rows.filter(F.col("m") > limit)
-    if not big.isEmpty():
+    if not large.isEmpty():
         kids = F.filter("paths", lambda p: p["a"] == F.col("parent"))[0]["kids"]
         two = big.select(F.col("bucket").alias("parent"), "key", F.col("m").alias("above")).join(sets.select("key", "paths"), "key")
         two = materialise(two.select("parent", "above", "key", F.explode(kids).alias("bucket")), "children")
@@ -120,11 +126,13 @@ def buckets(sets: DataFrame, limit: int) -> DataFrame:
         dense = sized.groupBy("parent", "above").agg(F.max("m").alias("most")).filter(F.col("most") * 2 >= F.col("above")).select("parent")
         split = sized.filter("m > 1").join(dense, "parent", "left_anti").select("parent", "bucket", "m", "who")
         kept = two.join(split, ["parent", "bucket"]).select("bucket", "key", "m", "who")
-        whole = big.join(dense.select(F.col("parent").alias("bucket")), "bucket", "left_semi").select("bucket", "key", "m", "who")
+        whole = few_join(big, dense.select(F.col("parent").alias("bucket")), "bucket", F.col("key"), "left_semi").select("bucket", "key", "m", "who")
         rows = materialise(rows.filter(F.col("m") <= limit).select("bucket", "key", "m", "who").unionByName(kept).unionByName(whole), "buckets")
     # Buckets of the same sets are compared once.
-    once = rows.groupBy("m", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return rows.join(once, "bucket", "left_semi").select("bucket", "key", "m")
+    small, large = rows.filter(F.col("m") <= limit), rows.filter(F.col("m") > limit)
+    once = lambda df: df.groupBy("m", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
+    kept = small.join(once(small), "bucket", "left_semi").unionByName(few_join(large, once(large), "bucket", F.col("key"), "left_semi"))
+    return kept.select("bucket", "key", "m")
 
 
 def merged_buckets(rows: DataFrame, limit: int) -> DataFrame:
@@ -141,7 +149,7 @@ def merged_buckets(rows: DataFrame, limit: int) -> DataFrame:
     best = materialise(votes.groupBy("bucket", "m").agg(F.max(F.struct("v", "home")).alias("b")).select("bucket", "m", F.col("b.home").alias("home"), F.col("b.v").alias("v")), "bucket-homes")
     roots = best.filter("home = bucket").select(F.col("bucket").alias("home"))
     moved = best.filter("home <> bucket and v * 2 >= m").join(roots, "home", "left_semi").select("bucket", "home")
-    return rows.join(moved, "bucket", "left").select(F.coalesce("home", "bucket").alias("bucket"), "key").dropDuplicates(["bucket", "key"])
+    return few_join(rows, moved, "bucket", F.col("key"), "left").select(F.coalesce("home", "bucket").alias("bucket"), "key").dropDuplicates(["bucket", "key"])
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -196,8 +204,10 @@ def compare(sets: DataFrame, homes: DataFrame, docs: DataFrame, width: int, simi
     """key, links, root: partial counts of linked documents and edges to a representative, from all buckets."""
     sized = homes.join(sets.select("key", "n"), "key").groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    sized = sized.select("bucket", F.when(F.col("m") > 2, blocks).otherwise(1).alias("blocks"))
-    mine = homes.join(sized, "bucket").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("bucket", "blocks"))).alias("homes"))
+    several = materialise(sized.select("bucket", F.when(F.col("m") > 2, blocks).otherwise(1).alias("blocks")).filter("blocks > 1"), "bucket-blocks")
+    single = few_join(homes, several.select("bucket"), "bucket", F.col("key"), "left_anti").withColumn("blocks", F.lit(1))
+    dealt = single.unionByName(few_join(homes, several, "bucket", F.col("key")))
+    mine = dealt.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("bucket", "blocks"))).alias("homes"))
     tasks = sets.join(mine, "key").select("key", "n", "copies", "one", "homes")
     texts = docs.select(F.col("doc_id").alias("one"), "text").join(tasks, "one")
 
