@@ -16,8 +16,9 @@ none is left out: it is the noise of the smaller class.
 
 The counts come from all labelled training texts: words are combined by a
 shuffle, and then the beginnings of words.  What the tasks need for scoring is
-a table of ``2**TABLE_BITS`` cells (20 bytes each), whatever the input; where
-two beginnings meet in a cell the more frequent one stays, told by its tag.
+a table of all beginnings that training knows, each with its 64-bit key and
+the difference of the models for its last letter (12 bytes); none is dropped,
+so the table grows with the words of the training texts.
 
 Defined results: null texts count as empty; empty texts get the share of toxic
 training rows.  Every row gets its score, repeated ids too; a null id counts
@@ -33,19 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.calibration import BROADCAST_LABELS, Isotonic, fit_isotonic, training_labels
 from tessera.llm.common import CACHE_ENTRIES, GOLDEN, fold, materialise, mix64, ship_package
 
-#: Letters of a word that are looked at, discount, nats of each word's difference that count as noise.
+#: Letters of a spelt unit, discount, nats of each unit's difference that count as noise.
 DEPTH = 12
 DISCOUNT = 0.75
 DEAD_ZONE = 2.5
-#: Beginnings counted less often than this, in both classes together, are not kept.
-LEAST = 2
-TABLE_BITS = 20
 
 
 def word_of(chunk: str) -> str:
@@ -113,8 +111,12 @@ def word_surroundings(rows: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.bit_or("toxic").alias("toxic"), F.bit_or("ordinary").alias("ordinary"))
 
 
-def beginning_counts(words: DataFrame) -> DataFrame:
-    """key, toxic, ordinary, toxic_kinds, ordinary_kinds: each beginning once, with its counts and its different next letters in either class."""
+def beginning_ratios(words: DataFrame) -> DataFrame:
+    """key, ratio: each beginning once, with log P(its last letter | toxic) - log P(its last letter | ordinary).
+
+    The counts of what comes above a beginning are the sums of those that
+    continue it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,54 +132,36 @@ def beginning_counts(words: DataFrame) -> DataFrame:
     several = lambda c: F.round(-64 * F.log(1 - F.least(F.bit_count(c).cast("double"), F.lit(63.5)) / 64))
     rows = words.select("word", several("toxic").alias("t"), several("ordinary").alias("o")).mapInArrow(run, "key long, above long, toxic double, ordinary double")
     once = rows.groupBy("key").agg(F.min("above").alias("above"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    none = F.lit(0.0)
-    own = once.select("key", "toxic", "ordinary", none.alias("tk"), none.alias("ok"))
-    # The root's counts are the sums of its children's.
-    root = F.col("above") == F.lit(int(beginnings(["a"])[0, 0].view(np.int64)))
-    kinds = once.select(F.col("above"), F.when(root, F.col("toxic")).otherwise(0.0), F.when(root, F.col("ordinary")).otherwise(0.0), (F.col("toxic") > 0).cast("double"), (F.col("ordinary") > 0).cast("double"))
-    return own.union(kinds).groupBy("key").agg(*[F.sum(c).alias(n) for c, n in (("toxic", "toxic"), ("ordinary", "ordinary"), ("tk", "toxic_kinds"), ("ok", "ordinary_kinds"))])
+    w = Window.partitionBy("above")
+    over = {c: F.sum(c).over(w) for c in ("toxic", "ordinary")}
+    kinds = {c: F.sum((F.col(c) > 0).cast("double")).over(w) for c in ("toxic", "ordinary")}
+    rows = once.select("key", "toxic", "ordinary", *[over[c].alias(f"{c}_above") for c in over], *[kinds[c].alias(f"{c}_kinds") for c in kinds])
+    alone = (F.col("toxic") + F.col("ordinary")) / (F.col("toxic_above") + F.col("ordinary_above"))
+    p = {c: F.when(F.col(f"{c}_above") > 0, (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{c}_kinds") * alone) / F.col(f"{c}_above")).otherwise(alone) for c in over}
+    return rows.filter("toxic + ordinary > 0").select("key", (F.log(p["toxic"]) - F.log(p["ordinary"])).cast("float").alias("ratio"))
 
 
 class PrefixModels:
-    """The two class models over their shared backoff, in a table of fixed size."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int = TABLE_BITS):
-        """``counts``: rows of toxic, ordinary, toxic_kinds, ordinary_kinds; of keys that meet, the last stays."""
-        self.bits = bits
-        self.tags = np.zeros(1 << bits, np.uint32)
-        self.counts = np.zeros((1 << bits, 4), np.float32)
-        cell, tag = self._place(keys)
-        self.tags[cell], self.counts[cell] = tag, counts
+    """The difference of the two class models for each beginning that training knows, in a table as large as their number."""
 
-    def _place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (keys & np.uint64((1 << self.bits) - 1)).astype(np.int64), (keys >> np.uint64(32)).astype(np.uint32)
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.ratios = keys[order], ratios[order]
 
     def log_ratio(self, words: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary), less the dead zone."""
-        h = beginnings(words)
-        total = np.zeros(len(words))
-        cell, tag = self._place(h)
-        known = (self.tags[cell] == tag) & (h != 0)
-        alive = known[:, 0]
-        for k in range(1, DEPTH + 1):
-            alive = alive & known[:, k]
-            if not alive.any():
-                break
-            above, here = self.counts[cell[alive, k - 1]].astype(np.float64), self.counts[cell[alive, k]].astype(np.float64)
-            alone = (here[:, 0] + here[:, 1]) / np.maximum(above[:, 0] + above[:, 1], 1.0)
-            p = [np.where(above[:, c] > 0, (np.maximum(here[:, c] - DISCOUNT, 0) + DISCOUNT * above[:, c + 2] * alone) / np.maximum(above[:, c], 1.0), alone) for c in (0, 1)]
-            total[alive] += np.log(p[0]) - np.log(p[1])
+        """log P(word | toxic) - log P(word | ordinary), less the dead zone; what follows an unknown beginning is unknown too."""
+        if not len(self.keys):
+            return np.zeros(len(words))
+        h = beginnings(words)[:, 1:]
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        total = np.where((self.keys[at] == h) & (h != 0), self.ratios[at], np.float32(0)).sum(axis=1, dtype=np.float64)
         return np.sign(total) * np.maximum(np.abs(total) - DEAD_ZONE, 0.0)
 
 
 def fit_prefix_models(rows: DataFrame) -> PrefixModels:
-    """Count all training rows (text, y_); the driver gets at most one row for each cell."""
-    counts = beginning_counts(word_surroundings(rows)).filter(F.col("toxic") + F.col("ordinary") >= LEAST)
-    cell = F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
-    most = F.struct((F.col("toxic") + F.col("ordinary")).alias("n"), "key", "toxic", "ordinary", "toxic_kinds", "ordinary_kinds")
-    kept = counts.groupBy(cell.alias("cell")).agg(F.max(most).alias("m")).select("m.key", "m.toxic", "m.ordinary", "m.toxic_kinds", "m.ordinary_kinds").toArrow()
-    columns = [kept.column(k).to_numpy() for k in range(5)]
-    return PrefixModels(columns[0].view(np.uint64), np.stack(columns[1:], axis=1) if kept.num_rows else np.zeros((0, 4)))
+    """Count all training rows (text, y_); the driver gets 12 bytes for each beginning, all of them."""
+    kept = beginning_ratios(word_surroundings(rows)).toArrow()
+    return PrefixModels(kept.column(0).to_numpy().view(np.uint64), kept.column(1).to_numpy())
 
 
 class _Ratios(dict):

@@ -115,6 +115,15 @@ def test_labels_of_held_out_ids_change_nothing(spark):
     assert a == {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, flipped).collect()}
 
 
+
+
+def test_every_beginning_has_a_cell(spark):
+    rows = spark.createDataFrame([("once upon zeppelin", 1.0), ("once more", 0.0)], "text string, y_ double")
+    keys = set(toxicity.fit_prefix_models(rows).keys.tolist())
+    h = toxicity.beginnings(["once", "upon", "zeppelin", "more"])[:, 1:]
+    assert keys == set(h[h != 0].tolist())
+
+
 # 3 decontamination
 
 
