@@ -6,8 +6,9 @@ subtract a discount from their own counts and hand what it frees to one shared
 backoff, the counts of both classes together.  So a rare expression gets what
 its beginning says, and a beginning that neither class knows says nothing.
 Counts are Kneser-Ney continuation counts: in how many different surroundings
-(after how many different words) a word occurs, estimated from a mask of 64
-hashed predecessors.  Copies of a text therefore count once.
+(after how many different words) a word occurs, counted exactly from the
+different pairs of a word and the one before it (known by a 64-bit hash).
+Copies of a text therefore count once.
 
 A text is scored by the difference of the two log-likelihoods for each word of
 it, calibrated by isotonic regression on training rows that the counts have
@@ -28,8 +29,8 @@ Only doc_id and text are read, so extra columns do no harm.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,12 +54,12 @@ def word_of(chunk: str) -> str:
 
 
 class _Predecessor(dict):
-    """Word -> one of 64 bits."""
+    """Word -> a 64-bit hash of it."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        got = self[word] = 1 << (zlib.crc32(word.encode("utf-8", "surrogatepass")) & 63)
+        got = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
         return got
 
 
@@ -81,34 +82,35 @@ def beginnings(words: list[str]) -> np.ndarray:
 
 
 def word_surroundings(rows: DataFrame) -> DataFrame:
-    """word, toxic, ordinary: masks of the words before it in the texts of either class, from rows (text, y_)."""
+    """word, toxic, ordinary: after how many different words it stands in the texts of either class, from rows (text, y_)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _Predecessor()
-        masks: tuple[dict[str, int], dict[str, int]] = {}, {}
+        hashes = _Predecessor()
+        pairs: tuple[set[tuple[str, str]], set[tuple[str, str]]] = set(), set()
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mine, before = masks[int(y)], ""
-                for chunk in (text or "").split():
-                    mine[chunk] = mine.get(chunk, 0) | bits[before]
-                    before = chunk
-                if len(masks[0]) + len(masks[1]) > 2 * CACHE_ENTRIES:
-                    yield out(*masks)
-                    masks = {}, {}
-        yield out(*masks)
-
-    def out(ordinary: dict[str, int], toxic: dict[str, int]) -> pa.RecordBatch:
-        words: dict[str, list[int]] = {}
-        for k, found in enumerate((toxic, ordinary)):
-            for chunk, mask in found.items():
-                word = word_of(chunk)
-                if word:
-                    words.setdefault(word, [0, 0])[k] |= mask
-        masks = np.array(list(words.values()), np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(masks[:, 0]), pa.array(masks[:, 1])], names=["word", "toxic", "ordinary"])
-
-    found = rows.select("text", "y_").mapInArrow(run, "word string, toxic long, ordinary long")
-    return found.groupBy("word").agg(F.bit_or("toxic").alias("toxic"), F.bit_or("ordinary").alias("ordinary"))
+                chunks = (text or "").split()
+                pairs[int(y)].update(zip(chunks, ["", *chunks], strict=False))
+                if len(pairs[0]) + len(pairs[1]) > 2 * CACHE_ENTRIES:
+                    yield out(pairs, hashes)
+                    pairs = set(), set()
+        yield out(pairs, hashes)
+
+    def out(pairs: tuple[set[tuple[str, str]], set[tuple[str, str]]], hashes: _Predecessor) -> pa.RecordBatch:
+        words: list[str] = []
+        before: list[int] = []
+        toxic: list[int] = []
+        for y, found in enumerate(pairs):
+            kept = [(w, hashes[p]) for c, p in found if (w := word_of(c))]
+            words += [w for w, _ in kept]
+            before += [h for _, h in kept]
+            toxic += [y] * len(kept)
+        y = pa.array(toxic, pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.int64()), y, pa.array(1 - y.to_numpy(), pa.int32())], names=["word", "before", "toxic", "ordinary"])
+
+    found = rows.select("text", "y_").mapInArrow(run, "word string, before long, toxic int, ordinary int")
+    pairs = found.groupBy("word", "before").agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
+    return pairs.groupBy("word").agg(F.sum("toxic").cast("double").alias("toxic"), F.sum("ordinary").cast("double").alias("ordinary"))
 
 
 def beginning_ratios(words: DataFrame) -> DataFrame:
@@ -128,9 +130,7 @@ def beginning_ratios(words: DataFrame) -> DataFrame:
             n = [np.bincount(which, b.column(k).to_numpy()[row], len(keys)) if len(keys) else np.zeros(0) for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), above.view(np.int64), *n)], names=["key", "above", "toxic", "ordinary"])
 
-    # Linear counting: of 64 cells this many are taken.
-    several = lambda c: F.round(-64 * F.log(1 - F.least(F.bit_count(c).cast("double"), F.lit(63.5)) / 64))
-    rows = words.select("word", several("toxic").alias("t"), several("ordinary").alias("o")).mapInArrow(run, "key long, above long, toxic double, ordinary double")
+    rows = words.select("word", "toxic", "ordinary").mapInArrow(run, "key long, above long, toxic double, ordinary double")
     once = rows.groupBy("key").agg(F.min("above").alias("above"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     w = Window.partitionBy("above")
     over = {c: F.sum(c).over(w) for c in ("toxic", "ordinary")}

@@ -124,6 +124,15 @@ def test_every_beginning_has_a_cell(spark):
     assert keys == set(h[h != 0].tolist())
 
 
+
+
+def test_surroundings_are_counted_exactly(spark):
+    texts = [(" ".join(f"w{i} often" for i in range(k, k + 50)), float(k % 100 == 0)) for k in range(0, 2000, 25)]
+    got = {r.word: (r.toxic, r.ordinary) for r in toxicity.word_surroundings(spark.createDataFrame(texts * 2, "text string, y_ double")).collect()}
+    expected = [{w for t, y in texts if y == c for w in t.split()[::2]} for c in (1.0, 0.0)]
+    assert got["often"] == tuple(map(len, expected)) and got["often"][1] > 311
+
+
 # 3 decontamination
 
 
