@@ -1,7 +1,8 @@
 """Toxicity: class-conditional Kneser-Ney models of words, letter by letter.
 
-Two models spell a word from its start, each letter given all before it: one
-learnt from the labelled toxic texts, one from the ordinary ones.  Both
+Two models spell a word from its start, each letter given all before it (in
+words of ``DEPTH`` letters or more from each place on, so no letter of a text is
+left out): one learnt from the labelled toxic texts, one from the ordinary ones.  Both
 subtract a discount from their own counts and hand what it frees to one shared
 backoff, the counts of both classes together.  So a rare expression gets what
 its beginning says, and a beginning that neither class knows says nothing.
@@ -30,6 +31,7 @@ Only doc_id and text are read, so extra columns do no harm.
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -45,6 +47,8 @@ from tessera.llm.common import CACHE_ENTRIES, GOLDEN, fold, materialise, mix64,
 DEPTH = 12
 DISCOUNT = 0.75
 DEAD_ZONE = 2.5
+#: Marks of a word's end and of a unit that begins inside a word.
+END, INSIDE = "\x03", "\x02"
 
 
 def word_of(chunk: str) -> str:
@@ -53,6 +57,27 @@ def word_of(chunk: str) -> str:
     return low if low.isalnum() else "".join(c for c in low if c.isalnum())
 
 
+def units_of(chunk: str) -> list[str]:
+    """What is spelt of a chunk: its word and the end of it.
+
+    In a chunk of ``DEPTH`` letters or more each part between other signs is a
+    word; one that is as long by itself (glued, or of a script without spaces)
+    gives its first letters and, marked by ``INSIDE``, those from each later
+    place on, so that an expression is spelt from its start wherever it stands.
+    """
+    word = word_of(chunk)
+    if len(word) < DEPTH:
+        return [word + END] if word else []
+    low = chunk.lower()
+    # Vowel signs and accents don't part words.
+    parts = [word] if low.isalnum() else "".join(c if c.isalnum() else "" if unicodedata.category(c)[0] == "M" else " " for c in low).split()
+    out: list[str] = []
+    for p in parts:
+        s = p + END
+        out += [s[:DEPTH], *[INSIDE + s[k : k + DEPTH - 1] for k in range(1, len(p))]] if len(p) >= DEPTH else [s]
+    return out
+
+
 class _Predecessor(dict):
     """Word -> a 64-bit hash of it."""
 
@@ -63,16 +88,15 @@ class _Predecessor(dict):
         return got
 
 
-def beginnings(words: list[str]) -> np.ndarray:
-    """Row by row the hashes of a word's first 0, 1, ... ``DEPTH`` letters (and its end); 0 where it has no so many."""
-    out = np.zeros((len(words), DEPTH + 1), np.uint64)
-    if not words:
+def beginnings(units: list[str]) -> np.ndarray:
+    """Row by row the hashes of a unit's first 0, 1, ... ``DEPTH`` letters; 0 where it has no so many."""
+    out = np.zeros((len(units), DEPTH + 1), np.uint64)
+    if not units:
         return out
-    cut = [w[:DEPTH] if len(w) >= DEPTH else w + "\x03" for w in words]
-    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-    letters = np.zeros((len(cut), DEPTH), np.uint64)
-    letters[np.arange(DEPTH)[None, :] < sizes[:, None]] = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32)
-    h = np.full(len(cut), 0x51ED270B, np.uint64)
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    letters = np.zeros((len(units), DEPTH), np.uint64)
+    letters[np.arange(DEPTH)[None, :] < sizes[:, None]] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = np.full(len(units), 0x51ED270B, np.uint64)
     out[:, 0] = mix64(h)
     for k in range(DEPTH):
         h = (h ^ letters[:, k]) * GOLDEN
@@ -101,10 +125,14 @@ def word_surroundings(rows: DataFrame) -> DataFrame:
         before: list[int] = []
         toxic: list[int] = []
         for y, found in enumerate(pairs):
-            kept = [(w, hashes[p]) for c, p in found if (w := word_of(c))]
-            words += [w for w, _ in kept]
-            before += [h for _, h in kept]
-            toxic += [y] * len(kept)
+            first = len(words)
+            for c, p in found:
+                units = units_of(c)
+                words += units
+                before += [hashes[p]] * min(1, len(units))
+                # Inside a chunk it is the letters before.
+                before += [hashes[u] for u in units[:-1]]
+            toxic += [y] * (len(words) - first)
         y = pa.array(toxic, pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.int64()), y, pa.array(1 - y.to_numpy(), pa.int32())], names=["word", "before", "toxic", "ordinary"])
 
@@ -148,11 +176,11 @@ class PrefixModels:
         order = np.argsort(keys)
         self.keys, self.ratios = keys[order], ratios[order]
 
-    def log_ratio(self, words: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary), less the dead zone; what follows an unknown beginning is unknown too."""
+    def log_ratio(self, units: list[str]) -> np.ndarray:
+        """log P(unit | toxic) - log P(unit | ordinary), less the dead zone; what follows an unknown beginning is unknown too."""
         if not len(self.keys):
-            return np.zeros(len(words))
-        h = beginnings(words)[:, 1:]
+            return np.zeros(len(units))
+        h = beginnings(units)[:, 1:]
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         total = np.where((self.keys[at] == h) & (h != 0), self.ratios[at], np.float32(0)).sum(axis=1, dtype=np.float64)
         return np.sign(total) * np.maximum(np.abs(total) - DEAD_ZONE, 0.0)
@@ -165,7 +193,7 @@ def fit_prefix_models(rows: DataFrame) -> PrefixModels:
 
 
 class _Ratios(dict):
-    """Chunk -> log ratio of its word; filled for many chunks at once, emptied when full."""
+    """Chunk -> sum of the log ratios of its units and of their weights; filled for many chunks at once, emptied when full."""
 
     def __init__(self, model: PrefixModels):
         super().__init__()
@@ -178,16 +206,22 @@ class _Ratios(dict):
             new = list(chunks)
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
-            words = [word_of(c) for c in some]
-            got = self.model.log_ratio(words)
-            self.update(zip(some, [r if w else None for r, w in zip(got.tolist(), words, strict=True)], strict=True))
+            spelt = [units_of(c) for c in some]
+            units = [u for x in spelt for u in x]
+            got = np.concatenate([np.zeros(0), *[self.model.log_ratio(units[j : j + 20_000]) for j in range(0, len(units), 20_000)]])
+            # Those that begin inside a word overlap: each letter is in DEPTH - 1 of them.
+            weight = np.fromiter((1 / (DEPTH - 1) if u[0] == INSIDE else 1.0 for u in units), np.float64, len(units))
+            owner = np.repeat(np.arange(len(spelt)), np.fromiter(map(len, spelt), np.int64, len(spelt)))
+            totals = np.bincount(owner, got * weight, len(spelt))
+            sizes = np.bincount(owner, weight, len(spelt))
+            self.update(zip(some, zip(totals.tolist(), sizes.tolist(), strict=True), strict=True))
 
 
 _RATIOS: dict[str, _Ratios] = {}
 
 
 def ratio_of_texts(texts: list[str | None], ratios: _Ratios) -> np.ndarray:
-    """The length-normalised log-likelihood difference of each whole text; NaN without words."""
+    """The log-likelihood difference of each whole text, by its number of units; NaN without words."""
     out = np.full(len(texts), np.nan)
     group: list[tuple[int, list[str]]] = []
     size = 0
@@ -196,10 +230,9 @@ def ratio_of_texts(texts: list[str | None], ratios: _Ratios) -> np.ndarray:
         ratios.learn({c for _, x in group for c in x})
         for k, x in group:
             got = list(map(ratios.__getitem__, x))
-            if None in got:
-                got = [r for r in got if r is not None]
-            if got:
-                out[k] = sum(got) / len(got)
+            units = sum([n for _, n in got])
+            if units:
+                out[k] = sum([r for r, _ in got]) / units
 
     for k, text in enumerate(texts):
         if text:

@@ -120,7 +120,7 @@ def test_labels_of_held_out_ids_change_nothing(spark):
 def test_every_beginning_has_a_cell(spark):
     rows = spark.createDataFrame([("once upon zeppelin", 1.0), ("once more", 0.0)], "text string, y_ double")
     keys = set(toxicity.fit_prefix_models(rows).keys.tolist())
-    h = toxicity.beginnings(["once", "upon", "zeppelin", "more"])[:, 1:]
+    h = toxicity.beginnings([w + toxicity.END for w in ("once", "upon", "zeppelin", "more")])[:, 1:]
     assert keys == set(h[h != 0].tolist())
 
 
@@ -128,11 +128,28 @@ def test_every_beginning_has_a_cell(spark):
 
 def test_surroundings_are_counted_exactly(spark):
     texts = [(" ".join(f"w{i} often" for i in range(k, k + 50)), float(k % 100 == 0)) for k in range(0, 2000, 25)]
-    got = {r.word: (r.toxic, r.ordinary) for r in toxicity.word_surroundings(spark.createDataFrame(texts * 2, "text string, y_ double")).collect()}
+    got = {r.word.strip(toxicity.END): (r.toxic, r.ordinary) for r in toxicity.word_surroundings(spark.createDataFrame(texts * 2, "text string, y_ double")).collect()}
     expected = [{w for t, y in texts if y == c for w in t.split()[::2]} for c in (1.0, 0.0)]
     assert got["often"] == tuple(map(len, expected)) and got["often"][1] > 311
 
 
+
+
+@pytest.mark.parametrize("glue, letters", [("", "一二三四五六七八九十百千万上下左右中大小"), ("/", "abcdefghijk"), ("", "abcdefghijk")])
+def test_toxic_behind_the_twelfth_letter(spark, glue, letters):
+    rng = random.Random(4)
+    bad = "毒蛇" if letters[0] == "一" else "zorgush"
+    docs, labels = [], []
+    for i in range(600):
+        w = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)]
+        if i % 3 == 0:
+            w[6] = bad
+        docs.append((i, glue.join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    rows = toxicity.toxicity_scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).filter("held_out").collect()
+    assert np.mean([r.predicted == labels[r.doc_id][1] for r in rows]) > 0.95
+
+
 # 3 decontamination
 
 
