@@ -18,9 +18,9 @@ none is left out: it is the noise of the smaller class.
 
 The counts come from all labelled training texts: words are combined by a
 shuffle, and then the beginnings of words.  What the tasks need for scoring is
-a table of all beginnings that training knows, each with its 64-bit key and
-the difference of the models for its last letter (12 bytes); none is dropped,
-so the table grows with the words of the training texts.
+a table of all beginnings that training knows and for whose last letter the
+models differ, each with its 64-bit key and the difference (12 bytes); none of
+those is dropped, so the table grows with the words of the training texts.
 
 Defined results: null texts count as empty; empty texts get the share of toxic
 training rows.  Every row gets its score, repeated ids too; a null id counts
@@ -121,24 +121,22 @@ def word_surroundings(rows: DataFrame) -> DataFrame:
         yield out(pairs, hashes)
 
     def out(pairs: tuple[set[tuple[str, str]], set[tuple[str, str]]], hashes: _Predecessor) -> pa.RecordBatch:
-        words: list[str] = []
-        before: list[int] = []
-        toxic: list[int] = []
+        words: dict[str, list[int]] = {}
         for y, found in enumerate(pairs):
-            first = len(words)
-            for c, p in found:
-                units = units_of(c)
-                words += units
-                before += [hashes[p]] * min(1, len(units))
-                # Inside a chunk it is the letters before.
-                before += [hashes[u] for u in units[:-1]]
-            toxic += [y] * (len(words) - first)
-        y = pa.array(toxic, pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.int64()), y, pa.array(1 - y.to_numpy(), pa.int32())], names=["word", "before", "toxic", "ordinary"])
-
-    found = rows.select("text", "y_").mapInArrow(run, "word string, before long, toxic int, ordinary int")
-    pairs = found.groupBy("word", "before").agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
-    return pairs.groupBy("word").agg(F.sum("toxic").cast("double").alias("toxic"), F.sum("ordinary").cast("double").alias("ordinary"))
+            for chunk, before in found:
+                for unit in units_of(chunk):
+                    # The last bit tells the class. Inside a chunk it is the letters before that count.
+                    words.setdefault(unit, []).append(hashes[before] & -2 | y)
+                    before = unit
+        ends = np.cumsum([0, *map(len, words.values())])
+        values = np.fromiter((h for x in words.values() for h in x), np.int64, ends[-1])
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["word", "pairs"])
+
+    found = rows.select("text", "y_").mapInArrow(run, "word string, pairs array<long>")
+    # Words that begin alike meet in one task, so that one shuffle serves the pairs, the words and most of the beginnings.
+    pairs = found.withColumn("start", F.substring("word", 1, 5)).repartition("start").select("start", "word", F.explode("pairs").alias("pair")).distinct()
+    toxic = F.col("pair").bitwiseAND(F.lit(1)).cast("double")
+    return pairs.groupBy("start", "word").agg(F.sum(toxic).alias("toxic"), F.sum(1 - toxic).alias("ordinary")).drop("start")
 
 
 def beginning_ratios(words: DataFrame) -> DataFrame:
@@ -170,7 +168,7 @@ def beginning_ratios(words: DataFrame) -> DataFrame:
 
 
 class PrefixModels:
-    """The difference of the two class models for each beginning that training knows, in a table as large as their number."""
+    """The difference of the two class models for each beginning where they differ, in a table as large as the number of those."""
 
     def __init__(self, keys: np.ndarray, ratios: np.ndarray):
         order = np.argsort(keys)
@@ -187,8 +185,8 @@ class PrefixModels:
 
 
 def fit_prefix_models(rows: DataFrame) -> PrefixModels:
-    """Count all training rows (text, y_); the driver gets 12 bytes for each beginning, all of them."""
-    kept = beginning_ratios(word_surroundings(rows)).toArrow()
+    """Count all training rows (text, y_); the driver gets 12 bytes for each beginning that says anything: a ratio of 0 adds nothing to a sum."""
+    kept = beginning_ratios(word_surroundings(rows)).filter("ratio <> 0").toArrow()
     return PrefixModels(kept.column(0).to_numpy().view(np.uint64), kept.column(1).to_numpy())
 
 

@@ -119,7 +119,9 @@ def test_labels_of_held_out_ids_change_nothing(spark):
 
 def test_every_beginning_has_a_cell(spark):
     rows = spark.createDataFrame([("once upon zeppelin", 1.0), ("once more", 0.0)], "text string, y_ double")
-    keys = set(toxicity.fit_prefix_models(rows).keys.tolist())
+    ratios = {r.key % 2**64: r.ratio for r in toxicity.beginning_ratios(toxicity.word_surroundings(rows)).collect()}
+    keys, model = set(ratios), toxicity.fit_prefix_models(rows)
+    assert set(model.keys.tolist()) == {k for k in keys if ratios[k]}
     h = toxicity.beginnings([w + toxicity.END for w in ("once", "upon", "zeppelin", "more")])[:, 1:]
     assert keys == set(h[h != 0].tolist())
 
