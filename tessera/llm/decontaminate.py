@@ -4,9 +4,11 @@ Every window of a text as long as a benchmark item (to within its length
 class) gets a 64-bit SimHash of its five-word shingles; the sums of all
 windows of a length come from running sums, eight bits of the hash in eight
 lanes of one word.  Each item has the fingerprints of its first and of its
-last window.  The four 16-bit blocks of a fingerprint index the items: of two
-fingerprints within ``RADIUS`` = 11 bits some block differs in 2 bits at most,
-so looking up every value within 2 bits of an item's block finds all of them.
+last window.  Five blocks of a fingerprint (12 or 13 bits) index the items: of
+two fingerprints within ``RADIUS`` = 18 bits some block differs in 3 bits at
+most, so looking up every value within 3 bits of an item's block finds all of
+them.  Only windows near a shingle of the items are looked up: without one in
+common the similarity is 0.
 What is within the radius is verified: the weighted Jaccard similarity of the
 item's shingles and those of the aligned window must reach ``similarity``.  A
 shingle weighs the logarithm of how rare it is among the items.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import shingle_hashes, ship_package, word_hashes
 
-WIDTH, SIMILARITY, RADIUS = 5, 0.8, 11
+WIDTH, SIMILARITY, RADIUS = 5, 0.8, 18
 ITEMS_AT_ONCE = 5000
 #: Shingles of the length classes; an item's windows are of the largest class that is not longer than it.
 CLASSES = (1, 2, 3, 4, 5, 6, 8, 10, 13, 16, 20, 26, 33, 42, 54, 70, 90, 115, 127)
@@ -73,32 +75,42 @@ def window_fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
     return out.view(np.uint64).reshape(n)
 
 
-#: What to flip in a 16-bit block to reach every value within 2 bits.
-_FLIPS = np.array([0, *(1 << a for a in range(16)), *(1 << a | 1 << b for a, b in combinations(range(16), 2))], np.uint16)
+#: First bit and width of the blocks of a fingerprint, and the bits in which one of them differs at most within ``RADIUS``.
+_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+_NEAR = RADIUS // len(_BLOCKS)
+
+
+def _flips(width: int) -> np.ndarray:
+    """What to flip in a block to reach every value within ``_NEAR`` bits."""
+    return np.array([sum(1 << b for b in c) for n in range(_NEAR + 1) for c in combinations(range(width), n)], np.int64)
 
 
 class HammingIndex:
-    """All fingerprints within ``RADIUS`` bits of a query, by exact lookups of 16-bit blocks."""
+    """All fingerprints within ``RADIUS`` bits of a query, by exact lookups of blocks."""
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        blocks = prints.view(np.uint16).reshape(-1, 4)
         self.tables = []
-        for k in range(4):
-            values = (blocks[:, k, None] ^ _FLIPS[None, :]).ravel()
-            owner = np.repeat(np.arange(len(prints)), len(_FLIPS))
+        for first, width in _BLOCKS:
+            flips = _flips(width)
+            values = (self._block(prints, first, width)[:, None] ^ flips[None, :]).ravel()
+            owner = np.repeat(np.arange(len(prints), dtype=np.int32), len(flips))
             order = np.argsort(values, kind="stable")
-            starts = np.zeros(65537, np.int64)
-            np.cumsum(np.bincount(values, minlength=65536), out=starts[1:])
+            starts = np.zeros((1 << width) + 1, np.int64)
+            np.cumsum(np.bincount(values, minlength=1 << width), out=starts[1:])
             self.tables.append((np.diff(starts) > 0, starts, owner[order]))
 
+    @staticmethod
+    def _block(prints: np.ndarray, first: int, width: int) -> np.ndarray:
+        return (prints >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.int64)
+
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions of queries, of prints, and distances of all pairs within the radius (some twice)."""
-        blocks = queries.view(np.uint16).reshape(-1, 4)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for k, (some, starts, owner) in enumerate(self.tables):
-            at = np.flatnonzero(some[blocks[:, k]])
-            value = blocks[at, k].astype(np.int64)
+            block = self._block(queries, *_BLOCKS[k])
+            at = np.flatnonzero(some[block])
+            value = block[at]
             first, many = starts[value], starts[value + 1] - starts[value]
             which = np.repeat(at, many)
             offset = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
@@ -124,6 +136,7 @@ class Benchmark:
         keys, df = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0))
         self.rare = float(np.log1p(max(1, len(every))))
         self.weights = dict(zip(keys.tolist(), np.log1p(len(every) / df).tolist(), strict=True))
+        self.keys, self.longest = keys, max(map(len, self.shingles), default=0)
         classes: dict[int, list[tuple[int, int, int]]] = {}
         for k, s in enumerate(self.shingles):
             size = max(c for c in CLASSES if c <= len(s))
@@ -161,18 +174,32 @@ class Benchmark:
             self._search_group(group, best)
         return [(t, i, s, -d, at) for (t, i), (s, d, at) in sorted(best.items())]
 
+    def _places(self, every: np.ndarray) -> np.ndarray:
+        """Where a window may begin that is similar to an item: so near a shingle of the items that it can hold one."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        found = self.keys[np.minimum(np.searchsorted(self.keys, every), len(self.keys) - 1)] == every
+        sums = np.concatenate([[0], np.cumsum(found)])
+        at = np.arange(len(every))
+        return np.flatnonzero(sums[np.minimum(at + self.longest, len(every))] > sums[np.maximum(at - self.longest, 0)])
+
     def _search_group(self, group: list[tuple[int, np.ndarray]], best: dict) -> None:
         every = np.concatenate([s for _, s in group])
         ends = np.cumsum([len(s) for _, s in group])
-        for begin in range(0, len(every), 2 * _CHUNK):  # very long texts in parts that overlap by the longest window
-            part = every[begin : begin + 2 * _CHUNK + CLASSES[-1]]
+        places = self._places(every)
+        for begin in range(0, len(places), 2 * _CHUNK):  # very long texts in parts that overlap by the longest window
+            where = places[begin : begin + 2 * _CHUNK + max(self.classes)]
+            part = every[where]
             sums = running_sums(part)
             tried: set[tuple[int, int, int]] = set()
             for size, (items, before, index) in self.classes.items():
                 if len(part) < size:
                     continue
-                for at, j, distance in zip(*map(np.ndarray.tolist, index.search(window_fingerprints(sums, size))), strict=True):
-                    at += begin
+                prints = window_fingerprints(sums, size)
+                # Windows that run across a gap between places are none.
+                whole = np.flatnonzero(where[size - 1 :] - where[: len(prints)] == size - 1)
+                for k, j, distance in zip(*map(np.ndarray.tolist, index.search(prints[whole])), strict=True):
+                    at = int(where[whole[k]])
                     g = int(np.searchsorted(ends, at, side="right"))
                     low, high = (int(ends[g - 1]) if g else 0), int(ends[g])
                     if at + size > high:

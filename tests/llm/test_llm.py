@@ -181,6 +181,22 @@ def test_fingerprints_equal_their_definition():
             assert f == sum(1 << b for b in range(64) if bits[b])
 
 
+def test_near_copies_edited_in_the_middle():
+    rng, found, tried = random.Random(7), 0, 0
+    for k in range(150):
+        n = rng.choice([49, 58, 94])
+        item, w = words(rng, n, 5000), []
+        w = item.split()
+        for at in {49: [24], 58: [29], 94: [31, 62]}[n]:
+            w[at] = "replaced"
+        searched = decontaminate.Benchmark([(0, item)])
+        text = " ".join([words(rng, 40, 5000), *w, words(rng, 40, 5000)])
+        if searched.weighted_similarity(0, decontaminate.shingle_hashes(decontaminate.word_hashes(" ".join(w)))) >= 0.8:
+            tried += 1
+            found += len(searched.search([text]))
+    assert tried > 90 and found >= 0.98 * tried
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     items = [(k, words(rng, rng.randrange(16, 60), 5000)) for k in range(30)] + [(100, ""), (101, None), (102, "too short item"), (None, words(rng, 20, 5000))]
