@@ -14,8 +14,9 @@ item's shingles and those of the aligned window must reach ``similarity``.  A
 shingle weighs the logarithm of how rare it is among the items.
 
 The items are the small side: they go to the tasks in blocks of at most
-``ITEMS_AT_ONCE``, one pass over the texts for each block, so that what is
-sent has a bound.  Nothing of the documents is collected or shuffled.
+``ITEMS_AT_ONCE``, one pass over the texts for each block.  Each block gets the
+weights of all shingles that several items of the benchmark have, so that no
+result depends on the blocks.  Nothing of the documents is collected or shuffled.
 
 Defined results: null and empty texts hold nothing; items without words are
 never found; items of fewer than five words have one shingle.  Rows with null
@@ -36,8 +37,9 @@ from tessera.llm.common import shingle_hashes, ship_package, word_hashes
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 18
 ITEMS_AT_ONCE = 5000
-#: Shingles of the length classes; an item's windows are of the largest class that is not longer than it.
+#: Shingles of the length classes; an item's windows are of the largest class that is not longer than it. Longer ones follow in steps of a quarter.
 CLASSES = (1, 2, 3, 4, 5, 6, 8, 10, 13, 16, 20, 26, 33, 42, 54, 70, 90, 115, 127)
+_LANE = CLASSES[-1]
 _CHUNK = 32_768
 _TOP = np.uint64(0x8080808080808080)
 _ONES = np.uint64(0x0101010101010101)
@@ -56,10 +58,12 @@ def running_sums(shingles: np.ndarray) -> np.ndarray:
 
 
 def window_fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
-    """The SimHash of every window of ``size`` shingles (at most 127): a bit is set where more than half have it."""
+    """The SimHash of every window of ``size`` shingles: a bit is set where more than half have it."""
     n = sums.shape[1] - size
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if size > _LANE:
+        return _long_fingerprints(sums, size, n)
     out = np.empty((n, 8), np.uint8)
     lift = _ONES * np.uint64(127 - size // 2)
     t = np.empty(n, np.uint64)
@@ -75,6 +79,28 @@ def window_fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
     return out.view(np.uint64).reshape(n)
 
 
+def _long_fingerprints(sums: np.ndarray, size: int, n: int) -> np.ndarray:
+    """The same where a lane can't hold the counts: they are added up, in wide integers, from parts that it can hold."""
+    out = np.empty((n, 8), np.uint8)
+    for k in range(8):
+        counts = np.zeros((n, 8), np.int32)
+        for at in range(0, size, _LANE):
+            end = min(size, at + _LANE)
+            counts += (sums[k, end : end + n] - sums[k, at : at + n]).view(np.uint8).reshape(n, 8)
+        out[:, k] = np.packbits(counts > size // 2, axis=1, bitorder="little")[:, 0]
+    return out.view(np.uint64).reshape(n)
+
+
+def class_of(n: int) -> int:
+    """The largest length class that is not longer than ``n``."""
+    if n <= _LANE:
+        return max(c for c in CLASSES if c <= n)
+    size = _LANE
+    while size * 5 // 4 <= n:
+        size = size * 5 // 4
+    return size
+
+
 #: First bit and width of the blocks of a fingerprint, and the bits in which one of them differs at most within ``RADIUS``.
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 _NEAR = RADIUS // len(_BLOCKS)
@@ -122,9 +148,14 @@ class HammingIndex:
 
 
 class Benchmark:
-    """A block of items, ready to be searched for."""
+    """A block of items, ready to be searched for.
+
+    ``frequency``: the number of items of the whole benchmark and the shingles
+    that more than one of them has, with their numbers of items; of the block
+    itself if not given.
+    """
 
-    def __init__(self, items: list[tuple[object, str | None]], width: int = WIDTH, similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[object, str | None]], width: int = WIDTH, similarity: float = SIMILARITY, frequency: tuple[int, dict[int, int]] | None = None):
         self.width, self.similarity = width, similarity
         self.ids, self.shingles = [], []
         for i, text in items:
@@ -134,12 +165,14 @@ class Benchmark:
                 self.shingles.append(s)
         every = [np.unique(s) for s in self.shingles]
         keys, df = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0))
-        self.rare = float(np.log1p(max(1, len(every))))
-        self.weights = dict(zip(keys.tolist(), np.log1p(len(every) / df).tolist(), strict=True))
+        count, shared = frequency or (len(every), dict(zip(keys[df > 1].tolist(), df[df > 1].tolist(), strict=True)))
+        # What one item has, and what none has, weighs the most.
+        self.rare = float(np.log1p(max(1, count)))
+        self.weights = {k: float(np.log1p(count / n)) for k, n in shared.items()}
         self.keys, self.longest = keys, max(map(len, self.shingles), default=0)
         classes: dict[int, list[tuple[int, int, int]]] = {}
         for k, s in enumerate(self.shingles):
-            size = max(c for c in CLASSES if c <= len(s))
+            size = class_of(len(s))
             sums = running_sums(s)
             prints = window_fingerprints(sums, size)
             # (item, where it begins before the window, fingerprint)
@@ -218,12 +251,30 @@ class Benchmark:
                             best[key] = got
 
 
+def _frequency(texts: DataFrame) -> tuple[int, dict[int, int]]:
+    """The number of items with words, and of the shingles that several items have in how many: over the whole benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                s = np.unique(shingle_hashes(word_hashes(text), WIDTH))
+                if len(s):
+                    # A null for the item itself.
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *s.view(np.int64).tolist()], pa.int64())], names=["shingle"])
+
+    got = texts.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1 or shingle is null").toArrow()
+    found = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    count = found.pop(None, 0)
+    return count, {k % 2**64: n for k, n in found.items()}
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Benchmark]:
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     count = -(-rows.count() // ITEMS_AT_ONCE)
+    frequency = _frequency(rows.select("t")) if count > 1 else None
     for k in range(count):
         some = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k) if count > 1 else rows
-        yield Benchmark([(r["i"], r["t"]) for r in some.collect()])
+        yield Benchmark([(r["i"], r["t"]) for r in some.collect()], frequency=frequency)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:

@@ -197,6 +197,36 @@ def test_near_copies_edited_in_the_middle():
     assert tried > 90 and found >= 0.98 * tried
 
 
+def test_long_items_with_new_ends():
+    s = np.random.default_rng(1).integers(0, 2**63, 900, dtype=np.uint64)
+    got = decontaminate.window_fingerprints(decontaminate.running_sums(s), 597)
+    for at in (0, 150, 303):
+        bits = [(s[at : at + 597] >> np.uint64(b) & np.uint64(1)).sum() * 2 > 597 for b in range(64)]
+        assert len(got) == 304 and got[at] == sum(1 << b for b in range(64) if bits[b])
+    rng, found = random.Random(8), 0
+    for k in range(20):
+        item = words(rng, 704, 5000)
+        text = " ".join([words(rng, 75, 5000), *item.split()[35:-35], words(rng, 75, 5000)])
+        found += len(decontaminate.Benchmark([(0, item)]).search([text]))
+    assert found == 20
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    common = words(rng, 12, 5000)
+    items = [(k, f"{common} {words(rng, 20, 5000)}") for k in range(40)]
+    texts = []
+    for _, item in items:
+        w = item.split()
+        w[rng.choice([2, 9, 16, -2, -3])] = "changed"
+        texts += [" ".join(w), f"{words(rng, 30, 5000)} {' '.join(w)} {words(rng, 30, 5000)}"]
+    docs, benchmark = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: {(r.doc_id, r.item_id, round(r.similarity, 9), r.start) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    once = found()
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 4)
+    assert once and found() == once
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     items = [(k, words(rng, rng.randrange(16, 60), 5000)) for k in range(30)] + [(100, ""), (101, None), (102, "too short item"), (None, words(rng, 20, 5000))]
