@@ -367,6 +367,20 @@ def test_chat_format(spark):
     assert "Python" not in out._jdf.queryExecution().toString()
 
 
+def test_chat_format_keeps_content_and_long_turns(spark):
+    call = {"tool_calls": [{"id": "b", "name": "f", "arguments": {}}], "content": "Let me look"}
+    now = 1_700_000_000_000
+    rows = [(1, 0, json.dumps(call | {"tool_calls": [{"id": "a", "name": "f", "arguments": {}}]})), (1, 1, json.dumps(call | {"tool_call_id": "a"})), (1, 2, json.dumps({"tool_call_id": "b", "content": "3"}))]
+    rows += [(2, 0, '{"content":"Hi","tool_calls":[]}'), (2, 1, '{"content":"Yes","tool_calls":[],"tool_call_id":"q"}'), *[(3, t, "x") for t in (now + 1, now, 5, 999_999_999_999, 10 * now)]]
+    df = spark.createDataFrame([(c, t, "assistant", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id, r.order_key, r.turn, json.loads(r.json)) for r in chat_format.chat_format(df).collect())
+    by = {(c, t): j for c, _, t, j in got}
+    assert len(got) == len(rows) and [t for c, _, t, _ in got if c == 1] == [0, 1, 2]
+    assert by[1, 0]["content"] == by[1, 1]["content"] == "Let me look" and by[1, 1]["tool_call_id"] == "a" and by[1, 1]["tool_calls"][0]["id"] == "b"
+    assert by[2, 0] == {"content": "Hi", "role": "assistant"} and by[2, 1] == {"content": "Yes", "role": "assistant", "tool_call_id": "q"}
+    assert [t for c, _, t, _ in got if c == 3] == [5, 999_999_999_999, now, now + 1, 10 * now]
+
+
 # 8 pages
 
 
