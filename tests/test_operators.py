@@ -137,3 +137,11 @@ def test_debounce_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.events for r in spark.table("runs").collect()) == [2, 3]
+
+
+def test_mmr_takes_every_query(spark):
+    from tessera.plans import q_vectors
+
+    d = "/root/testdata/sf0.01"
+    ids = {r[0] for r in spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 50 = 0").select("vec_id").collect()}
+    assert len(ids) > 1 and {r.query_id for r in q_vectors.q13(spark, d).collect()} == ids
