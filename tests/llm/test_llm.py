@@ -2,6 +2,7 @@
 
 import collections
 import json
+import math
 import random
 import zlib
 
@@ -117,24 +118,93 @@ def test_labels_of_held_out_ids_change_nothing(spark):
 
 
 
-def test_every_beginning_has_a_cell(spark):
-    rows = spark.createDataFrame([("once upon zeppelin", 1.0), ("once more", 0.0)], "text string, y_ double")
-    ratios = {r.key % 2**64: r.ratio for r in toxicity.beginning_ratios(toxicity.word_surroundings(rows)).collect()}
-    keys, model = set(ratios), toxicity.fit_prefix_models(rows)
-    assert set(model.keys.tolist()) == {k for k in keys if ratios[k]}
-    h = toxicity.beginnings([w + toxicity.END for w in ("once", "upon", "zeppelin", "more")])[:, 1:]
-    assert keys == set(h[h != 0].tolist())
+def brute_ratios(rows):
+    """The two models by their definition: counts, shared shorter orders, and the difference of the logarithms."""
+    n_order, discount = toxicity.ORDER, toxicity.DISCOUNT
+    n = [collections.Counter(), collections.Counter()]
+    for y in (0, 1):
+        for text in {t for t, k in rows if k == y}:
+            for chunk in set(text.split()):
+                for unit in toxicity.units_of(chunk):
+                    for k in range(1, len(unit)):
+                        n[y][unit[max(0, k - n_order + 1) : k + 1]] += 1
+    both = n[0] + n[1]
+    levels, above = [], set(both)
+    for order in toxicity.SHORTER:
+        level = collections.Counter(g[-min(len(g) - 1, order) :] for g in above if len(g) > 1)
+        levels.append(level)
+        above = set(level)
+
+    def q(level, gram):
+        counts, h = levels[level], gram[:-1]
+        after = {g: c for g, c in counts.items() if g[:-1] == h}
+        end = gram[-min(len(gram) - 1, toxicity.SHORTER[level + 1]) :] if level + 1 < len(levels) and len(gram) > 1 else None
+        low = q(level + 1, end) if end else 1 / len(after)
+        return (counts[gram] - discount + discount * len(after) * low) / sum(after.values())
 
+    out = {}
+    for gram in both:
+        h = gram[:-1]
+        t = [sum(c for g, c in n[y].items() if g[:-1] == h) for y in (0, 1)]
+        if min(t) == 0:
+            continue
+        goes = discount * sum(g[:-1] == h for g in both) / sum(t)
+        low = q(0, gram[-min(len(gram) - 1, toxicity.SHORTER[0]) :])
+        p = [(1 - goes) * (max(n[y][gram] - discount, 0) + discount * sum(g[:-1] == h for g in n[y]) * both[gram] / sum(t)) / t[y] + goes * low for y in (0, 1)]
+        out[gram] = math.log(p[1] / p[0])
+    return out
 
 
-
-def test_surroundings_are_counted_exactly(spark):
-    texts = [(" ".join(f"w{i} often" for i in range(k, k + 50)), float(k % 100 == 0)) for k in range(0, 2000, 25)]
-    got = {r.word.strip(toxicity.END): (r.toxic, r.ordinary) for r in toxicity.word_surroundings(spark.createDataFrame(texts * 2, "text string, y_ double")).collect()}
-    expected = [{w for t, y in texts if y == c for w in t.split()[::2]} for c in (1.0, 0.0)]
-    assert got["often"] == tuple(map(len, expected)) and got["often"][1] > 311
-
-
+def toxic_corpus():
+    rng = random.Random(12)
+    plain = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        w = [rng.choice(plain) for _ in range(12)]
+        if i % 3 == 0:
+            w[rng.randrange(12)] = "dabbe" + rng.choice(["", "s", "ed", "dabbeda"])
+        rows.append((" ".join(w).capitalize() + ".", int(i % 3 == 0)))
+    return rows + [(rows[0][0], 1)] * 5 + [("", 1), ("...", 0), ("c" * 150 + "ab", 0)]
+
+
+def test_toxicity_probabilities_equal_their_definition(spark):
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    # The counts see folds 1 to 3, copies once.
+    seen = [(t, y) for i, (t, y) in enumerate(rows) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    counted = spark.createDataFrame([(t, float(y)) for t, y in set(seen)], "text string, y_ double")
+    got = {r.gram: r.ratio for r in toxicity.gram_ratios(toxicity.unit_counts(counted)).collect()}
+    expected = brute_ratios(seen)
+    assert set(got) == set(expected) and len(got) > 100
+    assert all(got[g] == pytest.approx(expected[g], rel=1e-4, abs=1e-6) for g in got)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    scorer = toxicity.fit_toxicity(docs, labels)
+    model = scorer.shared.value
+    unit = toxicity.START + "dabbes" + toxicity.END
+    grams = [unit[max(0, k - toxicity.ORDER + 1) : k + 1] for k in range(1, len(unit))]
+    assert model.log_ratio([unit, toxicity.START + "zzz" + toxicity.END])[0] == pytest.approx(sum(expected.get(g, 0) for g in grams), rel=1e-4)
+
+
+def test_a_large_model_is_joined(spark):
+    rows = toxic_corpus()
+    odd = [(1000 + k, t) for k, t in enumerate([*ODD, "dabbes " * 5])] + [(None, "dabbes abc")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + odd, "doc_id long, text string").withColumn("text_key", F.lit("x")).withColumn("raw_", F.lit("y"))
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    a, b = (sorted(((r.doc_id or -1, r.held_out, r.predicted, r.score) for r in toxicity.toxicity_scores(docs, labels, model_rows=n).collect())) for n in (10**6, 0))
+    assert len(a) == len(b) == docs.count() and all(x[:3] == y[:3] and x[3] == pytest.approx(y[3], abs=1e-9) for x, y in zip(a, b))
+    kept = [sorted(map(str, toxicity.drop_toxic(docs, labels, model_rows=n).collect())) for n in (10**6, 0)]
+    assert kept[0] == kept[1]
+
+
+def test_long_words_lose_no_letter():
+    rng = random.Random(3)
+    for n in (1, 63, 64, 65, 200):
+        unit = toxicity.START + "".join(rng.choice("abc") for _ in range(n)) + toxicity.END
+        whole = [unit[max(0, k - toxicity.ORDER + 1) : k + 1] for k in range(1, len(unit))]
+        parts = [p[max(0, k - toxicity.ORDER + 1) : k + 1] for p, skip in toxicity.parts_of(unit) for k in range(skip, len(p))]
+        assert parts == whole
+        keys, owner = toxicity.gram_keys([unit, "\x02a"])
+        assert len(keys) == len(whole) + 1 and (keys[: len(whole)] == [toxicity.gram_keys([g])[0][-1] for g in whole]).all()
 
 
 @pytest.mark.parametrize("glue, letters", [("", "一二三四五六七八九十百千万上下左右中大小"), ("/", "abcdefghijk"), ("", "abcdefghijk")])
