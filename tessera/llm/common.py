@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries a worker-side word cache may hold before it is emptied (about 30 MB).
-CACHE_ENTRIES = 200_000
+#: Entries a worker-side word cache may hold before it is emptied (about 20 MB).
+CACHE_ENTRIES = 120_000
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -43,14 +47,38 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local run gets a folder of its own; on a cluster it
+    is an error, since each machine would write to its own disk.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+_CACHE: dict[str, Any] = {}
+
+
+def worker_cache(name: str, make: Callable[[], Any]) -> Any:
+    """What this worker process remembers between tasks, under one name at a time: another name empties it and gives the memory back."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+        _CACHE[name] = make()
+    return _CACHE[name]
+
+
 #: Folders written by ``materialise`` in this process.
 _WRITTEN: list[str] = []
 

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHE_ENTRIES, ship_package
+from tessera.llm.common import CACHE_ENTRIES, ship_package, worker_cache
 from tessera.llm.token_counts import byte_letters
 
 #: Rows of the packed table for which one shard is made.
@@ -67,24 +67,22 @@ class ChunkIds(dict):
         ids = self._piece(pieces[0]) if len(pieces) == 1 else [x for p in pieces for x in self._piece(p)]
         value = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= 64:
-            if len(self) >= 4 * CACHE_ENTRIES:
+            if len(self) >= 2 * CACHE_ENTRIES:
                 self.clear()
             self[chunk] = value
         return value
 
 
-_TOKENIZERS: dict[str, tuple] = {}
-
-
 def _tokenizer(path: str) -> tuple:
-    if path not in _TOKENIZERS:
+    def make() -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         special = [t.content for t in tok.get_added_tokens_decoder().values()]
-        _TOKENIZERS[path] = tok, ChunkIds(tok), special
-    return _TOKENIZERS[path]
+        return tok, ChunkIds(tok), special
+
+    return worker_cache(f"tokenizer-{path}", make)
 
 
 #: White space to Python that the tokeniser's engine takes for other characters.
