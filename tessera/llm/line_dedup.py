@@ -59,8 +59,10 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str
     return told.filter(F.col("n_sites_") >= min_sites).select("hash_", "first_", "n_sites_")
 
 
-def clean_documents(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", keep_first: bool = True) -> DataFrame:
-    """``docs`` with boilerplate lines cut from ``text``, and n_removed (lines cut)."""
+def clean_documents(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", keep_first: bool = True, counted: str = "n_removed") -> DataFrame:
+    """``docs`` with boilerplate lines cut from ``text``, and the lines cut in a column named ``counted``, which ``docs`` may not have yet."""
+    if counted in docs.columns:
+        raise ValueError(f"there is a column {counted}: give another name for the number of lines cut")
     names = docs.columns
     key = F.xxhash64("doc_id", "text")
     boiler = materialise(boilerplate_lines(docs, min_sites, site_col), "boilerplate-lines")
@@ -77,7 +79,7 @@ def clean_documents(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str =
     text = F.when(F.col("gone_").isNull(), F.col("text_")).otherwise(F.array_join("kept_", "\n"))
     n_removed = F.when(F.col("gone_").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("kept_"))
     columns = [text.alias(n) if n == "text" else F.col("row_")[n].alias(n) for n in names]
-    return both.select(*columns, n_removed.cast("long").alias("n_removed_")).withColumnRenamed("n_removed_", "n_removed")
+    return both.select(*columns, n_removed.cast("long").alias(counted))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", keep_first: bool = True) -> DataFrame:

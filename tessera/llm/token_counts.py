@@ -18,7 +18,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHE_ENTRIES, ship_package
+from tessera.llm.common import CACHE_ENTRIES, ship_package, worker_cache
 
 #: Fixed value: the published pre-tokeniser pattern of byte-level BPE vocabularies of this family.
 PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+#: Pieces whose beginnings are not one piece, and white space that a cut can join to one.
+_PARTED = ("'re", "'ve", "'ll")
+_SPACES = regex.compile(r"\p{White_Space}{2,}")
 #: A white-space character before a space, or a space at the end: segments then can't be counted apart.
 _JOINED = re.compile(r"[\s\x1c-\x1f] |\s\Z")
 
@@ -102,6 +104,7 @@ class PrefixCounter:
         none_follow: dict[int, tuple] = {}
         freeze = lambda node: {k: (v[0], freeze(v[1])) for k, v in node.items()} if node else none_follow
         self.trie = freeze(grown)
+        self.longest = max(map(len, self.names))
         self.pairs: dict[int, bool] = {}
         self.segments = _Segments(self)
 
@@ -134,7 +137,7 @@ class PrefixCounter:
         last = [0] * (n + 1)
         for j in range(n):
             here, i, follow = last[j] << 20, j, trie
-            for byte in data[j:] if n < 512 else islice(data, j, None):
+            for byte in data[j : j + self.longest]:
                 step = follow.get(byte)
                 if step is None:
                     break
@@ -180,58 +183,77 @@ class PrefixCounter:
     def count(self, text: str | None) -> int:
         return sum(1 if special else sum(self._each(part)[1]) for part, special in self.parts(text or ""))
 
+    def prefixes(self, text: str) -> np.ndarray:
+        """``out[i]``: tokens of the first i letters of a text without special strings, from one table for each piece.
+
+        A piece's beginning is a piece, but for ``_PARTED``; and white space at
+        the end of a cut is one piece, as long as it is.
+        """
+        out = np.zeros(len(text) + 1, np.int64)
+
+        def put(at: int, piece: str, before: int) -> None:
+            table = np.array(self.piece_table(piece), np.int64)
+            if not piece.isascii():
+                table = table[np.cumsum([0, *[len(c.encode()) for c in piece]])]
+            out[at + 1 : at + len(piece) + 1] = before + table[1:]
+
+        at = 0
+        for piece in PIECES.findall(text):
+            put(at, piece, total := int(out[at]))
+            if piece in _PARTED:
+                out[at + 2] = total + self._count_pieces(piece[:2])
+            at += len(piece)
+        for run in _SPACES.finditer(text):
+            put(run.start(), run[0], int(out[run.start()]))
+        return out
+
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """``out[i]``: tokens of ``text[:i]`` when encoded by itself, for every i from 0 to len(text)."""
         text = text or ""
         out = np.zeros(len(text) + 1, np.int64)
-        at = total = 0
+        at = begin = total = 0  # begin: of the ordinary text before a special string
         for part, special in self.parts(text):
-            if special:
-                # Cut inside a special string: it is ordinary text until complete.
-                for k in range(1, len(part)):
-                    out[at + k] = self._tail(text, at + k)
-                at, total = at + len(part), total + 1
-                out[at] = total
+            if not special:
+                begin = at
+                out[at : at + len(part) + 1] = total + self.prefixes(part)
+                total += sum(self._each(part)[1])
+                at += len(part)
                 continue
-            start = 0  # of the white-space run or piece that a cut can change
-            before = 0
-            pieces = PIECES.findall(part)
-            pos = 0
-            for p in pieces:
-                if not (pos > start and part[start:pos].isspace()):
-                    start, before = pos, total
-                for k in range(1, len(p) + 1):
-                    cut = part[start : pos + k]
-                    out[at + pos + k] = before + self._count_pieces(cut)
-                total += self.piece_table(p)[-1]
-                pos += len(p)
-            at += len(part)
+            # Cut inside a special string: it is ordinary text until complete.
+            tail = max(begin, at - sum(map(len, PIECES.findall(text[begin:at])[-3:])))
+            while tail > begin and text[tail - 1].isspace():
+                tail -= 1
+            if any(m in part[:-1] for m in self.special_marks):
+                out[at + 1 : at + len(part)] = [self.count(text[: at + k]) for k in range(1, len(part))]
+            else:
+                base = out[tail] if tail < at else total
+                out[at + 1 : at + len(part)] = base + self.prefixes(text[tail:at] + part[:-1])[at - tail + 1 :]
+            at, total = at + len(part), total + 1
+            begin = at
+            out[at] = total
         return out
 
-    def _tail(self, text: str, end: int) -> int:
-        return self.count(text[:end])
-
     def fit(self, text: str | None, budget: int) -> int:
         """Characters of the longest run of whole segments, and then of characters of the next one, within ``budget`` tokens."""
         at = total = 0
         for part, special in self.parts(text or ""):
-            for segment, n in [(part, 1)] if special else zip(*self._each(part), strict=True):
+            segments, counts = ([part], [1]) if special else self._each(part)
+            for k, (segment, n) in enumerate(zip(segments, counts, strict=True)):
                 if total + n > budget:
-                    for i in range(1, len(segment)):
-                        if special or total + self._count_pieces(segment[:i]) > budget:
-                            return at + i - 1
-                    return at + len(segment) - 1
+                    if special:
+                        return at
+                    # White space before a cut is one piece.
+                    back = k > 0 and segments[k - 1].isspace()
+                    before, joined = (total - counts[k - 1], len(segments[k - 1])) if back else (total, 0)
+                    inside = before + self.prefixes((segments[k - 1] if back else "") + segment)[joined + 1 :]
+                    over = np.flatnonzero(inside > budget)
+                    return at + (int(over[0]) if len(over) else len(segment) - 1)
                 at, total = at + len(segment), total + n
         return at
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    return worker_cache(f"counter-{path}", lambda: PrefixCounter(path))
 
 
 def token_counts(

@@ -4,6 +4,7 @@ import collections
 import json
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -342,6 +343,28 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.token_counts(frame(spark, []).filter("false"), path).count() == 0
 
 
+def test_prefix_tables_answer_budgets(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, c = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(5)
+    bits = ["I'll", "we're", "'s", " ", "  ", "\n", "\t", " \n ", "the", "Hello", "--", "!!", "1234", "é", "日本語", "😀", "<|endoftext|>", "<|endof", "'", "'r", "\xa0", "a\x1cb", "<"]
+    for _ in range(300):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert c.prefix_counts(t).tolist() == [n(t[:i]) for i in range(len(t) + 1)], t
+        budget = rng.randrange(12)
+        assert n(t[: c.fit(t, budget)]) <= budget
+    began = time.time()
+    monkeypatch.setattr(c, "_count_pieces", lambda t: pytest.fail("encoded again"))
+    for t in ("x" * 200_000, "ab" * 100_000, " " * 100_000 + "x", "-" * 200_000):
+        k = c.fit(t, 1000)
+        assert n(t[:k]) <= 1000 < n(t[: k + 1])
+        assert c.prefix_counts(t)[[k, -1]].tolist() == [n(t[:k]), n(t)]
+    assert time.time() - began < 60
+
+
 def test_packing_is_a_gapless_round_trip(spark):
     from tokenizers import Tokenizer
 

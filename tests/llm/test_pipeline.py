@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessera.llm import jaccard_join, toxicity
 
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, hash_ string, c0 int"
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, hash_ string, c0 int, n_removed int, copy_ string, copy int, row_ int, raw_ string, key_ int, text_key int"
+
+CLASH = (7, "c", 8, 9, "r", 10, 11)
 
 
 def words(rng, n, vocabulary=5000):
@@ -29,7 +31,7 @@ def corpus(spark, tmp_path_factory):
                 w[k] = "zorg" + rng.choice(["a", "li", "ment", "ush", "ed"])
         texts.append(" ".join(w) + ("\n" + footer if i % 3 == 0 else ""))
     texts += [texts[1], texts[1], texts[2] + " tail", items[0], words(rng, 30) + " " + items[1] + " " + words(rng, 30), "", None, "x"]
-    rows = [(i, t, "en", f"s{i % 7}", len(t or ""), "h", 1) for i, t in enumerate(texts)] + [(None, "no id here", "en", None, 10, "h", 1)]
+    rows = [(i, t, "en", f"s{i % 7}", len(t or ""), "h", 1, *CLASH) for i, t in enumerate(texts)] + [(None, "no id here", "en", None, 10, "h", 1, *CLASH)]
     d = str(tmp_path_factory.mktemp("corpus"))
     spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
