@@ -2,14 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and
 returns a DataFrame; all but the last return the columns of documents.
+
+Defined results, for every stage: an empty table gives an empty result; null
+and empty texts are kept by the filters and packed as one piece of the end id;
+rows with a null id are kept and scored like others, but stand for no other
+row; repeated rows are scored alike, and of those the n-gram Jaccard join keeps
+one; columns beyond those of documents, whatever their names, come through all
+stages but the last, which returns its own columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import free_name, materialise
 from tessera.llm.decontaminate import drop_contaminated
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.line_dedup import clean_documents
@@ -27,20 +34,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts; every row stays. ``n_chars`` follows the text."""
-    cleaned = clean_documents(docs)
-    if "n_chars" in docs.columns:
-        same = F.col("n_removed") == 0
-        cleaned = cleaned.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    counted = free_name("n_removed", names)
+    cleaned = clean_documents(docs, counted=counted)
+    text_length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None
+    return cleaned.select(*[F.when(F.col(counted) == 0, F.col(c)).otherwise(text_length).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one with the smallest id; of rows alike, one. Rows without id stay."""
+    """One document of each class stays, the one with the smallest id; of rows with one id and text, one (any). Rows without id stay."""
     classes = jaccard_join(docs)
     first = classes.filter("doc_id = class_id").select("doc_id")
     with_id = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi")
-    w = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    once = with_id.withColumn("copy_", F.row_number().over(w)).filter("copy_ = 1").drop("copy_")
+    copy = free_name("copy", docs.columns)
+    once = with_id.withColumn(copy, F.xxhash64("text")).dropDuplicates(["doc_id", copy]).drop(copy)
     return once.unionByName(docs.filter("doc_id is null"))
 
 
