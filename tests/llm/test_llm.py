@@ -357,11 +357,13 @@ def test_prefix_tables_answer_budgets(monkeypatch):
         budget = rng.randrange(12)
         assert n(t[: c.fit(t, budget)]) <= budget
     began = time.time()
-    monkeypatch.setattr(c, "_count_pieces", lambda t: pytest.fail("encoded again"))
+    count, calls = c._count_pieces, []
+    monkeypatch.setattr(c, "_count_pieces", lambda t: calls.append(t) or count(t))
     for t in ("x" * 200_000, "ab" * 100_000, " " * 100_000 + "x", "-" * 200_000):
         k = c.fit(t, 1000)
         assert n(t[:k]) <= 1000 < n(t[: k + 1])
         assert c.prefix_counts(t)[[k, -1]].tolist() == [n(t[:k]), n(t)]
+        assert len(calls) <= 2 and calls.clear() is None  # each call counts the whole text once
     assert time.time() - began < 60
 
 
