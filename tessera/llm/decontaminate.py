@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-Every window of a text as long as a benchmark item (to within its length
-class) gets a 64-bit SimHash of its five-word shingles; the sums of all
+Every window of a text as long as a benchmark item (beyond ``EXACT`` shingles,
+to within a sixteenth of its length) gets a 64-bit SimHash of its five-word shingles; the sums of all
 windows of a length come from running sums, eight bits of the hash in eight
 lanes of one word.  Each item has the fingerprints of its first and of its
 last window.  Five blocks of a fingerprint (12 or 13 bits) index the items: of
@@ -13,8 +13,9 @@ What is within the radius is verified: the weighted Jaccard similarity of the
 item's shingles and those of the aligned window must reach ``similarity``.  A
 shingle weighs the logarithm of how rare it is among the items.
 
-The items are the small side: they go to the tasks in blocks of at most
-``ITEMS_AT_ONCE``, one pass over the texts for each block.  Each block gets the
+The items are the small side: they go to the tasks in blocks, dealt by a hash,
+of ``ITEMS_AT_ONCE`` items or ``CHARS_AT_ONCE`` characters on average, one pass
+over the texts for each block.  Each block gets the
 weights of all shingles that several items of the benchmark have, so that no
 result depends on the blocks.  Nothing of the documents is collected or shuffled.
 
@@ -36,10 +37,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import shingle_hashes, ship_package, word_hashes
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 18
-ITEMS_AT_ONCE = 5000
-#: Shingles of the length classes; an item's windows are of the largest class that is not longer than it. Longer ones follow in steps of a quarter.
-CLASSES = (1, 2, 3, 4, 5, 6, 8, 10, 13, 16, 20, 26, 33, 42, 54, 70, 90, 115, 127)
-_LANE = CLASSES[-1]
+#: Items, and characters of items, that go to the tasks at once on average.
+ITEMS_AT_ONCE, CHARS_AT_ONCE = 5000, 10_000_000
+#: Shingles up to which an item's windows are just as long as it, and the steps of longer ones: within a sixteenth of its length.
+EXACT, STEP = 64, 16
+#: The most that a lane of eight bits counts without carrying.
+_LANE = 127
 _CHUNK = 32_768
 _TOP = np.uint64(0x8080808080808080)
 _ONES = np.uint64(0x0101010101010101)
@@ -92,12 +95,10 @@ def _long_fingerprints(sums: np.ndarray, size: int, n: int) -> np.ndarray:
 
 
 def class_of(n: int) -> int:
-    """The largest length class that is not longer than ``n``."""
-    if n <= _LANE:
-        return max(c for c in CLASSES if c <= n)
-    size = _LANE
-    while size * 5 // 4 <= n:
-        size = size * 5 // 4
+    """The length of the windows for an item of ``n`` shingles: ``n``, or the step below it."""
+    size = min(n, EXACT)
+    while size + size // STEP <= n and n > EXACT:
+        size += size // STEP
     return size
 
 
@@ -122,7 +123,7 @@ class HammingIndex:
             values = (self._block(prints, first, width)[:, None] ^ flips[None, :]).ravel()
             owner = np.repeat(np.arange(len(prints), dtype=np.int32), len(flips))
             order = np.argsort(values, kind="stable")
-            starts = np.zeros((1 << width) + 1, np.int64)
+            starts = np.zeros((1 << width) + 1, np.int32)
             np.cumsum(np.bincount(values, minlength=1 << width), out=starts[1:])
             self.tables.append((np.diff(starts) > 0, starts, owner[order]))
 
@@ -269,8 +270,9 @@ def _frequency(texts: DataFrame) -> tuple[int, dict[int, int]]:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Benchmark]:
-    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    count = -(-rows.count() // ITEMS_AT_ONCE)
+    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).distinct()
+    head = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    count = max(-(-head["n"] // ITEMS_AT_ONCE), -(-head["chars"] // CHARS_AT_ONCE))
     frequency = _frequency(rows.select("t")) if count > 1 else None
     for k in range(count):
         some = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k) if count > 1 else rows

@@ -268,6 +268,23 @@ def test_near_copies_edited_in_the_middle():
     assert tried > 90 and found >= 0.98 * tried
 
 
+@pytest.mark.parametrize("n, edits", [(60, 1), (100, 2), (200, 4), (400, 8)])
+@pytest.mark.parametrize("where", ["anywhere", "ends", "start"])
+def test_recall_against_exact_verification(n, edits, where):
+    rng, found, tried = random.Random(n), 0, 0
+    for _ in range(40):
+        item = words(rng, n, 5000)
+        w = item.split()
+        near = rng.sample(range(n if where == "anywhere" else n // 6), edits)
+        for k, at in enumerate(near):
+            w[n - 1 - at if where == "ends" and k % 2 else at] = f"changed{rng.randrange(10**6)}"
+        searched = decontaminate.Benchmark([(0, item)])
+        if searched.weighted_similarity(0, decontaminate.shingle_hashes(decontaminate.word_hashes(" ".join(w)))) >= 0.8:
+            tried += 1
+            found += len(searched.search([" ".join([words(rng, 100), *w, words(rng, 100)])]))
+    assert tried > 10 and found >= 0.95 * tried
+
+
 def test_long_items_with_new_ends():
     s = np.random.default_rng(1).integers(0, 2**63, 900, dtype=np.uint64)
     got = decontaminate.window_fingerprints(decontaminate.running_sums(s), 597)
