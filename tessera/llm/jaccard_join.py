@@ -5,12 +5,13 @@ set chooses those of its tokens whose hash, keyed by the node, is below
 ``1 / (similarity * size)``: the same for all sets, so that similar sets
 choose a common token with probability over one half, and each chosen token
 leads to a child node.  Buckets of bounded size are compared by brute force;
-larger ones are split again unless most of a bucket stays together in a child
-(then it is a group of near copies, and splitting it is useless).  A pair at
-the threshold shares one node of a run on average, so that ``runs`` = 8
-independent runs miss it with a chance of exp(-8), 0.03 %, and of exp(-5),
-0.7 %, if every bucket they share is split once more; more similar pairs are
-missed less.  A bucket of any size is compared whole: its sets are dealt to
+larger ones are split again and again, up to ``DEPTH`` levels, unless most of a
+bucket stays together in its children (then it is a group of near copies, and
+splitting it is useless).  A pair at the threshold shares one node of a run on
+average, so that ``runs`` = 8 independent runs miss it with a chance of exp(-8),
+0.03 %, of exp(-5), 0.7 %, if every bucket they share is split once more, and
+of at most exp(-4.4), 1.2 %, if all are split to the last level; more similar pairs are missed less.
+What is not split is compared whole, whatever its size: its sets are dealt to
 blocks by hash, and each pair of blocks is one task.  No pair is ever emitted:
 a task returns for each set the number of links it found and one edge to a
 representative of its component in the task.  A pair that meets in several
@@ -31,6 +32,7 @@ the sum of their links.  Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ from tessera.llm.common import GOLDEN, few_join, materialise, mix64, shingle_has
 WIDTH, SIMILARITY, RUNS = 5, 0.8, 8
 #: Sets of a bucket up to which it is compared without splitting it further.
 LIMIT = 256
+#: Levels that a bucket is split on; what is larger than ``LIMIT`` after them is compared as it is.
+DEPTH = 8
 #: Sets, and shingles, for which a bucket gets one more block.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 
@@ -99,12 +103,51 @@ def set_table(docs: DataFrame, width: int, runs: int, similarity: float) -> Data
     return rows.mapInArrow(run, f"c0 {kind}, c1 binary, c2 bigint, c3 array<struct<a:bigint,kids:array<bigint>>>").toDF("doc_id", "key", "n", "paths")
 
 
-def _sized(rows: DataFrame) -> DataFrame:
+def _sized(rows: DataFrame, *by: str) -> DataFrame:
     """Buckets of two sets or more: their number of sets, and a digest of which they are."""
-    return rows.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("who")).filter("m > 1")
+    return rows.groupBy(*by, "bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("who")).filter("m > 1")
 
 
-def buckets(sets: DataFrame, limit: int) -> DataFrame:
+def split(big: DataFrame, children: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(whole, parts): (bucket, key, m, who) of the buckets that are compared as they are, and of the others' children.
+
+    ``children`` (parent, bucket, key) are those of the buckets ``big``, with their ``sizes``.
+    Where most of the children's rows stand in children that hold half of the
+    bucket or more, its sets are near copies: splitting it is useless.
+    """
+    of = big.groupBy("bucket").agg(F.first("m").alias("above")).withColumnRenamed("bucket", "parent")
+    every = children.groupBy("parent").agg(F.count("*").alias("rows"))
+    kept = sizes.join(of, "parent").groupBy("parent").agg(F.sum(F.when(F.col("m") * 2 >= F.col("above"), F.col("m")).otherwise(0)).alias("stay"))
+    dense = materialise(kept.join(every, "parent").filter("stay * 2 >= rows").select("parent"), "dense-buckets")
+    parts = materialise(sizes.join(dense, "parent", "left_anti").select("bucket", "m", "who"), "child-buckets")
+    whole = few_join(big, dense.select(F.col("parent").alias("bucket")), "bucket", F.col("key"), "left_semi").select("bucket", "key", "m", "who")
+    return whole, few_join(children.select("bucket", "key"), parts, "bucket", F.col("key")).select("bucket", "key", "m", "who")
+
+
+def chosen_again(big: DataFrame, sets: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """parent, bucket, key: the children of deeper buckets, whose sets are made from their texts again.
+
+    Twice as many tokens are chosen as on the first levels, so that the chance
+    of a pair to part does not grow with the depth.
+    """
+    own = big.groupBy("key").agg(F.collect_list("bucket").alias("nodes")).join(sets.select("key", "one"), "key")
+    texts = docs.select(F.col("doc_id").alias("one"), "text").join(own, "one").select("key", "text", "nodes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, bytes]] = []
+            for key, text, nodes in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                s = shingle_set(text, width)
+                if xxhash.xxh3_128_digest(s.tobytes()) == key:  # else another text of a repeated id
+                    at, child = chosen(s, np.array(nodes, np.int64).view(np.uint64), similarity / 2)
+                    rows += [(nodes[k], c, key) for k, c in zip(at.tolist(), child.view(np.int64).tolist(), strict=True)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["parent", "bucket", "key"])
+
+    return texts.mapInArrow(run, "parent long, bucket long, key binary").distinct()
+
+
+def buckets(sets: DataFrame, docs: DataFrame, limit: int, width: int, similarity: float) -> DataFrame:
     """bucket, key, m (number of sets), of every bucket with two sets or more that is to be compared.
 
     Only the sets of large buckets are looked at again, with their children;
@@ -116,18 +159,22 @@ def buckets(sets: DataFrame, limit: int) -> DataFrame:
     # Large buckets apart, so that none is one task's.
     rows = few_join(one, large.select("bucket"), "bucket", F.col("key"), "left_anti").join(sized, "bucket")
     rows = materialise(rows.unionByName(few_join(one, large, "bucket", F.col("key"))), "buckets")
-    big = rows.filter(F.col("m") > limit)
-    if not large.isEmpty():
-        kids = F.filter("paths", lambda p: p["a"] == F.col("parent"))[0]["kids"]
-        two = big.select(F.col("bucket").alias("parent"), "key", F.col("m").alias("above")).join(sets.select("key", "paths"), "key")
-        two = materialise(two.select("parent", "above", "key", F.explode(kids).alias("bucket")), "children")
-        sized = materialise(two.groupBy("parent", "above", "bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("who")), "children-sizes")
-        # Near copies stay together: such a bucket is compared as it is.
-        dense = sized.groupBy("parent", "above").agg(F.max("m").alias("most")).filter(F.col("most") * 2 >= F.col("above")).select("parent")
-        split = sized.filter("m > 1").join(dense, "parent", "left_anti").select("parent", "bucket", "m", "who")
-        kept = two.join(split, ["parent", "bucket"]).select("bucket", "key", "m", "who")
-        whole = few_join(big, dense.select(F.col("parent").alias("bucket")), "bucket", F.col("key"), "left_semi").select("bucket", "key", "m", "who")
-        rows = materialise(rows.filter(F.col("m") <= limit).select("bucket", "key", "m", "who").unionByName(kept).unionByName(whole), "buckets")
+    done, big = [rows.filter(F.col("m") <= limit)], rows.filter(F.col("m") > limit)
+    for depth in range(DEPTH):
+        if big.isEmpty():
+            break
+        if depth == 0:
+            kids = F.filter("paths", lambda p: p["a"] == F.col("parent"))[0]["kids"]
+            children = big.select(F.col("bucket").alias("parent"), "key").join(sets.select("key", "paths"), "key")
+            children = children.select("parent", F.explode(kids).alias("bucket"), "key")
+        else:
+            children = chosen_again(big, sets, docs, width, similarity)
+        children = materialise(children, "children")
+        whole, parts = split(big, children, materialise(_sized(children, "parent"), "children-sizes"))
+        parts = materialise(parts, "buckets")
+        done += [whole, parts.filter(F.col("m") <= limit)]
+        big = parts.filter(F.col("m") > limit)
+    rows = materialise(reduce(DataFrame.unionByName, [x.select("bucket", "key", "m", "who") for x in [*done, big]]), "buckets")
     # Buckets of the same sets are compared once.
     small, large = rows.filter(F.col("m") <= limit), rows.filter(F.col("m") > limit)
     once = lambda df: df.groupBy("m", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
@@ -297,14 +344,14 @@ def compare(sets: DataFrame, homes: DataFrame, docs: DataFrame, width: int, simi
     return grouped.mapInArrow(find, "key binary, links long, root binary")
 
 
-def connected(edges: DataFrame, most: int = 30) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """key, root: the smallest key of each key's component, from edges (a, b) in both directions.
 
-    Labels spread along edges and jump to their label's label in each round;
-    every round is written to the shared folder.
+    Labels spread along edges and jump to their label's label in each round,
+    until none changes; every round is written to the shared folder.
     """
     labels = materialise(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("root")), "labels")
-    for _ in range(most):
+    while True:
         near = edges.join(labels, edges["b"] == labels["key"]).groupBy("a").agg(F.min("root").alias("m"))
         step = labels.join(near, labels["key"] == near["a"], "left").select("key", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = step.select(F.col("key").alias("k_"), F.col("root").alias("r_"))
@@ -313,7 +360,6 @@ def connected(edges: DataFrame, most: int = 30) -> DataFrame:
         labels = step.select("key", "root")
         if step.filter("old <> root").isEmpty():
             return labels
-    raise RuntimeError(f"components not found in {most} rounds")
 
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, runs: int = RUNS, limit: int = LIMIT) -> DataFrame:
@@ -321,7 +367,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILA
     ship_package(docs.sparkSession)
     each = materialise(set_table(docs, width, runs, similarity), "sets")
     sets = materialise(each.groupBy("key").agg(F.first("n").alias("n"), F.first("paths").alias("paths"), F.min("doc_id").alias("one"), F.count_distinct("doc_id").alias("copies")), "distinct-sets")
-    homes = materialise(merged_buckets(materialise(buckets(sets, limit), "buckets"), limit), "homes")
+    homes = materialise(merged_buckets(materialise(buckets(sets, docs, limit, width, similarity), "buckets"), limit), "homes")
     found = materialise(compare(sets, homes, docs, width, similarity), "links")
     edges = found.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))
     edges = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
