@@ -64,8 +64,28 @@ def test_topk_odd_rows(spark):
     assert topk_search.topk_search(empty, empty, 0, 0).count() == 0
 
 
-def test_topk_huge_components():
-    assert topk_search._plain_topk(np.array([1, 2]), np.array([[2**61], [2**60]], object), np.array([2**61], object), 9, 5)[0] == (1, 2**63 - 1)
+def test_topk_huge_components(spark):
+    assert topk_search._plain_topk(np.array([1, 2]), np.array([[2**61], [2**60]], object), np.array([2**61], object), 9, 5)[0][:2] == (1, 2**63 - 1)
+    rows = [(0, [1e17]), *[(i, [1e16 + i * 1e13]) for i in range(1, 40)], *[(100 + i, [-1e16 - i * 1e13]) for i in range(1, 40) if i % 50]]
+    v = topk_search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    for shard_rows in (8192, 10):
+        got = topk_search.topk_search(v, v.filter("id_ = 0"), len(rows), 1, 5, shard_rows).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(i, 2**63 - 1) for i in (39, 38, 37, 36, 35)]
+
+
+def test_topk_prunes_postings():
+    rng = np.random.default_rng(2)
+    columns = np.floor(rng.normal(size=(32, 4000)) * 256 / (1 + np.arange(32)[:, None]) ** 1.5)
+    ids, query, counts, bound = np.arange(4000), np.floor(rng.normal(size=32) * 256 / (1 + np.arange(32)) ** 1.5), {}, {}
+    scores = query @ columns
+    best = np.lexsort((ids, -scores))[:5]
+    got = topk_search.maxscore_topk(ids, columns, columns.min(axis=1), columns.max(axis=1), query, -1, 5, counts=counts)
+    assert got[0].tolist() == best.tolist() and got[1].tolist() == scores[best].tolist()
+    # A threshold from another shard saves more, and loses only what falls short of it.
+    least = float(np.sort(scores)[-2])
+    got = topk_search.maxscore_topk(ids, columns, columns.min(axis=1), columns.max(axis=1), query, -1, 5, least, bound)
+    assert got[0].tolist() == best[:2].tolist()
+    assert counts["pruned"] > counts["read"] and bound["read"] <= counts["read"]
 
 
 # 2 and 9 classifiers
