@@ -2,7 +2,9 @@
 
 A page is parsed to block elements and blocks of text.  Every node is content
 or not; the model has a potential for each node's features given its state,
-and one for each parent and child, which depends on the child's kind.  Both
+and one for each parent and child, which depends on the child's kind and on
+what its whole name (class, id, role) hints at; a hint's word in a longer name
+that says something else is only a feature, with a potential of its own.  Both
 are estimated by counting on labelled pages.  Sum-product message passing,
 once up and once down the tree, gives each block's exact marginal, and the
 blocks that are content more likely than not are the page's text.
@@ -34,7 +36,7 @@ from tessera.llm.common import ship_package
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|canvas|math)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|svg|iframe)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?][^>]*>"
@@ -82,17 +84,27 @@ class Node:
         self.parent, self.tag, self.kind, self.hint, self.text, self.linked, self.mark = parent, tag, kind, hint, text, linked, mark
 
 
+#: Words that name a part of a layout and say nothing about what is in it.
+_PLAIN = frozenset("box wrap wrapper area container inner outer block section item items list bar row col column region module holder panel card group links link left right top bottom primary secondary unit slot area site global buttons button form title heading thread".split())
+
+
 def _hint(attributes: str) -> str:
+    """What the names of class, id and role hint at; with a ``~`` before it where the hint is one word of a longer name that says something else."""
     if "=" not in attributes:
         return ""
     found = ""
     for m in _ATTRIBUTE.finditer(attributes):
-        for word in re.split(r"[\s\"'_\-]+", m[2].lower()):
-            got = _HINT.get(word)
-            if got and (not found or got != "main"):
+        for name in re.split(r"[\s\"']+", m[2].lower()):
+            words = [w for w in re.split(r"[_\-]+", name) if w]
+            hints = [_HINT[w] for w in words if w in _HINT]
+            if not hints:
+                continue
+            got = next((h for h in hints if h != "main"), "main")
+            if any(w not in _HINT and w not in _PLAIN and not w.isdigit() for w in words):
+                got = "~" + got
+            # A whole name says more than a part of one, and junk more than content.
+            if not found or (found[0] == "~", found.endswith("main")) > (got[0] == "~", got.endswith("main")):
                 found = got
-                if got != "main":
-                    return found
     return found
 
 
@@ -100,6 +112,8 @@ def parse(page: str | None) -> list[Node]:
     """The nodes of a page in document order, parents before children; the first is the document itself."""
     nodes = [Node(-1, "#document", "html", "")]
     stack = [0]
+    opened: Counter = Counter()  # of each tag on the stack
+    reach = [-1]  # for each element on the stack: where the p is that a block in it ends, or -1
     pieces: list[str] = []
     linked = 0  # characters of the waiting text inside links
     anchors = 0
@@ -115,7 +129,9 @@ def parse(page: str | None) -> list[Node]:
 
     def close(to: int) -> None:
         flush()
-        del stack[to:]
+        for k in stack[to:]:
+            opened[nodes[k].tag] -= 1
+        del stack[to:], reach[to:]
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -143,21 +159,14 @@ def parse(page: str | None) -> list[Node]:
         if kind is None:
             continue
         if ending:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    close(k)
-                    break
-            else:
-                flush()
+            flush()
+            if opened[tag]:  # an element is looked for only where there is one: each step up is paid by what it closes
+                close(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag))
             continue
         flush()
-        for k in range(len(stack) - 1, 0, -1):
-            if nodes[stack[k]].tag == "p" and tag not in ("button", "select", "option", "textarea", "label"):
-                close(k)
-                break
-            if nodes[stack[k]].kind not in ("item", "form", "quote"):
-                break
-        if tag in _CLOSES:
+        if reach[-1] > 0 and tag not in ("button", "select", "option", "textarea", "label"):
+            close(reach[-1])
+        if tag in _CLOSES and any(opened[t] for t in _CLOSES[tag][0]):
             ends, until = _CLOSES[tag]
             for k in range(len(stack) - 1, 0, -1):
                 here = nodes[stack[k]].tag
@@ -171,7 +180,9 @@ def parse(page: str | None) -> list[Node]:
         mark = re.search(r"data-content=\"([01])\"", attributes) if "data-content" in attributes else None
         nodes.append(Node(stack[-1], tag, kind, _hint(attributes), mark=mark[1] if mark else nodes[stack[-1]].mark))
         if kind != "void" and not attributes.endswith("/"):
+            reach.append(len(stack) if tag == "p" else reach[-1] if kind in ("item", "form", "quote") else -1)
             stack.append(len(nodes) - 1)
+            opened[tag] += 1
     if at < len(page):
         text(page[at:])
     flush()
@@ -201,7 +212,8 @@ class DomModel:
 
     @staticmethod
     def _edge_kind(child: Node) -> str:
-        return child.kind + ("/" + child.hint if child.hint else "")
+        """Its kind, with what its whole name hints at; a part of a name is a feature only."""
+        return child.kind + ("/" + child.hint if child.hint and child.hint[0] != "~" else "")
 
     def learn(self, pages: list[str]) -> DomModel:
         """Labelled pages: elements with ``data-content="1"`` or ``"0"``, which holds for what is in them."""
@@ -237,8 +249,8 @@ class DomModel:
         return tuple(out)
 
     def _seen(self, is_text: bool, feature: str) -> tuple[float, float]:
-        """P(feature | state), tempered."""
-        return tuple(((self.seen[is_text, feature, y] + 1.0) / (self.seen[is_text, "all", y] + 8.0)) ** TEMPER for y in (0, 1))
+        """P(feature | state); those of texts, several and dependent, are tempered."""
+        return tuple(((self.seen[is_text, feature, y] + 1.0) / (self.seen[is_text, "all", y] + 8.0)) ** (TEMPER if is_text else 1.0) for y in (0, 1))
 
     def ready(self) -> DomModel:
         self._edge_cache: dict[str, tuple] = {}
@@ -313,14 +325,18 @@ def training_pages(n: int = 400, seed: int = 7) -> list[str]:
 
     def named(*names: str) -> str:
         name = r.choice(names)
-        return r.choice([f' class="{name}"', f' id="{name}"', f' class="{word()} {name}"', f' class="{name}-{r.choice(["box", "wrap", "area", "1"])}"'])
+        return r.choice([f' class="{name}"', f' id="{name}"', f' class="{word()} {name}"', f' class="{name}-{r.choice(["box", "wrap", "area", "1"])}"', f' class="{r.choice(["site", "top", "global"])}-{name}"'] if r.random() > 0.04 else [f' class="{word()}-{name}"'])
+
+    def loose() -> str:
+        """A name that holds a hint's word and means something else."""
+        return f' class="{r.choice(sorted(_HINT))}-{word()}"' if r.random() < 0.1 else ""
 
     def article() -> str:
         out = [f"<h1>{sentence(2, 9)}</h1>"] if r.random() < 0.8 else []
         for _ in range(r.choice([1, 2, 3, 5, 8, 13])):
             out.append(
                 r.choices(
-                    [f"<p>{prose()}</p>", f"<p><b>{prose()}<br>", f"<h2>{sentence(1, 6)}</h2>", "<ul>" + "".join(f"<li>{word() if short else sentence(1, 8)}</li>" for short in [r.random() < 0.5] for _ in range(r.randint(1, 5))) + "</ul>", f"<blockquote><p>{prose()}</p></blockquote>", f"<table><tr><td>{word()}</td><td>{sentence(1, 4)}</td></tr></table>", f"<p>{sentence(1, 4)} {link()} {sentence(1, 4)}</p>", f"<figure><img src=x><figcaption>{sentence()}</figcaption></figure>", f"<div>{prose()}</div>", f"<pre>{prose()}</pre>"],
+                    [f"<p{loose()}>{prose()}</p>", f"<p><b>{prose()}<br>", f"<h2>{sentence(1, 6)}</h2>", "<ul>" + "".join(f"<li>{word() if short else sentence(1, 8)}</li>" for short in [r.random() < 0.5] for _ in range(r.randint(1, 5))) + "</ul>", f"<blockquote><p>{prose()}</p></blockquote>", f"<table><tr><td>{word()}</td><td>{sentence(1, 4)}</td></tr></table>", f"<p>{sentence(1, 4)} {link()} {sentence(1, 4)}</p>", f"<figure><img src=x><figcaption>{sentence()}</figcaption></figure>", f"<div{loose()}>{prose()}</div>", f"<pre>{prose()}</pre>"],
                     [60, 6, 7, 6, 4, 3, 6, 2, 3, 2],
                 )[0]
             )
