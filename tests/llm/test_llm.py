@@ -123,6 +123,39 @@ def test_classifiers_held_out_and_odd_rows(spark, score, column, cut):
     assert np.mean([rows[i].predicted == truth[i] for i in held]) > 0.95
 
 
+def test_ridge_equals_a_direct_solution(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, len(quality.STATISTICS))) * np.arange(1, len(quality.STATISTICS) + 1)
+    y = (x[:, 0] + 0.2 * rng.normal(size=300) > 0).astype(float)
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "stats array<double>, y_ double").repartition(5)
+    model = quality.fit_kernel_ridge(rows)
+    z = model.features(x)
+    penalty = quality.PENALTY * len(x) * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-9
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + penalty, z.T @ y), atol=1e-6)
+    # The features' products approximate the Gaussian kernel of the standardised statistics.
+    s = (x - x.mean(axis=0)) / x.std(axis=0)
+    kernel = np.exp(-np.square(s[:60, None] - s[None, :60]).sum(axis=2) / (2 * quality.WIDTH**2))
+    many = quality.KernelRidge(x.mean(axis=0), x.std(axis=0), features=20_000)
+    f = many.features(x[:60])[:, :-1]
+    assert np.abs(f @ f.T - kernel).max() < 0.05
+
+
+def test_isotonic_equals_brute_force():
+    from tessera.llm.calibration import Isotonic
+
+    rng = np.random.default_rng(5)
+    x, w = np.arange(12) / 12, rng.integers(1, 6, 12).astype(float)
+    p = np.array([float(rng.integers(0, n + 1)) for n in w])
+    # Min-max formula of isotonic regression.
+    mean = lambda i, j: p[i : j + 1].sum() / w[i : j + 1].sum()
+    best = [max(min(mean(i, j) for j in range(k, 12)) for i in range(k + 1)) for k in range(12)]
+    curve = Isotonic(x, w, p)
+    at = np.searchsorted([*curve.x[1:]], x + 1e-12)  # blocks by their centres
+    raw = [(b - 0.5) / (1 - abs(2 * b - 1)) * 2 if b else -1e9 for b in x]
+    assert (np.diff(curve(np.array(raw))) >= 0).all() and len(curve.x) == len(set(np.round(best, 12))) and len(at) == 12
+
+
 def test_classifiers_without_labels(spark):
     docs, labels = labelled(spark, 20)
     for score in (toxicity.toxicity_scores, quality.quality_scores):
@@ -513,6 +546,52 @@ def test_chat_format_keeps_content_and_long_turns(spark):
     assert [t for c, _, t, _ in got if c == 3] == [5, 999_999_999_999, now, now + 1, 10 * now]
 
 
+def test_chat_links_equal_sql(spark):
+    """Calls and results out of order, checked against plain SQL over what the messages were made from."""
+    import duckdb
+
+    rng, messages, calls, results = random.Random(21), [], [], []
+    schema = [("add", "x", "number", True), ("add", "y", "integer", False), ("find", "q", "string", True)]
+    for conv in range(60):
+        turns = rng.sample(range(-20, 200), 12)
+        for turn in turns[:4]:
+            some = []
+            for pos in range(rng.randrange(1, 4)):
+                name, args = rng.choice([("add", {"x": 1}), ("add", {"x": "a"}), ("add", {"x": 1, "y": 2.5}), ("add", {"y": 1}), ("find", {"q": "z"}), ("find", {"q": "z", "other": 1}), ("nope", {})])
+                good = (name, json.dumps(args)) in {("add", '{"x": 1}'), ("find", '{"q": "z"}')}
+                some.append({"id": f"c{rng.randrange(8)}", "name": name, "arguments": args})
+                calls.append((conv, turn, pos, some[-1]["id"], "unknown_tool" if name == "nope" else "ok" if good else "invalid_arguments"))
+            messages.append((conv, turn, "assistant", json.dumps({"tool_calls": some})))
+        for turn in turns[4:10]:
+            results.append((conv, turn, f"c{rng.randrange(10)}"))
+            messages.append((conv, turn, "tool", json.dumps({"tool_call_id": results[-1][2], "content": "r"})))
+        messages += [(conv, turn, "user", f"hi {turn}") for turn in turns[10:]]
+    rng.shuffle(messages)
+    con = duckdb.connect()
+    for name, kinds, rows in (("calls", "conv int, turn int, pos int, id varchar, status varchar", calls), ("results", "conv int, turn int, id varchar", results), ("messages", "conv int, turn int, role varchar, text varchar", messages)):
+        con.execute(f"create table {name} ({kinds})")
+        con.executemany(f"insert into {name} values ({', '.join('?' * len(rows[0]))})", rows)
+    expected = con.execute("""
+        with f as (select conv, id, min((turn, pos)) as at from calls group by conv, id),
+        c as (select calls.*, case when status <> 'ok' then status when (turn, pos) = f.at and exists (select 1 from results r where r.conv = calls.conv and r.id = calls.id) then 'ok' else 'unanswered' end as told
+              from calls join f on calls.conv = f.conv and calls.id = f.id),
+        m as (select conv, turn, arg_max(told, case told when 'invalid_arguments' then 3 when 'unknown_tool' then 2 when 'unanswered' then 1 else 0 end) as status, turn as t, -1 as p, turn as own from c group by conv, turn
+              union all select r.conv, r.turn, case when f.id is null then 'unlinked' else 'ok' end, coalesce(f.at[1], r.turn), coalesce(f.at[2], -1), r.turn from results r left join f on r.conv = f.conv and r.id = f.id
+              union all select conv, turn, 'ok', turn, -1, turn from messages where role = 'user')
+        select conv, turn, status from m order by conv, t, p, own
+    """).fetchall()
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    got = chat_format.chat_format(df, spark.createDataFrame(schema, chat_format.SCHEMA)).collect()
+    assert [(r.conv_id, r.turn, r.status) for r in sorted(got, key=lambda r: (r.conv_id, r.order_key))] == expected
+    assert len({s for _, _, s in expected}) == 5
+
+
+def test_chat_turns_sort_as_numbers(spark):
+    turns = [-(10**12), -5, -4, 0, 3, 999_999_999_999, 10**12, 10**13, None]
+    df = spark.createDataFrame([(1, t, "user", "x") for t in turns], "conv_id long, turn long, role string, text string")
+    assert [r.turn for r in sorted(chat_format.chat_format(df).collect(), key=lambda r: r.order_key)] == turns
+
+
 # 8 pages
 
 
@@ -551,6 +630,23 @@ def test_marginals_equal_brute_force():
     assert np.allclose(model.marginals(nodes), on / total)
 
 
+def test_html_by_hand():
+    model = html_extract.trained()
+    layouts = {
+        "<body><article><p>Energy <math><mi>E</mi>=m</math> is mass</p></article></body>": "Energy E=m is mass",
+        "<article><h2>News</h2><p class='alert-level'>The alert level rose again last week.</p><div class='share-of-market'><p>Our share grew.</p></div></article>": "News\nThe alert level rose again last week.\nOur share grew.",
+        "<div id=page><div class='top-menu'><a href=/>Home</a> <a href=/n>News</a></div><div class=content><p>One long sentence of the story.</p><p>Another one follows it here.</p></div><div class=footer><p>&copy; 2024 All rights</p></div></div>": "One long sentence of the story.\nAnother one follows it here.",
+        "<main><h1>T</h1><p>Body text with a <a href=x>link</a> inside.</p></main><section id='comments'><div class='comment'><p>First!</p></div></section>": "T\nBody text with a link inside.",
+        "<article><p>Before.</p><aside class='related'><ul><li><a href=1>a</a></li><li><a href=2>b</a></li></ul></aside><p>After the box.</p></article>": "Before.\nAfter the box.",
+    }
+    for page, text in layouts.items():
+        assert html_extract.main_text(page, model) == text
+    began = time.time()
+    for page in ("<div>" * 16_000 + "</b1></section>" * 16_000, "<p>x<blockquote>" * 16_000, "<ul><li>" * 16_000, "<div>" * 8_000 + "<td>" * 8_000):
+        html_extract.main_text(page, model)
+    assert time.time() - began < 20
+
+
 def test_html_on_unseen_layouts():
     model = html_extract.trained()
     exact = 0
