@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
-from tessera.operators import symbols as S
 from tessera.operators.documents import ANCHORS
 from tessera.plans.registry import query
 from tessera.plans.tables import table, values
@@ -70,71 +69,6 @@ def q46(spark, d):
     return table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(7).select(F.col("p_partkey").alias("id"), F.round(confidence, 2).alias("confidence"))
 
 
-_WEIGHTED = "round(0.15 * (p_size / 50.0)::double + 0.25 * (case when contains(lower(p_type), 'steel') then 1 else 0 end)::double + 0.2 * (case when contains(lower(p_name), 'a') then 1 else 0 end)::double + 0.4 * (p_retailprice / 2000.0)::double, 6)"
-
-
-@query("q47_candidate_weighted_score", f"with s as (select p_partkey as id, {_WEIGHTED} as score from part) select id, score from s order by score desc, id limit 20")
-def q47(spark, d):
-    flag = lambda c, s: F.lower(c).contains(s).cast("int")
-    score = F.col("p_size") / 50.0 * 0.15 + flag("p_type", "steel") * 0.25 + flag("p_name", "a") * 0.2 + F.col("p_retailprice") / 2000.0 * 0.4
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
-
-
-_SYMBOLS = "(1, 'function', 'setupServer', 'function setupServer(port)', true, true, true, 1, 2, 12), (2, 'variable', 'tmp', 'const tmp', false, false, false, 0, 0, 1), (3, 'class', 'UserServiceManager', 'class UserServiceManager', true, true, false, 0, 7, 80), (4, 'function', '_privateHelper', 'function _privateHelper(a, b, c)', false, false, false, 3, 1, 4), (5, 'interface', 'Index', 'interface Index', true, false, false, 0, 0, 9), (6, 'function', 'testParser', 'function testParser(x)', false, true, true, 1, 9, 60), (7, 'export', 'main', 'export main', true, false, false, 0, 0, 2), (8, 'type', 'usrServ', 'type usrServ', false, false, false, 0, 0, 3)"
-_COLUMNS = "id, kind, name, signature, exported, documented, is_async, parameters, relations, lines"
-_HAS = lambda c, parts: "(" + " or ".join(f"contains({c}, '{p}')" for p in parts) + ")"
-_IMPORTANCE = f"""greatest(0, case kind {' '.join(f"when '{k}' then {v}" for k, v in S.BASE.items())} else 0 end + case when exported then 30 else 0 end
-    + case when {_HAS('lower(name)', S.CENTRAL)} then 25 else 0 end + case when lower(name) in ('index', 'main', 'app', 'server') then 20 else 0 end + case when documented then 10 else 0 end
-    + case when is_async then 8 else 0 end + least(parameters * 2, 10) + least(relations * 3, 15) - case when lines < 2 then 5 when lines > 50 then 10 else 0 end
-    - case when {_HAS('lower(name)', ('test', 'spec', 'mock'))} then 20 else 0 end - case when starts_with(name, '_') or {_HAS('lower(name)', ('internal', 'private'))} then 10 else 0 end)"""
-
-
-def _symbols(spark):
-    c = F.col
-    return values(spark, _SYMBOLS, _COLUMNS).withColumn("importance", S.importance(c("kind"), c("name"), c("exported"), c("documented"), c("is_async"), c("parameters"), c("relations"), c("lines")))
-
-
-@query("q95_symbol_importance", f"select id, {_IMPORTANCE} as importance from (values {_SYMBOLS}) t({_COLUMNS})")
-def q95(spark, d):
-    return _symbols(spark).select("id", "importance")
-
-
-_WORDS = "list_filter(string_split({}, ' '), lambda w: length(w) > 2)"
-_Q = "user service"
-_MATCH = f"""case when lower(name) = '{_Q}' then 1.0::double else greatest(
-    case when contains(lower(name), '{_Q}') then 0.8::double else 0 end, case when contains('{_Q}', lower(name)) and length(name) > 3 then 0.7::double else 0 end, case when contains(lower(signature), '{_Q}') then 0.6::double else 0 end,
-    (greatest(length(name), {len(_Q)}) - levenshtein(lower(name), '{_Q}')) / greatest(length(name), {len(_Q)}) * 0.6::double,
-    len(list_filter({_WORDS.format(f"'{_Q}'")}, lambda w: len(list_filter({_WORDS.format("lower(name) || ' ' || lower(signature)")}, lambda x: contains(x, w) or contains(w, x))) > 0)) / 2 * 0.5::double) end"""
-
-
-@query("q40_query_match_levenshtein", f"select id, round({_MATCH}, 6) as score from (values {_SYMBOLS}) t({_COLUMNS})")
-def q40(spark, d):
-    return _symbols(spark).select("id", F.round(S.query_match(F.col("name"), F.col("signature"), _Q), 6).alias("score"))
-
-
-_RELEVANCE = f"least(100.0::double, ({_MATCH}) * 30 + case when exported then 10 else 0 end + case when documented then 8 else 0 end)"
-
-
-@query("q39_relevance_score", f"select id, round(({_RELEVANCE}) * 0.45::double + least(relations * 3, 15) * 0.25::double + (case when is_async then 28 else 20 end) * 0.15::double + {_IMPORTANCE} * 0.15::double, 6) as score from (values {_SYMBOLS}) t({_COLUMNS})")
-def q39(spark, d):
-    """For the task "implement": relevance, context, quality and importance, weighted."""
-    points = lambda c, n: F.when(F.col(c), n).otherwise(0)
-    relevance = F.least(F.lit(100.0), S.query_match(F.col("name"), F.col("signature"), _Q) * 30 + points("exported", 10) + points("documented", 8))
-    context = F.least(F.col("relations") * 3, F.lit(15))
-    quality = F.when(F.col("is_async"), 28).otherwise(20)
-    return _symbols(spark).select("id", F.round(S.task_score("implement", relevance, context, quality, F.col("importance")), 6).alias("score"))
-
-
-@query("q38_symbol_similarity", "with p as (select p_partkey as id, p_name as name, p_type as kind from part where p_partkey <= 60) select a.id as a, b.id as b, round(case when a.name = b.name then 1.0 else (case when a.kind = b.kind then 0.3 else 0 end) + 0.3 * (greatest(length(a.name), length(b.name)) - levenshtein(a.name, b.name)) / greatest(length(a.name), length(b.name)) end::double, 6) as similarity from p a join p b on a.id < b.id and a.kind = b.kind")
-def q38(spark, d):
-    """Within a type: 0.3 for the type and 0.3 for the likeness of names."""
-    p = table(spark, d, "part").filter("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
-    q = p.select(F.col("id").alias("b"), F.col("name").alias("name_b"), "kind")
-    pairs = p.withColumnRenamed("id", "a").join(q, "kind").filter("a < b")
-    like = F.when(F.col("name") == F.col("name_b"), 1.0).otherwise(F.lit(0.3) + S.fuzzy(F.col("name"), F.col("name_b")) * 0.3)
-    return pairs.select("a", "b", F.round(like, 6).alias("similarity"))
-
-
 @query("q41_cross_file_importance", "with w as (select distinct l_partkey as symbol, l_orderkey as file from lineitem), n as (select count(distinct file) as files from w) select symbol, count(*) as used_in, round(count(*) / (select files from n), 6) as importance from w group by symbol")
 def q41(spark, d):
     w = table(spark, d, "lineitem").select(F.col("l_partkey").alias("symbol"), F.col("l_orderkey").alias("file")).distinct()
@@ -142,20 +76,6 @@ def q41(spark, d):
     return w.groupBy("symbol").agg(F.count("*").alias("used_in")).crossJoin(F.broadcast(n)).select("symbol", "used_in", F.round(F.col("used_in") / F.col("files"), 6).alias("importance"))
 
 
-@query("q32_project_architecture_mode", "with c as (select source, lang, count(*) as n from documents group by 1, 2), r as (select *, row_number() over (partition by source order by n desc, lang) as k from c) select source, lang as dominant, n from r where k = 1")
-def q32(spark, d):
-    c = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    best = c.groupBy("source").agg(F.min(F.struct((-F.col("n")).alias("m"), "lang")).alias("b"))
-    return best.select("source", F.col("b.lang").alias("dominant"), (-F.col("b.m")).alias("n"))
-
-
-@query("q33_file_complexity", "select l_orderkey as file, round(2 * count(*) + sum(l_quantity) / 10 + avg(l_discount), 6) as score, case when 2 * count(*) + sum(l_quantity) / 10 + avg(l_discount) < 20 then 'low' when 2 * count(*) + sum(l_quantity) / 10 + avg(l_discount) < 50 then 'medium' else 'high' end as level from lineitem group by 1")
-def q33(spark, d):
-    score = F.count("*") * 2 + F.sum("l_quantity") / 10 + F.avg("l_discount")
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(score.alias("s"))
-    return rows.select("file", F.round("s", 6).alias("score"), F.when(F.col("s") < 20, "low").when(F.col("s") < 50, "medium").otherwise("high").alias("level"))
-
-
 _CHUNKS = "(1, 'src/a/auth.ts', 'function verifyAuth(x)', 'useAuth'), (2, 'src/a/user.ts', 'calls verifyAuth', 'verifyAuth'), (3, 'src/b/db.ts', 'const createClient = 1', 'prisma,createClient'), (4, 'src/b/use.ts', 'createClient()', 'createClient'), (5, 'docs/x.md', 'nothing here', '')"
 
 
