@@ -56,6 +56,21 @@ def excerpt(text: Column, width: int = 180) -> Column:
     return F.when(F.length(line) <= width, line).otherwise(F.concat(F.substring(line, 1, width), F.lit("...")))
 
 
+def markdown_facts(text: Column) -> Column:
+    """(headers, levels, code_blocks, links, words) of a Markdown text."""
+    heads = F.filter(F.split(text, "\n"), lambda x: F.trim(x).startswith("#"))
+    levels = F.transform(heads, lambda x: F.length(F.regexp_extract(x, "^(#+)", 1)))
+    n = lambda p: F.regexp_count(text, F.lit(p))
+    return F.struct(F.size(heads).alias("headers"), levels.alias("levels"), n(r"```[\s\S]*?```").alias("code_blocks"), n(r"\[([^\]]+)\]\(([^)]+)\)").alias("links"), F.size(F.split(text, r"\s+")).alias("words"))
+
+
+def yaml_keys(text: Column) -> Column:
+    """What stands before the first colon of each line that is no comment, list item or blank; names with spaces don't count."""
+    lines = F.filter(F.split(text, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#") & x.contains(":") & ~F.trim(x).startswith("-"))
+    keys = F.transform(lines, lambda x: F.trim(F.split_part(x, F.lit(":"), F.lit(1))))
+    return F.filter(keys, lambda k: (k != "") & ~k.contains(" "))
+
+
 def complexity(code: Column) -> Column:
     """1 and the decision points outside comments and strings."""
     for pattern, put in NOT_CODE:

@@ -8,6 +8,8 @@ compared with all others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -306,6 +308,10 @@ def file_context(files: list[str]) -> Column:
     return _first(*rules, otherwise=0.0) if rules else F.lit(0.0)
 
 
+def _holding(part: str) -> Callable[[Column], Column]:
+    return lambda text: F.lower(text).contains(part)
+
+
 def symbol_context(names: list[str], targets: Column | None = None) -> Column:
     """The best of: a named symbol itself (1), one whose targets hold the name (0.8), a signature that holds it (0.6)."""
     best = F.lit(0.0)
@@ -313,7 +319,7 @@ def symbol_context(names: list[str], targets: Column | None = None) -> Column:
         want = n.lower()
         score = F.when(F.lower("signature").contains(want), 0.6).otherwise(0.0)
         if targets is not None:
-            score = F.greatest(score, F.when(F.exists(targets, lambda t, w=want: F.lower(t).contains(w)), 0.8).otherwise(0.0))
+            score = F.greatest(score, F.when(F.exists(targets, _holding(want)), 0.8).otherwise(0.0))
         best = F.greatest(best, F.when(F.lower("name") == want, 1.0).otherwise(score))
     return best
 

@@ -89,24 +89,27 @@ def fixed_line_chunks(docs: DataFrame, lines: int = 50) -> DataFrame:
     return rows.select("doc_id", F.col("x.i").alias("chunk"), (F.col("x.i") * lines + 1).alias("start_line"), F.least(F.col("n"), (F.col("x.i") + 1) * lines).alias("end_line"), kind.alias("kind"), F.length("x.c").alias("chars"))
 
 
+def line_chunks(text: str, size: int = 2000, overlap: int = 100) -> list[tuple[int, int, str]]:
+    """(first line, last line, content): lines up to ``size`` characters; each piece repeats the last ``ceil(overlap / 50)`` lines."""
+    again = -(-overlap // 50)
+    lines = text.split("\n")
+    out, begin, used = [], 0, 0
+    for k, line in enumerate(lines):
+        if k > begin and used + len(line) + 1 > size:
+            out.append((begin + 1, k, "\n".join(lines[begin:k]).strip()))
+            begin = max(begin + 1, k - again)
+            used = sum(len(x) + 1 for x in lines[begin:k])
+        used += len(line) + 1
+    out.append((begin + 1, len(lines), "\n".join(lines[begin:]).strip()))
+    return out
+
+
 def overlap_chunks(docs: DataFrame, size: int = 2000, overlap: int = 100) -> DataFrame:
     """Line-greedy chunks of up to ``size`` characters that repeat the last ``ceil(overlap / 50)`` lines."""
-    again = -(-overlap // 50)
 
     def run(batches):
         for rows in batches:
-            out = []
-            for doc_id, text in zip(rows.doc_id, rows.text, strict=True):
-                lines = (text or "").split("\n")
-                begin, used, number = 0, 0, 0
-                for k, line in enumerate(lines):
-                    if k > begin and used + len(line) + 1 > size:
-                        out.append((doc_id, number, begin + 1, k, "\n".join(lines[begin:k]).strip()))
-                        number += 1
-                        begin = max(begin + 1, k - again)
-                        used = sum(len(x) + 1 for x in lines[begin:k])
-                    used += len(line) + 1
-                out.append((doc_id, number, begin + 1, len(lines), "\n".join(lines[begin:]).strip()))
+            out = [(i, n, *chunk) for i, text in zip(rows.doc_id, rows.text, strict=True) for n, chunk in enumerate(line_chunks(text or "", size, overlap))]
             yield pd.DataFrame(out, columns=["doc_id", "chunk", "start_line", "end_line", "content"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk int, start_line int, end_line int, content string").filter("content <> ''")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Libraries and the imports that show them.
 LIBRARIES = (("tailwind", "tailwindcss|className="), ("radix", "@radix-ui/"), ("lucide", "lucide-react"), ("cva", "class-variance-authority"), ("styled", "styled-components"), ("emotion", "@emotion/"))
-#: Tags of capabilities and what shows them.
-CAPABILITIES = (("auth", "auth|login|jwt"), ("payments", "stripe|payment"), ("database", "sql|prisma|mongo"), ("messaging", "queue|kafka|slack"), ("storage", "s3|bucket|blob"))
 
 
 def page_findings(pages: DataFrame) -> DataFrame:
@@ -34,11 +32,6 @@ def libraries(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(tags).alias("library")).groupBy("library").agg(F.count_distinct("path").alias("files"))
 
 
-def capabilities(files: DataFrame) -> DataFrame:
-    low = F.lower("text")
-    return files.select("path", F.explode(F.array_compact(F.array(*[F.when(low.rlike(p), n) for n, p in CAPABILITIES]))).alias("tag"))
-
-
 def module_graph(files: DataFrame) -> DataFrame:
     """Import edges (src, dst): relative imports resolved against the files that there are."""
     target = F.regexp_extract_all("text", F.lit(r"""from ['"]\./([^'"]+)['"]"""), F.lit(1))

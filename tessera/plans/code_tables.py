@@ -29,7 +29,7 @@ USES = "select l_partkey as id, l_suppkey * 17 % 200 as target, l_orderkey as fi
 FILES = """select o_orderkey as id, 'src/' || case o_orderkey % 11 when 0 then 'core/' when 1 then 'api/' when 2 then 'node_modules/pkg/' when 3 then 'services/auth/' when 4 then 'scripts/' when 5 then '.next/static/' when 6 then 'components/ui/' when 7 then '__tests__/' when 8 then 'docs/' when 9 then 'app/users/[id]/' else 'lib/db/' end
     || case o_orderkey % 7 when 0 then 'index' when 1 then 'userStore' when 2 then 'README' when 3 then 'config' when 4 then 'page' when 5 then 'api.test' else 'bundle.min' end || o_orderkey % 97
     || case o_orderkey % 6 when 0 then '.ts' when 1 then '.tsx' when 2 then '.md' when 3 then '.py' when 4 then '.json' else '.js' end as path,
-    cast(o_totalprice as bigint) as size, o_orderdate as mtime, o_orderstatus as status, o_orderpriority as priority from orders"""
+    cast(floor(o_totalprice) as bigint) as size, o_orderdate as mtime, o_orderstatus as status, o_orderpriority as priority from orders"""
 #: Lines of source: one for each part, of many kinds.
 LINES = """select p_partkey as id, 'src/' || replace(lower(p_brand), '#', '') || '.ts' as path, case p_partkey % 20
     when 0 then 'import { Pool } from "pg"' when 1 then 'import React, { useState } from ''react''' when 2 then 'const db = new PrismaClient()' when 3 then 'export async function GET(req) { return db.query("SELECT 1") }'
@@ -38,7 +38,19 @@ LINES = """select p_partkey as id, 'src/' || replace(lower(p_brand), '#', '') ||
     when 12 then 'export default class Item extends Base {' when 13 then 'fetch("/api/users")' when 14 then 'if (a && b) { throw new Error("x") }' when 15 then '// TODO: tidy up' when 16 then 'import express from "express"'
     when 17 then '<button onClick={go}><Icon /></button>' when 18 then 'import { helper } from "./util"' else 'return ' || p_name end as text from part"""
 
-_TABLE = re.compile(r"\bfrom (part|lineitem|orders)\b")
+#: Logs: a line for each event, a log for each user.
+LOG = """select user_id as log, event_id as line, case event_id % 9 when 0 then 'TypeError: x is not a function' when 1 then '    at run' || cast(event_id % 7 as string) || ' (src/local/f' || cast(event_id % 13 as string) || '.ts:' || cast(event_id % 90 + 1 as string) || ':12)'
+    when 2 then '    at src/api/g' || cast(event_id % 5 as string) || '.ts:' || cast(event_id % 40 as string) || ':3' when 3 then 'ReferenceError: y' when 4 then '  File "b' || cast(event_id % 3 as string) || '.py", line ' || cast(event_id % 50 as string) || ', in go'
+    when 5 then '  File "c.py", line 7' when 6 then 'SyntaxError: odd' when 7 then 'Error: ' || event_type else 'plain ' || event_type end as text, value from events"""
+#: Matches: one for each line item.
+MATCHES = "select l_orderkey * 10 + l_linenumber as id, 'src/local/f' || cast(l_suppkey % 17 as string) || '.ts' as file, 'run' || cast(l_partkey % 11 as string) as symbol, case when l_quantity > 10 then l_discount * 8 end as similarity from lineitem"
+#: Markdown and keyed text: one for each document.
+MARKDOWN = "select doc_id as id, replace(replace(replace(text, '. ', '.' || chr(10) || '## '), ', ', ' [l](u) '), 'and', '```x```') as text from documents"
+KEYED = "select doc_id as id, replace(replace(text, ' ', ': '), '. ', chr(10) || '- ') as text from documents"
+#: Rendered lists of similar chunks: one for each part.
+SIMILAR = "select p_partkey as id, '# Result' || chr(10) || '### 1. src/' || p_type || '/a.ts (' || cast(p_size as string) || '.' || cast(p_partkey % 10 as string) || '% similar)' || chr(10) || 'text (3% similar)' || repeat(chr(10) || '### 2. lib/b.js (7.5% similar)', p_size % 3) as text from part"
+
+_TABLE = re.compile(r"\bfrom (part|lineitem|orders|events|documents)\b")
 
 
 def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

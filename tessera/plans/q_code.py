@@ -31,18 +31,6 @@ def q56(spark, d):
     return code(spark).select("id", points.alias("points"), T.complexity_rating(points).alias("rating"))
 
 
-@query("q57_markdown_facts", rf"with l as (select id, unnest(string_split(text, chr(10))) as s from (values {_CODE}) t(id, text)) select id, count(*) filter (regexp_matches(s, '^#+ ')) as headers, sum({_count('s', r'\[[^\]]*\]\([^)]*\)')})::bigint as links, count(*) as lines from l group by id")
-def q57(spark, d):
-    l = code(spark).select("id", F.explode(F.split("text", "\n")).alias("s"))  # noqa: E741
-    return l.groupBy("id").agg(F.count_if(F.col("s").rlike("^#+ ")).alias("headers"), F.sum(F.regexp_count("s", F.lit(r"\[[^\]]*\]\([^)]*\)"))).alias("links"), F.count("*").alias("lines"))
-
-
-@query("q58_yaml_keys", f"with l as (select id, unnest(string_split(text, chr(10))) as s from (values {_CODE}) t(id, text)) select id, regexp_extract(s, '^([A-Za-z_]+):', 1) as key from l where regexp_matches(s, '^[A-Za-z_]+:')")
-def q58(spark, d):
-    l = code(spark).select("id", F.explode(F.split("text", "\n")).alias("s"))  # noqa: E741
-    return l.filter(F.col("s").rlike("^[A-Za-z_]+:")).select("id", F.regexp_extract("s", "^([A-Za-z_]+):", 1).alias("key"))
-
-
 _PATHS = "('/users?x=1'), ('`/v1/items/$' || '{id}`'), ('v2/a//b'), ('https://api.x.com/y'), ('http'), ('/'), ('API_BASE_URL/v1/z'), (':/v1/q'), ('/$bad'), ('users/list#top'), ('process.env.HOST/api/k'), ('')"
 _RX = lambda e, p, r: f"regexp_replace({e}, '{p}', '{r}', 'g')"
 _P = "regexp_replace(regexp_replace(split_part(split_part(path, '?', 1), '#', 1), '^[`''\"]', ''), '[`''\"]$', '')"
@@ -107,28 +95,6 @@ def q92(spark, d):
     return facts.filter(F.col("rule").isin("import", "route") | (F.col("match") == "B")).select("id", "rule", "match", score.alias("score"))
 
 
-_TRACE = "(1, 'TypeError: x is not a function'), (2, '    at searchSimilar (src/local/storage.ts:330:12)'), (3, '    at run (src/a.ts:7:3)'), (4, 'ReferenceError: y'), (5, '  File \"b.py\", line 9, in go'), (6, 'plain')"
-_NODE, _PY = r"at (\S+) \(([^:()]+):(\d+):(\d+)\)", r'File "([^"]+)", line (\d+), in (\w+)'
-
-
-@query(
-    "q67_stacktrace_parse",
-    rf"""with l as (select *, nullif(regexp_extract(s, '^(\w+Error):', 1), '') as e from (values {_TRACE}) t(line, s)), c as (select *, last_value(e ignore nulls) over (order by line rows unbounded preceding) as type from l)
-        select line, type, coalesce(nullif(regexp_extract(s, '{_NODE}', 2), ''), regexp_extract(s, '{_PY}', 1)) as file, coalesce(nullif(regexp_extract(s, '{_NODE}', 3), ''), regexp_extract(s, '{_PY}', 2))::int as at, coalesce(nullif(regexp_extract(s, '{_NODE}', 1), ''), regexp_extract(s, '{_PY}', 3)) as symbol from c
-        where regexp_matches(s, '{_NODE}') or regexp_matches(s, '{_PY}')""",
-)
-def q67(spark, d):
-    """The type of an error holds for the frames below it."""
-    from pyspark.sql import Window
-
-    x = lambda p, g: F.regexp_extract("s", p, g)
-    rows = values(spark, _TRACE, "line, s").withColumn("e", F.when(F.col("s").rlike(r"^\w+Error:"), x(r"^(\w+Error):", 1)))
-    w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("type", F.last("e", ignorenulls=True).over(w)).filter(F.col("s").rlike(_NODE) | F.col("s").rlike(_PY))
-    pick = lambda a, b: F.when(x(_NODE, a) != "", x(_NODE, a)).otherwise(x(_PY, b))
-    return rows.select("line", "type", pick(2, 1).alias("file"), pick(3, 2).cast("int").alias("at"), pick(1, 3).alias("symbol"))
-
-
 _FILES = "('src/index.ts', 900), ('pkg/src/util.ts', 20), ('pkg/src/util.js', 20), ('dist/util.js', 9000), ('README.md', 700), ('a/b/c/d/e/f/g.py', 10), ('package.json', 501), ('lib/x.tsx', 60000), ('build/x.js', 5), ('node_modules/p/index.js', 100), ('src/app.test.ts', 100)"
 
 

@@ -72,23 +72,6 @@ def q27(spark, d):
     return docs(spark, d).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(5)
 
 
-@query("q28_file_composition", "select source, count(*) as total, count(*) filter (n_chars > 5000) as filtered_out, round(count(*) filter (n_chars <= 5000) / count(*), 6) as kept from documents group by source")
-def q28(spark, d):
-    big = F.col("n_chars") > 5000
-    return docs(spark, d).groupBy("source").agg(F.count("*").alias("total"), F.count_if(big).alias("filtered_out"), F.round(F.count_if(~big) / F.count("*"), 6).alias("kept"))
-
-
-@query("q29_folder_hints", "select regexp_extract(url, '^https?://([^/]+)', 1) as folder, count(*) as files, round(avg(length(html)), 6) as mean_size from pages group by 1 having count(*) >= 2")
-def q29(spark, d):
-    p = table(spark, d, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("folder")).agg(F.count("*").alias("files"), F.round(F.avg(F.length("html")), 6).alias("mean_size"))
-    return p.filter("files >= 2")
-
-
-@query("q30_coverage_insights", "select count(distinct source) as dirs, count(distinct lang) as langs, count(*) filter (n_chars > 20000) as large, count(*) as files, max(n_chars) as longest from documents")
-def q30(spark, d):
-    return docs(spark, d).agg(F.count_distinct("source").alias("dirs"), F.count_distinct("lang").alias("langs"), F.count_if(F.col("n_chars") > 20000).alias("large"), F.count("*").alias("files"), F.max("n_chars").alias("longest"))
-
-
 @query(
     "q31_word_frequency_topk",
     """with w as (select doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents)

@@ -68,17 +68,6 @@ def q52(spark, d):
     return D.locate(frames, symbols)
 
 
-@query("q68_debug_match_rank", "with s as (select user_id, event_type, count(*) as frequency, max(case event_type when 'error' then 5 when 'click' then 3 else 1 end) as severity from events group by 1, 2), r as (select *, severity + frequency as score from s) select user_id, event_type, frequency, score::bigint as score, (row_number() over (order by score desc, user_id, event_type))::int as rank from r order by rank limit 20")
-def q68(spark, d):
-    from pyspark.sql import Window
-
-    severity = F.when(F.col("event_type") == "error", 5).when(F.col("event_type") == "click", 3).otherwise(1)
-    s = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("frequency"), F.max(severity).alias("severity"))
-    top = s.withColumn("score", F.col("severity") + F.col("frequency")).orderBy(F.desc("score"), "user_id", "event_type").limit(20)
-    w = Window.orderBy(F.desc("score"), "user_id", "event_type")
-    return top.select("user_id", "event_type", "frequency", "score", F.row_number().over(w).alias("rank"))
-
-
 _WEIGHTS = "('error', 50), ('click', 15), ('view', 5), ('purchase', 20), ('signup', 10)"
 
 

@@ -55,20 +55,6 @@ def q51(spark, d):
     return G.dependency_weight(values(spark, "(1L)", "node"), _module_edges(spark, d), sizes, 3)
 
 
-@query("q45_diversity_per_file_cap", "with r as (select p_partkey as id, p_brand as brand, p_retailprice as score, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as place from part) select id, brand, score, place::int as place from r where place <= 3 order by score desc, id limit 20")
-def q45(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("score"))
-    return G.route_candidates(rows, "brand", 3, 20)
-
-
-@query("q46_ranked_hints", "select p_partkey as id, round(greatest(0.5::double, least(0.98::double, 0.5 + (least(3.0, greatest(0.5, p_retailprice / 700)) - 0.5) / 2.5 * 0.48)), 2) as confidence from part order by p_retailprice desc, p_partkey limit 7")
-def q46(spark, d):
-    """The best seven, scores from 0.5 to 3 mapped to 0.5 to 0.98."""
-    clamped = F.least(F.lit(3.0), F.greatest(F.lit(0.5), F.col("p_retailprice") / 700))
-    confidence = F.greatest(F.lit(0.5), F.least(F.lit(0.98), F.lit(0.5) + (clamped - 0.5) / 2.5 * 0.48))
-    return table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(7).select(F.col("p_partkey").alias("id"), F.round(confidence, 2).alias("confidence"))
-
-
 @query("q41_cross_file_importance", "with w as (select distinct l_partkey as symbol, l_orderkey as file from lineitem), n as (select count(distinct file) as files from w) select symbol, count(*) as used_in, round(count(*) / (select files from n), 6) as importance from w group by symbol")
 def q41(spark, d):
     w = table(spark, d, "lineitem").select(F.col("l_partkey").alias("symbol"), F.col("l_orderkey").alias("file")).distinct()

@@ -33,11 +33,6 @@ def q101(spark, d):
     return A.libraries(source_files(spark))
 
 
-@query("q102_capabilities", f"with f as (select * from (values {_FILES}) t(path, text)) " + " union all ".join(f"select path, '{n}' as tag from f where regexp_matches(lower(text), '{p}')" for n, p in A.CAPABILITIES))
-def q102(spark, d):
-    return A.capabilities(source_files(spark))
-
-
 @query("q103_module_graph", "select * from (values ('src/components/a.tsx', 'src/components/b.ts'), ('src/api/pay.ts', 'src/api/db.ts')) t(src, dst)")
 def q103(spark, d):
     return A.module_graph(source_files(spark))
@@ -72,20 +67,6 @@ def q107(spark, d):
     return m.select("event_type", F.round(ratio, 6).alias("ratio"), (ratio > 1.2).alias("regressed"))
 
 
-@query(
-    "q108_five_factor_score",
-    "select o_orderkey as id, round((case when o_orderpriority like '1%' then 1.3::double when o_orderpriority like '2%' then 1.1::double else 1.0::double end) * (case o_orderstatus when 'F' then 1.2::double when 'O' then 1.1::double else 1.0::double end) * (1 + ln(1 + o_totalprice / 100000) / 10) * (case when date_diff('day', o_orderdate::date, date '1998-08-02') <= 30 then 1.2::double when date_diff('day', o_orderdate::date, date '1998-08-02') <= 180 then 1.1::double else 1.0::double end), 6) as score from orders",
-)
-def q108(spark, d):
-    """Product of priority, surface, degree and recency, as of a fixed day."""
-    prior = F.when(F.col("o_orderpriority").like("1%"), 1.3).when(F.col("o_orderpriority").like("2%"), 1.1).otherwise(1.0)
-    surface = F.when(F.col("o_orderstatus") == "F", 1.2).when(F.col("o_orderstatus") == "O", 1.1).otherwise(1.0)
-    degree = F.lit(1) + F.ln(F.lit(1) + F.col("o_totalprice") / 100000) / 10
-    age = F.date_diff(F.lit("1998-08-02").cast("date"), F.to_date("o_orderdate"))
-    recency = F.when(age <= 30, 1.2).when(age <= 180, 1.1).otherwise(1.0)
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(prior * surface * degree * recency, 6).alias("score"))
-
-
 @query("q109_embedding_time", "select source, count(*) as files, case when avg(n_chars) < 1024 then 1000 when avg(n_chars) <= 10240 then 500 else 200 end as per_minute, ceil(count(*) / (case when avg(n_chars) < 1024 then 1000 when avg(n_chars) <= 10240 then 500 else 200 end) * 60)::bigint as seconds from documents group by source")
 def q109(spark, d):
     rate = F.when(F.avg("n_chars") < 1024, 1000).when(F.avg("n_chars") <= 10240, 500).otherwise(200)
