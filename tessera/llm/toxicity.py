@@ -47,6 +47,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,12 +61,13 @@ from tessera.llm.common import CACHE_ENTRIES, GOLDEN, few_join, fold, materialis
 ORDER, SHORTER, DISCOUNT = 8, (5, 3, 1), 0.75
 #: Chance of a toxic text's word to come from the toxic model.
 EXPRESSIONS = 0.01
-#: N-grams up to which the table goes to the tasks (240 MB); beyond, it is joined.
-MODEL_ROWS = 20_000_000
+#: N-grams up to which the table goes to the tasks (120 MB, and 40 for its index); beyond, it is joined.
+MODEL_ROWS = 10_000_000
 #: Letters from which on a chunk without white space is spelt from each place on as well.
 LONG = 12
 #: Marks of a word's start, of a start inside a word, and of the end; letters of a unit that are counted in one row.
 START, INSIDE, END, PIECE = "\x02", "\x01", "\x03", 64
+_MARKS = ".,;:!?\"'()[]|"
 #: What a raw score is multiplied by before calibration, whose cells are finest around 0 to 1.
 SCALE = 64.0
 
@@ -73,7 +75,10 @@ SCALE = 64.0
 def word_of(chunk: str) -> str:
     """The letters and digits of a white-space separated chunk, in lower case."""
     low = chunk.lower()
-    return low if low.isalnum() else "".join(c for c in low if c.isalnum())
+    if low.isalnum():
+        return low
+    inner = low.strip(_MARKS)
+    return inner if inner.isalnum() else "".join(filter(str.isalnum, low))
 
 
 def units_of(chunk: str) -> list[str]:
@@ -213,19 +218,50 @@ def gram_ratios(units: DataFrame) -> DataFrame:
 
 
 class GramModel:
-    """The difference of the two class models for each n-gram where they differ, in sorted arrays."""
+    """The difference of the two class models for each n-gram where they differ, in sorted arrays.
+
+    The keys are hashes, so the first bits of one tell where it stands.
+    """
 
     def __init__(self, keys: np.ndarray, ratios: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.ratios = keys[order], ratios[order]
 
+    def _index(self) -> tuple[np.uint64, np.ndarray]:
+        bits = max(1, int(np.log2(len(self.keys))))
+        shift = np.uint64(64 - bits)
+        starts = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((self.keys >> shift).astype(np.int64), minlength=1 << bits), out=starts[1:])
+        return shift, starts
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The ratio of each key; 0 for those that the table doesn't have."""
+        out = np.zeros(len(keys), np.float32)
+        if not len(self.keys):
+            return out
+        if "index" not in self.__dict__:
+            self.index = self._index()
+        shift, starts = self.index
+        first = (keys >> shift).astype(np.int64)
+        at, end = starts[first], starts[first + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            place = at[left]
+            hit = self.keys[place] == keys[left]
+            out[left[hit]] = self.ratios[place[hit]]
+            at[left] += 1
+            left = left[~hit & (at[left] < end[left])]
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
     def log_ratio(self, units: list[str]) -> np.ndarray:
         """log P(unit | toxic) - log P(unit | ordinary) of each unit."""
         if not len(self.keys) or not units:
             return np.zeros(len(units))
         keys, owner = gram_keys(units)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.bincount(owner, np.where(self.keys[at] == keys, self.ratios[at], np.float32(0)), len(units))
+        return np.bincount(owner, self.find(keys), len(units))
 
 
 def gram_model(ratios: DataFrame) -> GramModel:
@@ -253,48 +289,63 @@ def unit_weight(unit: str) -> float:
 
 
 class _Chunks(dict):
-    """Chunk -> (sum of its units' mixed log ratios, of their weights) as a complex number, so that one sum adds both; filled for many chunks at once, emptied when full."""
+    """Chunk -> its place in two arrays: sums of its units' mixed log ratios, and of their weights. Filled for many chunks at once, emptied when full."""
 
     def __init__(self, model: GramModel):
         super().__init__()
         self.model = model
+        self.values, self.weights = np.zeros(0), np.zeros(0)
 
     def learn(self, chunks: set[str]) -> None:
         new = list(chunks.difference(self))
-        if len(self) + len(new) > 2 * CACHE_ENTRIES:
+        if len(self) + len(new) > 4 * CACHE_ENTRIES:
             self.clear()
+            self.values, self.weights = np.zeros(0), np.zeros(0)
             new = list(chunks)
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            spelt = [units_of(c) for c in some]
-            units = [u for x in spelt for u in x]
-            got = mixed(np.concatenate([np.zeros(0), *[self.model.log_ratio(units[j : j + 20_000]) for j in range(0, len(units), 20_000)]]))
-            weight = np.fromiter(map(unit_weight, units), np.float64, len(units))
-            owner = np.repeat(np.arange(len(spelt)), np.fromiter(map(len, spelt), np.int64, len(spelt)))
-            totals = np.bincount(owner, got * weight, len(spelt)) + 1j * np.bincount(owner, weight, len(spelt))
-            self.update(zip(some, totals.tolist(), strict=True))
-
-
-def raw_of_texts(texts: list[str | None], values: _Chunks) -> np.ndarray:
+        # Most chunks are one short word, and many the same.
+        words = list(map(word_of, new))
+        short = {w: k for k, w in enumerate(dict.fromkeys(w for w in words if len(w) < LONG))}
+        long = {c: k + len(short) for k, c in enumerate(c for c, w in zip(new, words, strict=True) if len(w) >= LONG)}
+        spelt = list(map(units_of, long))
+        units = [START + w + END for w in short] + [u for x in spelt for u in x]
+        owner = np.concatenate([np.arange(len(short)), np.repeat(np.arange(len(short), len(short) + len(long)), np.fromiter(map(len, spelt), np.int64, len(spelt)))])
+        got = mixed(np.concatenate([np.zeros(0), *[self.model.log_ratio(units[k : k + 20_000]) for k in range(0, len(units), 20_000)]]))
+        weight = np.concatenate([np.ones(len(short)), np.fromiter(map(unit_weight, units[len(short) :]), np.float64, len(units) - len(short))])
+        if "" in short:  # no word at all
+            weight[short[""]] = 0.0
+        which = np.fromiter((long[c] if len(w) >= LONG else short[w] for c, w in zip(new, words, strict=True)), np.int64, len(new))
+        self.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
+        self.values = np.concatenate([self.values, np.bincount(owner, got * weight, len(short) + len(long))[which]])
+        self.weights = np.concatenate([self.weights, np.bincount(owner, weight, len(short) + len(long))[which]])
+
+
+def raw_of_texts(texts: list[str | None], known: _Chunks) -> np.ndarray:
     """The log-likelihood difference of each whole text, by its number of words; NaN without words."""
     out = np.full(len(texts), np.nan)
-    group: list[tuple[int, list[str]]] = []
+    at: list[int] = []
+    group: list[list[str]] = []
     size = 0
 
     def done() -> None:
-        values.learn({c for _, x in group for c in x})
-        for k, x in group:
-            got = sum(map(values.__getitem__, x))
-            if got:
-                out[k] = SCALE * got.real / got.imag
+        if not group:
+            return
+        known.learn(set().union(*group))
+        sizes = np.fromiter(map(len, group), np.int64, len(group))
+        places = np.fromiter(map(known.__getitem__, chain.from_iterable(group)), np.int64, int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        value, weight = (np.add.reduceat(x[places], starts) for x in (known.values, known.weights))
+        some = weight > 0
+        out[np.array(at)[some]] = SCALE * value[some] / weight[some]
 
     for k, text in enumerate(texts):
-        if text:
-            group.append((k, text.split()))
+        chunks = text.split() if text else []
+        if chunks:
+            at.append(k)
+            group.append(chunks)
             size += len(text)
         if size > 2_000_000:
             done()
-            group, size = [], 0
+            at, group, size = [], [], 0
     done()
     return out
 
