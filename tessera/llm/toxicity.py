@@ -64,7 +64,7 @@ EXPRESSIONS = 0.01
 #: N-grams up to which the table goes to the tasks (120 MB, and 40 for its index); beyond, it is joined.
 MODEL_ROWS = 10_000_000
 #: Letters from which on a chunk without white space is spelt from each place on as well.
-LONG = 12
+LONG = 16
 #: Marks of a word's start, of a start inside a word, and of the end; letters of a unit that are counted in one row.
 START, INSIDE, END, PIECE = "\x02", "\x01", "\x03", 64
 _MARKS = ".,;:!?\"'()[]|"
