@@ -48,16 +48,20 @@ def byte_letters() -> dict[str, int]:
 
 
 class _Segments(dict):
-    """Segment of a text -> its tokens; emptied when full."""
+    """Segment of a text -> its tokens. When full it becomes the old one, from which what is asked for again comes back."""
 
     def __init__(self, counter: PrefixCounter):
         super().__init__()
         self.counter = counter
+        self.old: dict[str, int] = {}
 
     def __missing__(self, segment: str) -> int:
-        got = self.counter._count_pieces(segment)
+        got = self.old.get(segment)
+        if got is None:
+            got = self.counter._count_pieces(segment)
         if len(segment) <= 64:
             if len(self) >= 4 * CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[segment] = got
         return got
