@@ -48,30 +48,38 @@ class ChunkIds(dict):
     """White-space separated chunk -> its ids as little-endian unsigned 32-bit bytes.
 
     For vocabularies that fold case, drop white space and never look across
-    it; the library's model merges each piece.  Emptied when full.
+    it; the library's model merges each piece.  When full it becomes the old
+    one, from which what is asked for again comes back.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.model = tokenizer.model
         self.letters = {b: c for c, b in byte_letters().items()}
+        self.old: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> list[int]:
         spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
         return [t.id for t in self.model.tokenize(spelt)]
 
     def __missing__(self, chunk: str) -> bytes:
-        # Lower case letter by letter: the library knows no final sigma.
-        low = chunk.replace("\u03a3", "\u03c3").lower()
-        pieces = [low] if low.isalpha() else _WORD_PIECES.findall(low)
-        ids = self._piece(pieces[0]) if len(pieces) == 1 else [x for p in pieces for x in self._piece(p)]
-        value = struct.pack(f"<{len(ids)}I", *ids)
+        value = self.old.get(chunk)
+        if value is None:
+            value = self._encoded(chunk)
         if len(chunk) <= 64:
-            if len(self) >= 2 * CACHE_ENTRIES:
+            if len(self) >= 4 * CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = value
         return value
 
+    def _encoded(self, chunk: str) -> bytes:
+        # Lower case letter by letter: the library knows no final sigma.
+        low = chunk.replace("\u03a3", "\u03c3").lower()
+        pieces = [low] if low.isalpha() else _WORD_PIECES.findall(low)
+        ids = self._piece(pieces[0]) if len(pieces) == 1 else [x for p in pieces for x in self._piece(p)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 def _tokenizer(path: str) -> tuple:
     def make() -> tuple:
