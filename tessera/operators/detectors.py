@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,3 +61,87 @@ def locate(frames: DataFrame, symbols: DataFrame) -> DataFrame:
     s = symbols.select(F.col("file").alias("f_"), "start", "end", "symbol")
     hit = frames.join(s, (F.col("file") == F.col("f_")) & F.col("line").between(F.col("start"), F.col("end")), "left")
     return hit.groupBy("frame", "file", "line").agg(F.min_by("symbol", "start").alias("symbol"))
+
+
+#: What a fact of each kind scores in a structural query.
+FACT_SCORES = {"import": 0.8, "export": 0.9, "call": 0.7, "new": 0.7, "env": 0.8, "route": 0.85}
+#: Facts that lines of source show: (kind, pattern, group of the name).
+FACTS = (
+    ("import", r"^\s*import\s.*?from\s+['\"]([^'\"]+)['\"]", 1), ("export", r"export\s+(?:default\s+)?(?:async\s+)?(?:const|let|var|function|class|interface|type)\s+(\w+)", 1), ("new", r"\bnew\s+(\w+)\s*\(", 1),
+    ("env", r"process\.env\.([A-Z0-9_]+)", 1), ("route", r"(?:app|router)\.(?:get|post|put|patch|delete)\(['\"]([^'\"]+)['\"]", 1), ("call", r"\b(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b|new\b)([A-Za-z_$][\w$]*)\s*\(", 1),
+)
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """id, line, kind, name of files (id, text)."""
+    return detect(files, list(FACTS)).select("id", "line", F.col("rule").alias("kind"), F.col("match").alias("name"))
+
+
+def ast_query(found: DataFrame, queries: list[tuple[str, str]], most_files: int | None = None) -> DataFrame:
+    """Facts (id, line, kind, name) that some query (kind, pattern) asks for, each once, with the score of its kind.
+
+    A pattern is searched for in the name; with ``/`` around it it is a regular
+    expression, else text. ``most_files`` keeps those in the first files by id.
+    """
+    wanted = F.lit(False)
+    for kind, pattern in queries:
+        if kind not in FACT_SCORES:
+            raise ValueError(f"no facts of kind {kind}")
+        hit = F.col("name").rlike(pattern[1:-1]) if len(pattern) > 1 and pattern[0] == pattern[-1] == "/" else F.col("name").contains(pattern)
+        wanted = wanted | ((F.col("kind") == kind) & hit)
+    score = F.lit(0.0)
+    for kind, n in FACT_SCORES.items():
+        score = F.when(F.col("kind") == kind, n).otherwise(score)
+    rows = found.filter(wanted).withColumn("score", score).distinct()
+    if most_files is not None:
+        rows = rows.join(rows.select("id").distinct().orderBy("id").limit(most_files), "id", "left_semi")
+    return rows
+
+
+def structural_pattern(pattern: str) -> tuple[str, list[str]]:
+    """A regular expression for a pattern with metavariables, and their names: ``$X`` is one expression without commas or brackets, ``$$$X`` anything; white space matches any."""
+    out, names = "", []
+    for part in re.split(r"(\$\$\$\w*|\$[A-Z_]\w*|\s+)", pattern):
+        if part.startswith("$$$"):
+            names.append(part[3:] or "_")
+            out += "(.*?)"
+        elif part.startswith("$"):
+            names.append(part[1:])
+            out += r"([^,()\s]+)"
+        elif part.isspace():
+            out += r"\s+"
+        else:
+            out += re.escape(part)
+    return out, names
+
+
+def structural_search(files: DataFrame, pattern: str) -> DataFrame:
+    """id, line, and a column for each metavariable, of each line of (id, text) that holds a pattern (its first match)."""
+    rx, names = structural_pattern(pattern)
+    lines = files.select("id", F.posexplode(F.split("text", "\n")).alias("p", "s")).filter(F.col("s").rlike(rx))
+    return lines.select("id", (F.col("p") + 1).alias("line"), *[F.regexp_extract("s", rx, k + 1).alias(n) for k, n in enumerate(names)])
+
+
+def fill_template(template: str, values: dict[str, Column], words: int = 60) -> Column:
+    """A template's ``{slots}`` filled, unknown ones by a dash, and cut to a number of words."""
+    text = F.lit(template)
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(F.nullif(value, F.lit("")), F.lit("-")))
+    text = F.regexp_replace(text, r"\{\w+\}", "-")
+    parts = F.split(text, r"\s+")
+    return F.when(F.size(parts) > words, F.concat(F.array_join(F.slice(parts, 1, words), " "), F.lit("..."))).otherwise(text)
+
+
+def around_symbol(symbols: DataFrame, name: str, usage: int = 5, tests: int = 3, errors: int = 5) -> DataFrame:
+    """relation, place, id: symbols (id, file, name, signature, body) that use a name, that test it, and that handle errors in the files that define it; a few of each, by id."""
+    holds = F.col("signature").contains(name) | F.coalesce(F.col("body").contains(name), F.lit(False))
+    test = F.lower("file").contains("test")
+    home = symbols.filter(F.col("name") == name).select(F.col("file").alias("home_")).distinct()
+    caught = F.coalesce(F.col("body").rlike(r"\b(try|catch|throw)\b|Error"), F.lit(False))
+    kinds = {"usage": (symbols.filter(holds & ~test & (F.col("name") != name)), usage), "test": (symbols.filter(holds & test), tests), "error": (symbols.filter(caught).join(home, F.col("file") == F.col("home_"), "left_semi"), errors)}
+    out = None
+    for relation, (rows, most) in kinds.items():
+        best = rows.select("id").orderBy("id").limit(most)
+        best = best.select(F.lit(relation).alias("relation"), F.row_number().over(Window.orderBy("id")).alias("place"), "id")
+        out = best if out is None else out.unionByName(best)
+    return out

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Facets and the strings that speak for them.
 FACETS = {
-    "auth": ["Authorization", "Bearer", "JWT", "verifyAuth", "registerEnhancedAuth", "apikey", "amb_", "bcrypt", "supabase", "nextauth", "clerk", "RLS", "policy", "auth.uid()", "authenticate", "login", "session", "token"],
+    "auth": ["Authorization", "Bearer", "JWT", "verifyAuth", "apikey", "bcrypt", "supabase", "nextauth", "clerk", "RLS", "policy", "auth.uid()", "authenticate", "login", "session", "token"],
     "routing": ["route", "handler", "Fastify", "Express", "middleware", "GET", "POST", "PUT", "DELETE", "app.use", "router", "endpoint", "api", "controller"],
     "data": ["schema", "migration", "policy", "RLS", "org_id", "auth.uid()", "prisma", "supabase", "database", "table", "model", "entity", "repository", "DAO", "query", "sql"],
     "observability": ["logger", "metrics", "traces", "OpenTelemetry", "prometheus", "datadog", "sentry", "error", "debug", "log", "monitor"],
@@ -27,9 +29,8 @@ ANCHORS = {
 }
 
 
-def facet_tags(text: Column) -> Column:
-    """The facets one of whose strings occurs in the text, whatever the case."""
-    low = F.lower(text)
+def facet_tags(low: Column) -> Column:
+    """The facets one of whose strings occurs in a lower-case text: lower it once, in a column of its own."""
     found = []
     for facet, seeds in FACETS.items():
         hit = F.lit(False)
@@ -69,12 +70,23 @@ def lexical_search(rows: DataFrame, q: str, k: int = 12) -> DataFrame:
     return scored.filter("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
-def word_frequencies(docs: DataFrame, k: int = 50, shortest: int = 3) -> DataFrame:
+#: Words that are no symbols.
+STOP_WORDS = ("the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "has", "have", "this", "that", "with", "from")
+
+
+def word_frequencies(docs: DataFrame, k: int = 50, shortest: int = 3, stop: tuple[str, ...] = (), pattern: str = "[a-z]+", lower: bool = True) -> DataFrame:
     """The k most frequent words with the documents and sources they occur in.
 
-    Words are counted per document first, so that a shuffle sees a row for each pair.
+    Words are counted per document first, so that a shuffle sees a row for each
+    pair. With case kept, short words in capitals and those that begin with
+    ``_`` don't count.
     """
-    words = docs.select("doc_id", "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).filter(F.length("word") >= shortest)
+    text = F.lower("text") if lower else F.col("text")
+    words = docs.select("doc_id", "source", F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("word")).filter(F.length("word") >= shortest)
+    if stop:
+        words = words.filter(~F.lower("word").isin(*stop))
+    if not lower:
+        words = words.filter(~F.col("word").startswith("_") & ~((F.length("word") < 4) & (F.upper("word") == F.col("word"))))
     each = words.groupBy("word", "doc_id", "source").agg(F.count("*").alias("n"))
     return each.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("documents"), F.count_distinct("source").alias("sources")).orderBy(F.desc("n"), "word").limit(k)
 
@@ -134,9 +146,11 @@ def keep_best(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def duplicate_references(rows: DataFrame, key: str, most: int = 10) -> DataFrame:
-    """For each kept row where else it was found, at most ``most`` places."""
-    others = F.array_sort(F.collect_list(F.when(F.col("duplicate"), F.col("id"))))
-    return rows.filter("copies > 1").groupBy(key, "kept").agg(F.array_join(F.slice(others.cast("array<string>"), 1, most), ",").alias("also_found_in"))
+    """For each kept row where else it was found, the first ``most`` places by id; a task keeps no more of a group."""
+    w = Window.partitionBy(key).orderBy("id")
+    others = rows.filter("duplicate").select(key, "kept", "id").withColumn("place_", F.row_number().over(w)).filter(F.col("place_") <= most)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",")
+    return others.groupBy(key, "kept").agg(listed.alias("also_found_in"))
 
 
 def budget_prefix(rows: DataFrame, group: str, budget: int) -> DataFrame:
@@ -146,18 +160,35 @@ def budget_prefix(rows: DataFrame, group: str, budget: int) -> DataFrame:
 
 
 def budget_greedy(rows: DataFrame, group: str, budget: int) -> DataFrame:
-    """Rows in order of score that still fit, skipping those that don't: an ordered fold over each group."""
-    items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("id"), F.col("tokens").alias("tokens"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
+    """``group``, id, used: rows (id, score, tokens) in order of score that still fit, skipping those that don't, and what each group uses in all.
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["tokens"] <= budget
-        return F.struct(F.when(fits, acc["used"] + x["tokens"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["id"]))).otherwise(acc["kept"]).alias("kept"))
+    What is larger than the budget goes first. A group is read in order, one
+    row at a time; nothing of it is held but what is used. Only ids that are
+    kept come back, of which a group has ``budget`` at most.
+    """
 
-    return rows.groupBy(group).agg(items.alias("i")).select(group, F.aggregate("i", start, step).alias("a")).select(group, F.col("a.used").alias("used"), F.explode("a.kept").alias("id"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, used = None, 0
+        for b in batches:
+            kept = []
+            for k, (g, tokens) in enumerate(zip(b.iloc[:, 0].tolist(), b["tokens"].tolist(), strict=True)):
+                if g != key:
+                    key, used = g, 0
+                if used + tokens <= budget:
+                    used += tokens
+                    kept.append(k)
+            yield b.iloc[kept, [0, 1, 2]]
+
+    kind = rows.schema[group].dataType.simpleString()
+    fits = rows.filter(F.col("tokens") <= budget).select(F.col(group).alias("g"), "id", "tokens", "score")
+    fits = fits.repartition("g").sortWithinPartitions("g", F.desc("score"), "id").select("g", "id", "tokens")
+    kept = fits.mapInPandas(run, f"g {kind}, id long, tokens long")
+    total = Window.partitionBy("g")
+    return kept.select(F.col("g").alias(group), F.sum("tokens").over(total).alias("used"), "id")
 
 
 def budget_two_pass(rows: DataFrame, group: str, budget: int, priority: float = 0.8) -> DataFrame:
-    """As ``budget_greedy``, rows of at least ``priority`` before all others."""
-    first = F.when(F.col("score") >= priority, F.col("score") + 10).otherwise(F.col("score"))
+    """As ``budget_greedy``, rows of at least ``priority`` before all others; within either part by priority times confidence where there is one."""
+    key = F.col("score") * F.col("confidence") if "confidence" in rows.columns else F.col("score")
+    first = F.when(F.col("score") >= priority, key + 10).otherwise(key)
     return budget_greedy(rows.withColumn("score", first), group, budget)

@@ -2,11 +2,127 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Libraries and the imports that show them.
-LIBRARIES = (("tailwind", "tailwindcss|className="), ("radix", "@radix-ui/"), ("lucide", "lucide-react"), ("cva", "class-variance-authority"), ("styled", "styled-components"), ("emotion", "@emotion/"))
+from tessera.operators.lineage import beginnings, holding
+
+#: Libraries of looks and what in a file shows them.
+LIBRARIES = (
+    ("tailwind", r"tailwindcss|className=[\"'](flex|grid|block|inline|hidden|p-|m-|w-|h-|text-|bg-|border|rounded|shadow|hover:|focus:)"), ("shadcn", "@/components/ui/|shadcn/ui"), ("radix", "@radix-ui/"), ("lucide", "lucide-react"),
+    ("cva", r"class-variance-authority|cva\(|cx\("), ("variants", r"tailwind-variants|tv\("), ("css-modules", r"\.module\.(css|scss|sass)"), ("styled", r"styled-components|styled\."), ("emotion", "@emotion/(styled|react)"),
+)
+#: Interfaces of the browser, whose use makes a component client code.
+CLIENT = (
+    "useState", "useEffect", "useRef", "useLayoutEffect", "useCallback", "useMemo", "useContext", "useReducer", "useImperativeHandle", "useDebugValue", "window", "document", "localStorage", "sessionStorage", "indexedDB",
+    "navigator.storage", "caches", "AsyncStorage", "SecuredStorage", "SecureStore", "addEventListener", "removeEventListener", "setTimeout", "setInterval", "onClick", "onChange", "onSubmit", "onMouse", "onKey",
+)
+#: How components and stores are defined: (kind, pattern).
+COMPONENT = (r"(?:export\s+)?(?:const|function)\s+([A-Z][a-zA-Z0-9]*)\s*(?:\([^)]*\))?\s*(?:=>\s*)?\{", r"(?:export\s+)?const\s+([A-Z][a-zA-Z0-9]*)\s*=\s*(?:\([^)]*\)\s*=>|function)")
+STORES = (
+    ("zustand", r"const\s+(\w+)\s*=\s*create\s*\("), ("redux", r"const\s+(\w+)\s*=\s*configureStore\s*\("), ("slice", r"const\s+(\w+)\s*=\s*createSlice\s*\("), ("context", r"const\s+(\w+)\s*=\s*createContext\s*\("),
+    ("atom", r"const\s+(\w+)\s*=\s*atom\s*\("), ("selector", r"const\s+(\w+)\s*=\s*selector\s*\("),
+)
+#: Calls of endpoints: (pattern, group of the address, group of the method or 0).
+CALLS = (
+    (r"(?i)fetch\s*\(\s*['\"`]([^'\"`]+)['\"`]\s*,\s*\{\s*method:\s*['\"`]([^'\"`]+)['\"`]", 1, 2), (r"(?i)fetch\s*\(\s*['\"`]([^'\"`]+)['\"`]\s*\)", 1, 0),
+    (r"(?i)axios\.(get|post|put|patch|delete|head|options)\s*\(\s*['\"`]([^'\"`]+)['\"`]", 2, 1),
+)
+HOOK = r"\b(use(?:Query|Mutation|InfiniteQuery|SWR))\s*\("
+#: Largest text that is parsed, and characters that aren't in one.
+LARGEST, CONTROL = 1024 * 1024, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+
+
+def _numbered_lines(files: DataFrame) -> DataFrame:
+    """path, line (from 1), text, lines (all of the file) of files (path, text)."""
+    rows = files.select("path", F.split("text", "\n").alias("lines"))
+    return rows.select("path", "lines", F.posexplode("lines").alias("p", "text")).select("path", (F.col("p") + 1).alias("line"), "text", "lines")
+
+
+def aria_findings(files: DataFrame) -> DataFrame:
+    """path, line, rule, found: buttons and inputs without a name, and elements in the role of a button; a label within three lines names an input."""
+    rows = _numbered_lines(files.filter(F.col("path").rlike(r"\.[tj]sx$")))
+    named = lambda a: a.rlike(r"aria-label\s*=") | a.rlike(r"aria-labelledby\s*=")
+    each = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+    near = F.slice("lines", F.greatest(F.lit(1), F.col("line") - 3), F.when(F.col("line") > 3, 7).otherwise(F.col("line") + 3))
+
+    def labelled(a: Column) -> Column:
+        i = F.regexp_extract(a, r"id\s*=\s*[\"']([^\"']+)[\"']", 1)
+        return (i != "") & F.exists(near, lambda x: x.contains(F.concat(F.lit('for="'), i, F.lit('"'))) | x.contains(F.concat(F.lit("for='"), i, F.lit("'"))))
+
+    bad = {
+        "A11Y-ICON-BUTTON-LABEL": F.filter(each(r"<button\s+([^>]*)>"), lambda a: ~named(a)),
+        "A11Y-LABEL-FOR": F.filter(each(r"<input\s+([^>]*type\s*=\s*[\"'](?:text|email|password|search|tel|url|number)[\"'][^>]*)>"), lambda a: ~named(a) & ~labelled(a)),
+        "A11Y-ROLE-BUTTON": F.filter(each(r"role\s*=\s*[\"']button[\"']\s+([^>]*)>"), lambda a: ~named(a)),
+    }
+    counts = F.array(*[F.struct(F.lit(rule).alias("rule"), F.size(a).alias("found")) for rule, a in bad.items()])
+    found = rows.select("path", "line", F.explode(F.filter(counts, lambda c: c["found"] > 0)).alias("c"))
+    return found.select("path", "line", "c.rule", "c.found")
+
+
+def component_kind(text: Column) -> Column:
+    """client for marked files and those that use the browser, else server."""
+    use = text.contains("'use client'") | text.contains('"use client"')
+    for name in CLIENT:
+        use = use | text.contains(name)
+    return F.when(use, "client").otherwise("server")
+
+
+def components(files: DataFrame) -> DataFrame:
+    """path, name, kind, hooks, forms, tables, modals of each component in files (path, text) that handle no route."""
+    names = F.array_distinct(F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in COMPONENT]))
+    hooks = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(use[A-Z][a-zA-Z0-9]*)\s*\("), F.lit(1))))
+    text = F.col("text")
+    rows = files.filter(~F.col("path").contains("/route.")).select(
+        "path", F.explode(names).alias("name"), component_kind(text).alias("kind"), F.array_join(hooks, ",").alias("hooks"), text.rlike('<form|onSubmit=|type="submit"').alias("forms"),
+        text.rlike("<table|<Table|<DataTable").alias("tables"), text.rlike("<Modal|<Dialog|<AlertDialog|<Sheet").alias("modals"),
+    )
+    return rows
+
+
+def components_by_route(found: DataFrame, routes: DataFrame) -> DataFrame:
+    """path, name, route of components (path, name): the first route (ordinal, route, file) whose folder their folder begins with, else ``/``.
+
+    Folders of components are cut into their beginnings, which meet the
+    routes' folders by equality.
+    """
+    folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
+    dirs = found.select(folder(F.col("path")).alias("dir")).distinct()
+    starts = dirs.select("dir", F.explode(beginnings(F.col("dir"))).alias("route_dir"))
+    first = routes.filter("route <> '/'").groupBy(folder(F.col("file")).alias("route_dir")).agg(F.min(F.struct("ordinal", "route")).alias("r"))
+    best = starts.join(first, "route_dir").groupBy("dir").agg(F.min("r")["route"].alias("route"))
+    return found.withColumn("dir", folder(F.col("path"))).join(best, "dir", "left").select("path", "name", F.coalesce("route", F.lit("/")).alias("route"))
+
+
+def stores(files: DataFrame) -> DataFrame:
+    """path, name, kind of the stores that files (path, text) define."""
+
+    def named(kind: str):
+        return lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
+
+    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), named(kind)) for kind, p in STORES]
+    return files.select("path", F.explode(F.array_distinct(F.concat(*found))).alias("s")).select("path", "s.name", "s.kind")
+
+
+def store_users(defined: DataFrame, files: DataFrame) -> DataFrame:
+    """name, store, path: other files (path, text) that hold a store's name and the word use."""
+    held = holding(files.filter(F.col("text").contains("use")).select(F.col("path").alias("id"), "text"), defined)
+    return held.join(defined.select("name", F.col("path").alias("store")).distinct(), "name").filter("id <> store").select("name", "store", F.col("id").alias("path"))
+
+
+def endpoint_calls(files: DataFrame) -> DataFrame:
+    """path, line, method, url, hook of calls in files (path, text): the hook is one that stands up to five lines before or two after."""
+    rows = _numbered_lines(files)
+
+    def calls(pattern: str, url: int, method: int) -> Column:
+        urls = F.regexp_extract_all("text", F.lit(pattern), F.lit(url))
+        methods = F.regexp_extract_all("text", F.lit(pattern), F.lit(method)) if method else F.transform(urls, lambda u: F.lit("GET"))
+        return F.zip_with(urls, methods, lambda u, m: F.struct(F.upper(m).alias("method"), u.alias("url")))
+
+    near = F.slice("lines", F.greatest(F.lit(1), F.col("line") - 5), F.when(F.col("line") > 5, 8).otherwise(F.col("line") + 2))
+    hook = F.regexp_extract(F.array_join(near, "\n"), HOOK, 1)
+    found = F.filter(F.array_distinct(F.concat(*[calls(*c) for c in CALLS])), lambda c: c["url"].startswith("/api/") | c["url"].startswith("http") | c["url"].contains("${") | c["url"].contains(":/"))
+    return rows.select("path", "line", F.explode(found).alias("c"), F.nullif(hook, F.lit("")).alias("hook")).select("path", "line", "c.method", "c.url", "hook")
 
 
 def page_findings(pages: DataFrame) -> DataFrame:
@@ -49,6 +165,8 @@ def unique_names(rows: DataFrame) -> DataFrame:
 
 
 def parser_gate(files: DataFrame) -> DataFrame:
-    """Whether a file is safe to parse: no control characters, at most a million characters, braces nearly balanced."""
+    """Whether a file is safe to parse: not blank, no control characters, at most 1 MiB, braces nearly balanced."""
+    text = F.col("text")
     odd = F.abs(F.regexp_count("text", F.lit(r"\{")) - F.regexp_count("text", F.lit(r"\}"))) > 100
-    return files.select("path", F.when(F.length("text") > 1_000_000, "too_large").when(odd, "unbalanced").otherwise("ok").alias("gate"))
+    gate = F.when(F.trim(F.regexp_replace(text, r"\s", "")) == "", "blank").when(text.rlike(CONTROL), "control_characters").when(F.length(text) > LARGEST, "too_large").when(odd, "unbalanced").otherwise("ok")
+    return files.select("path", gate.alias("gate"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -175,3 +176,41 @@ def embeddable(chunks: DataFrame, max_tokens: int) -> DataFrame:
 def batches(rows: DataFrame, size: int = 64) -> DataFrame:
     """Rows with the number of their batch within their partition; no shuffle."""
     return rows.withColumn("batch", F.floor(F.monotonically_increasing_id() % (1 << 33) / size).cast("long"))
+
+
+def json_structure(rows: DataFrame, deepest: int = 100) -> DataFrame:
+    """id, depth, nodes, objects, arrays, paths of JSON texts (id, text): key paths with ``[]`` for the items of arrays, each once, in order. What is no JSON has a null depth."""
+
+    def walk(value: object) -> tuple[int, int, int, int, list[str]]:
+        depth = nodes = objects = arrays = 0
+        paths: dict[str, None] = {}
+        stack = [(value, 1, "")]
+        while stack:
+            v, d, path = stack.pop()
+            nodes, depth = nodes + 1, max(depth, d)
+            if d > deepest:
+                continue
+            if isinstance(v, dict):
+                objects += 1
+                inside = [(x, f"{path}.{k}" if path else k) for k, x in v.items()]
+                paths.update(dict.fromkeys(p for _, p in inside))
+            elif isinstance(v, list):
+                arrays += 1
+                inside = [(x, path + "[]") for x in v]
+            else:
+                continue
+            stack += [(x, d + 1, p) for x, p in reversed(inside)]
+        return depth, nodes, objects, arrays, list(paths)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, text in zip(b["id"], b["text"], strict=True):
+                try:
+                    out.append((i, *walk(json.loads(text))))
+                except (TypeError, ValueError, RecursionError):
+                    out.append((i, None, 0, 0, 0, []))
+            frame = pd.DataFrame(out, columns=["id", "depth", "nodes", "objects", "arrays", "paths"])
+            yield frame.astype({"depth": "Int32"})
+
+    return rows.select("id", "text").mapInPandas(run, "id long, depth int, nodes int, objects int, arrays int, paths array<string>")

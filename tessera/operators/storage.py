@@ -93,3 +93,96 @@ def manifest_diff(local: DataFrame, remote: DataFrame) -> DataFrame:
 def unused(defined: DataFrame, used: DataFrame) -> DataFrame:
     """Names defined and used nowhere."""
     return defined.join(used, "name", "left_anti").distinct()
+
+
+def normalised_provider(provider: Column) -> Column:
+    """The provider that a label stands for: some labels are names of models."""
+    low = F.lower(F.coalesce(provider, F.lit("")))
+    local = low.contains("minilm") | low.contains("transformers") | low.contains("e5")
+    return F.when(low.startswith("text-embedding-"), "openai").when(low.startswith("voyage-") | (low == "voyageai"), "voyageai").when(local, "local").otherwise(provider)
+
+
+def provider_dimensions(chunks: DataFrame) -> DataFrame:
+    """provider, dims, n: chunks (provider, dims) of each provider, normalised before they are counted."""
+    return chunks.groupBy(normalised_provider(F.col("provider")).alias("provider"), "dims").agg(F.count("*").alias("n"))
+
+
+def generation_lists(chunks: DataFrame) -> DataFrame:
+    """file, generations: for files of several days the days, newest first, each with its chunks in order."""
+    day = F.to_date("created_at").cast("string")
+    each = chunks.groupBy("file", day.alias("day")).agg(F.array_sort(F.collect_list("chunk_index")).alias("chunks"))
+    w = F.collect_list(F.struct("day", "chunks"))
+    rows = each.groupBy("file").agg(F.reverse(F.array_sort(w)).alias("generations"))
+    return rows.filter(F.size("generations") > 1)
+
+
+def dimension_conflicts(chunks: DataFrame, dims: int) -> DataFrame:
+    """dims, n, projects: dimensions other than ``dims`` that chunks (project, dims) have, and in which projects."""
+    odd = chunks.filter(F.col("dims").isNotNull() & (F.col("dims") != dims)).groupBy("dims", "project").agg(F.count("*").alias("n"))
+    return odd.groupBy("dims").agg(F.sum("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("project")), lambda p: p.cast("string")), ",").alias("projects"))
+
+
+def without_conflicts(chunks: DataFrame, dims: int) -> DataFrame:
+    """Chunks less those of another dimension, project by project; unknown ones stay."""
+    return chunks.filter(F.col("dims").isNull() | (F.col("dims") == dims))
+
+
+def active_projects(stats: DataFrame) -> DataFrame:
+    """Projects (project, total_chunks, updated_at) that hold chunks, the last updated first."""
+    return stats.filter("total_chunks > 0").orderBy(F.col("updated_at").desc_nulls_last(), "project")
+
+
+def register(projects: DataFrame, changes: DataFrame) -> DataFrame:
+    """Projects (project, path, added_at, updated_at) with ``changes`` put in place by id; what a project was added at stays."""
+    old = projects.select("project", F.col("added_at").alias("old_"))
+    kept = projects.join(changes.select("project"), "project", "left_anti")
+    new = changes.join(old, "project", "left").withColumn("added_at", F.coalesce("old_", "added_at")).drop("old_")
+    return kept.unionByName(new)
+
+
+def find_project(projects: DataFrame, project=None, path: str | None = None) -> DataFrame:
+    """The project with an id, or with a path."""
+    return projects.filter(F.col("project") == project) if project is not None else projects.filter(F.col("path") == path)
+
+
+def with_legacy(wanted: DataFrame, stats: DataFrame) -> DataFrame:
+    """project, chunks, source: the statistics (project, chunks) of each project (project, legacy), or of its legacy id where its own are missing or empty."""
+    own = stats.select(F.col("project"), F.col("chunks").alias("own_"))
+    old = stats.select(F.col("project").alias("legacy"), F.col("chunks").alias("old_"))
+    rows = wanted.join(own, "project", "left").join(old, "legacy", "left")
+    use = F.coalesce(F.col("own_"), F.lit(0)) > 0
+    return rows.select("project", F.when(use, F.col("own_")).otherwise(F.coalesce("old_", F.lit(0))).alias("chunks"), F.when(use, "own").when(F.col("old_") > 0, "legacy").otherwise("none").alias("source"))
+
+
+def admit(chunks: DataFrame, quota: float, new_size: float) -> DataFrame:
+    """project, verdict, evicted, freed, used_after: what admitting a chunk takes, looked at again after the oldest chunks have gone."""
+    plan = quota_admission(chunks, quota, new_size)
+    w = Window.partitionBy("project").orderBy("created_at", "file", "chunk_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = chunks.withColumn("freed_", F.sum("size").over(w)).join(plan.select("project", "to_free"), "project")
+    gone = rows.filter(F.col("freed_") - F.col("size") < F.col("to_free")).groupBy("project").agg(F.count("*").alias("evicted"), F.sum("size").alias("freed"))
+    out = plan.join(gone, "project", "left").fillna(0, ["evicted", "freed"])
+    may = F.col("verdict") != "reject"
+    after = F.when(may, F.col("used") - F.col("freed")).otherwise(F.col("used"))
+    fits = after + new_size <= quota
+    return out.select("project", F.when(may & fits, F.col("verdict")).otherwise("reject").alias("verdict"), F.when(may, F.col("evicted")).otherwise(0).alias("evicted"), F.when(may, F.col("freed")).otherwise(0.0).alias("freed"), F.when(may & fits, after + new_size).otherwise(after).alias("used_after"))
+
+
+def changed_against(current: DataFrame, stored: DataFrame) -> DataFrame:
+    """Files (file, hash) whose hash differs from the stored one; missing and unreadable ones count as changed."""
+    s = stored.select("file", F.col("hash").alias("stored_"))
+    return current.join(s, "file", "left").filter(F.col("hash").isNull() | ~F.col("hash").eqNullSafe(F.col("stored_"))).drop("stored_")
+
+
+def newer_than_stored(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """Files (file, mtime) modified after their last chunk (file, last_update), or without one."""
+    return files.join(stored.select("file", "last_update"), "file", "left").filter(F.col("last_update").isNull() | (F.col("mtime") > F.col("last_update"))).drop("last_update")
+
+
+def replace_files(base: DataFrame, changes: DataFrame) -> DataFrame:
+    """Delete-then-insert by file: all chunks of the changed files go, whatever their number, and the new ones come in."""
+    return base.join(changes.select("file").distinct(), "file", "left_anti").unionByName(changes)
+
+
+def changed_files(diff: DataFrame, untracked: DataFrame, everything: DataFrame, dirty: bool) -> DataFrame:
+    """Files (file) to look at again: all if the tree is dirty, else those that differ and those not tracked, each once."""
+    return everything.distinct() if dirty else diff.unionByName(untracked).distinct()

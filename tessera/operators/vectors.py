@@ -32,12 +32,26 @@ def top_similar(vectors: DataFrame, query: list[float], limit: int = 10, thresho
     return best.filter((F.col("similarity") >= threshold) | ((F.col("reached_") == 0) & (F.col("place_") <= min(3, limit)))).drop("reached_", "place_")
 
 
+#: Queries that are compared with all vectors at once.
+QUERIES_AT_ONCE = 2000
+
+
 def batch_top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k nearest vectors of each of a bounded batch of queries (query_id, q)."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).filter("vec_id <> query_id")
-    pairs = pairs.select("query_id", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    """The k nearest vectors of each query (query_id, q), all pairs being looked at.
+
+    The queries are counted, and broadcast in blocks of ``QUERIES_AT_ONCE`` on
+    average: one pass over the vectors for each block.
+    """
+    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out = None
+    for n in range(blocks):
+        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else queries
+        pairs = vectors.crossJoin(F.broadcast(some)).filter("vec_id <> query_id")
+        pairs = pairs.select("query_id", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+        best = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def mmr_rerank(candidates: DataFrame, limit: int = 15, weight: float = 0.3, cap: int = 3) -> DataFrame:

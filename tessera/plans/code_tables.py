@@ -38,6 +38,18 @@ LINES = """select p_partkey as id, 'src/' || replace(lower(p_brand), '#', '') ||
     when 12 then 'export default class Item extends Base {' when 13 then 'fetch("/api/users")' when 14 then 'if (a && b) { throw new Error("x") }' when 15 then '// TODO: tidy up' when 16 then 'import express from "express"'
     when 17 then '<button onClick={go}><Icon /></button>' when 18 then 'import { helper } from "./util"' else 'return ' || p_name end as text from part"""
 
+#: Files of components: one for each part.
+COMPONENTS = """select p_partkey as id, 'app/' || case p_partkey % 4 when 0 then 'users/[id]' when 1 then '(shop)/cart' when 2 then 'api/items' else 'docs/list' end || '/' || case p_partkey % 5 when 0 then 'page' when 1 then 'Card' when 2 then 'route' when 3 then 'useThing' else 'store' end || cast(p_partkey as string) || '.tsx' as path,
+    case when p_size % 4 = 0 then '"use client"' || chr(10) else '' end || 'import { Box } from "' || case p_size % 7 when 0 then '@radix-ui/react' when 1 then 'lucide-react' when 2 then 'chart.js/auto' when 3 then 'three' when 4 then './Card' || cast(p_partkey % 50 as string) when 5 then 'd3' else '@/components/ui/x' end || '"' || chr(10)
+    || 'export function Part' || cast(p_partkey % 300 as string) || '(props) {' || chr(10) || case when p_size % 3 = 0 then '  const [a, b] = useState(0)' || chr(10) else '' end || case when p_size % 5 = 0 then '  const bag' || cast(p_partkey % 40 as string) || ' = create((set) => ({}))' || chr(10) else '' end
+    || case when p_size % 6 = 1 then '  const q = useQuery({' || chr(10) else '' end || case when p_size % 4 = 1 then '  fetch("/api/items/' || cast(p_partkey % 9 as string) || '", { method: "post" })' || chr(10) when p_size % 4 = 2 then '  axios.get("/api/users")' || chr(10) else '' end
+    || case when p_size % 8 = 3 then '  return bag' || cast(p_partkey % 40 as string) || '.use()' || chr(10) else '' end || case when p_size % 2 = 0 then '  <label for="f' || cast(p_size % 6 as string) || '">x</label>' || chr(10) || '  <hr>' || chr(10) else '' end
+    || '  return <form className="flex"><button ' || case when p_size % 3 = 1 then 'aria-label="go" ' else '' end || 'onClick={go}></button>' || chr(10) || '  <input type="text" id="f' || cast(p_size % 5 as string) || '"> <div role="button" tabIndex={0}></div></form>' || chr(10) || '}' as text from part"""
+#: Routes of components, and sizes of what they import.
+ROUTES = "(1, '/', 'app/page.tsx'), (2, '/users/:id', 'app/users/[id]/page.tsx'), (3, '/cart', 'app/(shop)/cart/page.tsx'), (4, '/api', 'app/api/route.ts'), (5, '/do', 'app/do/page.tsx')"
+WEIGHTS = "('three', 600), ('chart.js', 200), ('d3', 250), ('lucide-react', 40), ('@radix-ui/react', 60)"
+#: Modules: a part imports the part that stands next to it in an order.
+MODULES = "select a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1"
 #: Logs: a line for each event, a log for each user.
 LOG = """select user_id as log, event_id as line, case event_id % 9 when 0 then 'TypeError: x is not a function' when 1 then '    at run' || cast(event_id % 7 as string) || ' (src/local/f' || cast(event_id % 13 as string) || '.ts:' || cast(event_id % 90 + 1 as string) || ':12)'
     when 2 then '    at src/api/g' || cast(event_id % 5 as string) || '.ts:' || cast(event_id % 40 as string) || ':3' when 3 then 'ReferenceError: y' when 4 then '  File "b' || cast(event_id % 3 as string) || '.py", line ' || cast(event_id % 50 as string) || ', in go'
@@ -56,4 +68,4 @@ _TABLE = re.compile(r"\bfrom (part|lineitem|orders|events|documents)\b")
 def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """One of the above over the tables in a folder."""
     name = _TABLE.search(sql)[1]
-    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace(f"from {name}", "from {t}"), t=table(spark, sf_dir, name))
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace(f"from {name}", "from {t}").replace(f"join {name}", "join {t}"), t=table(spark, sf_dir, name))

@@ -1,4 +1,4 @@
-"""Queries over code facts, paths and findings: literal fixtures, and the pages table."""
+"""Queries over code facts, paths and findings: symbols, files and lines made from the tables, and the pages table."""
 
 from __future__ import annotations
 
@@ -6,17 +6,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import detectors as D
+from tessera.operators import sources_text as X_
 from tessera.operators import symbols as S
+from tessera.plans import code_tables as C
 from tessera.plans.registry import query
 from tessera.plans.tables import table, values
 from tessera.sources import files as X
 
-_CODE = """(1, 'if (a && b) { for (;;) {} }'), (2, 'const x = a ? b : c;' || chr(10) || 'import { Pool } from "pg"' || chr(10) || 'export function run() { return process.env.DB_URL }'), (3, '// if (x)' || chr(10) || 'while (1) { try { y() } catch (e) { case 1: z } }'), (4, 'export const A = 1' || chr(10) || 'export class B {}' || chr(10) || 'app.get("/users", h); app.post("/users", h)'), (5, '# Title' || chr(10) || 'text [a](http://b) and [c](http://d)' || chr(10) || '## Sub' || chr(10) || 'name: x' || chr(10) || 'other_key: y')"""
-
-
-def code(spark):
-    return values(spark, _CODE, "id, text")
-
 
 def _count(expr: str, pattern: str) -> str:
     return f"len(regexp_extract_all({expr}, '{pattern}'))"
@@ -25,10 +21,10 @@ def _count(expr: str, pattern: str) -> str:
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '/\*[\s\S]*?\*/', '', 'g'), '(?m)//.*$', '', 'g'), '[''`](?:[^''`\\]|\\.)*[''`]', '', 'g'), '"(?:[^"\\]|\\.)*"', '', 'g')"""
 
 
-@query("q56_cyclomatic_complexity", f"with c as (select id, 1 + {' + '.join(_count(_CLEAN, p) for p in T.DECISIONS)} as points from (values {_CODE}) t(id, text)) select id, points::int as points, case when points <= 10 then 'low' when points <= 20 then 'moderate' when points <= 50 then 'high' else 'very high' end as rating from c")
+@query("q56_cyclomatic_complexity", f"with s as ({C.COMPONENTS}), c as (select id, 1 + {' + '.join(_count(_CLEAN, p) for p in T.DECISIONS)} as points from s) select id, points::int as points, case when points <= 10 then 'low' when points <= 20 then 'moderate' when points <= 50 then 'high' else 'very high' end as rating from c")
 def q56(spark, d):
     points = T.complexity(F.col("text"))
-    return code(spark).select("id", points.alias("points"), T.complexity_rating(points).alias("rating"))
+    return C.relation(spark, d, C.COMPONENTS).select("id", points.alias("points"), T.complexity_rating(points).alias("rating"))
 
 
 _PATHS = "('/users?x=1'), ('`/v1/items/$' || '{id}`'), ('v2/a//b'), ('https://api.x.com/y'), ('http'), ('/'), ('API_BASE_URL/v1/z'), (':/v1/q'), ('/$bad'), ('users/list#top'), ('process.env.HOST/api/k'), ('')"
@@ -73,45 +69,57 @@ def q64(spark, d):
     return table(spark, d, "pages").select("page_id", n("<a href").alias("links"), n("<script").alias("scripts"), n("<p>").alias("paragraphs"), F.col("html").contains("<h1").alias("has_h1"))
 
 
-_RULES = [("env", r"process\.env\.([A-Z_]+)", 1), ("export", r"export (?:const|class|function) (\w+)", 1), ("import", r'from "([^"]+)"', 1), ("route", r'app\.(?:get|post)\("([^"]+)"', 1)]
-_DETECT = "with l as (select id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1)::int as line from (values {c}) t(id, text)) ".format(c=_CODE) + " union all ".join(f"select id, line, '{n}' as rule, unnest(regexp_extract_all(s, '{p}', {g})) as match from l" for n, p, g in _RULES)
+_NO = "('if', 'for', 'while', 'switch', 'catch', 'function', 'return', 'new')"
+_FACT = {k: p.replace("'", "''") for k, p, _ in D.FACTS} | {"call": r"\b([A-Za-z_$][\w$]*)\s*\("}
+_FACTS = f"l as ({C.LINES}), fa as (" + " union all ".join(f"select id, 1 as line, '{k}' as kind, unnest(list_filter(regexp_extract_all(text, '{_FACT[k]}', 1), lambda x: x not in {_NO if k == 'call' else '(chr(1))'})) as name from l" for k, _, _ in D.FACTS) + ")"
 
 
-@query("q66_code_fact_extract", _DETECT)
+def facts(spark, d):
+    return D.facts(C.relation(spark, d, C.LINES).select("id", "text"))
+
+
+@query("q66_code_fact_extract", f"with {_FACTS} select * from fa")
 def q66(spark, d):
-    return D.detect(code(spark), _RULES)
+    return facts(spark, d)
 
 
-@query("q65_env_key_extract", f"select distinct match as key from ({_DETECT}) where rule = 'env'")
+@query("q65_env_key_extract", f"with {_FACTS} select name as key, min(id) as first, count(*) as uses from fa where kind = 'env' group by name")
 def q65(spark, d):
-    return D.detect(code(spark), _RULES[:1]).select(F.col("match").alias("key")).distinct()
+    """Each key once, with where it is seen first."""
+    return facts(spark, d).filter("kind = 'env'").groupBy(F.col("name").alias("key")).agg(F.min("id").alias("first"), F.count("*").alias("uses"))
 
 
-@query("q92_ast_query_dsl", f"select id, rule, match, case rule when 'import' then 0.8::double when 'export' then 0.9::double when 'env' then 0.8::double else 0.85::double end as score from ({_DETECT}) where rule in ('import', 'route') or match = 'B'")
+@query("q92_ast_query_dsl", f"with {_FACTS} select distinct id, line, kind, name, case kind {' '.join(f'when {k!r} then {v}::double' for k, v in D.FACT_SCORES.items())} end as score from fa where (kind = 'import' and regexp_matches(name, '^(pg|mongoose)$')) or (kind = 'route' and contains(name, '/users')) or (kind = 'call' and contains(name, 'fetch')) or (kind = 'new' and contains(name, 'Client')) or (kind = 'env' and regexp_matches(name, 'URL$'))")
 def q92(spark, d):
-    """Queries (kind, name) run as filters over the facts."""
-    facts = D.detect(code(spark), _RULES)
-    score = F.when(F.col("rule").isin("import", "env"), 0.8).when(F.col("rule") == "export", 0.9).otherwise(0.85)
-    return facts.filter(F.col("rule").isin("import", "route") | (F.col("match") == "B")).select("id", "rule", "match", score.alias("score"))
+    """Queries (kind, pattern) run as filters over the facts."""
+    return D.ast_query(facts(spark, d), [("import", "/^(pg|mongoose)$/"), ("route", "/users"), ("call", "fetch"), ("new", "Client"), ("env", "/URL$/")])
+
 
+@query("q170_structural_search", f"with l as ({C.LINES}) select id, 1 as line, regexp_extract(text, 'const\\s+([^,()\\s]+)\\s+=\\s+([^,()\\s]+)', 1) as \"NAME\", regexp_extract(text, 'const\\s+([^,()\\s]+)\\s+=\\s+([^,()\\s]+)', 2) as \"VALUE\" from l where regexp_matches(text, 'const\\s+([^,()\\s]+)\\s+=\\s+([^,()\\s]+)')")
+def q170(spark, d):
+    return D.structural_search(C.relation(spark, d, C.LINES).select("id", "text"), "const $NAME = $VALUE")
 
-_FILES = "('src/index.ts', 900), ('pkg/src/util.ts', 20), ('pkg/src/util.js', 20), ('dist/util.js', 9000), ('README.md', 700), ('a/b/c/d/e/f/g.py', 10), ('package.json', 501), ('lib/x.tsx', 60000), ('build/x.js', 5), ('node_modules/p/index.js', 100), ('src/app.test.ts', 100)"
 
+_F = f"f as ({C.FILES})"
+_MIXED = "select p_partkey as id, case p_partkey % 4 when 0 then 'pkg/src/' when 1 then 'dist/' when 2 then 'lib/' else 'web/build/' end || 'm' || cast(p_partkey % 60 as string) || case p_size % 5 when 0 then '.ts' when 1 then '.tsx' when 2 then '.js' when 3 then '.jsx' else '.css' end as path from part"
+_BUILT = "(" + " or ".join(f"contains(lower(path), '{b}')" for b in S.BUILD) + ")"
+_RANK = f"case when src and ext = '.ts' then 1 when src and ext = '.tsx' then 2 when ext = '.ts' and not built then 3 when ext = '.tsx' and not built then 4 when src and ext in ('.js', '.jsx') then 5 when ext in ('.js', '.jsx') and not built then 6 when src and not built then 7 when not built then 8 else 9 end"
 
-@query("q74_source_preference", f"select * from (values ('src/index', 'src/index.ts', 1), ('pkg/src/util', 'pkg/src/util.ts', 2), ('dist/util', 'dist/util.js', 1), ('README', 'README.md', 1), ('a/b/c/d/e/f/g', 'a/b/c/d/e/f/g.py', 1), ('package', 'package.json', 1), ('lib/x', 'lib/x.tsx', 1), ('build/x', 'build/x.js', 1), ('node_modules/p/index', 'node_modules/p/index.js', 1), ('src/app.test', 'src/app.test.ts', 1)) t(stem, path, candidates)")
+
+@query("q74_source_preference", f"with p as ({_MIXED}), e as (select path, regexp_replace(path, '[.][^/.]+$', '') as stem, regexp_extract(path, '([.][^./]+)$', 1) as ext, {_BUILT} as built, contains(path, '/src/') as src from p), r as (select *, row_number() over (partition by stem order by {_RANK}, length(path), path) as place, count(*) over (partition by stem) as candidates from e) select stem, path, candidates from r where place = 1")
 def q74(spark, d):
-    return S.prefer_sources(values(spark, _FILES, "path, size"))
+    return S.prefer_sources(C.relation(spark, d, _MIXED))
 
 
-@query("q75_ignore_rules", f"select path, (contains(path, 'node_modules/') or starts_with(path, 'dist/') or (path like '%.md' and path <> 'README.md')) as ignored from (values {_FILES}) t(path, size)")
+@query("q75_ignore_rules", f"with {_F} select id, (contains(path, 'node_modules/') or starts_with(path, 'src/scripts/') or path like '%.md') and not contains(path, '/README') as ignored from f")
 def q75(spark, d):
-    rules = ["# build", "node_modules/", "dist/", "*.md", "!README.md"]
-    return values(spark, _FILES, "path, size").select("path", X.ignored(F.col("path"), rules).alias("ignored"))
+    rules = ["# build", "**/node_modules/**", "src/scripts/", "*.md", "!README*"]
+    return C.relation(spark, d, C.FILES).select("id", X.ignored(F.col("path"), rules).alias("ignored"))
 
 
-@query("q76_glob_filter", f"select path from (values {_FILES}) t(path, size) where regexp_matches(path, '^(.*/)?src/[^/]*[.]ts$') or regexp_matches(path, '^[^/]*[.]json$')")
+@query("q76_glob_filter", f"with {_F} select id from f where regexp_matches(path, '^(.*/)?api/[^/]*[.]ts$') or regexp_matches(path, '^src/.*/[^/]*[.]json$')")
 def q76(spark, d):
-    return values(spark, _FILES, "path, size").filter(X.matches_any(F.col("path"), ["**/src/*.ts", "*.json"])).select("path")
+    return C.relation(spark, d, C.FILES).filter(X.matches_any(F.col("path"), ["**/api/*.ts", "src/*/**/*.json", "src/*/*.json"])).select("id")
 
 
 _LANG = "case regexp_extract(path, '[.]([a-z]+)$', 1) when 'ts' then 'typescript' when 'tsx' then 'typescript' when 'js' then 'javascript' when 'py' then 'python' when 'md' then 'markdown' when 'json' then 'json' else 'text' end"
@@ -119,42 +127,79 @@ _LANG = "case regexp_extract(path, '[.]([a-z]+)$', 1) when 'ts' then 'typescript
 
 @query(
     "q77_file_relevance_sort",
-    f"""with f as (select path, size, {_LANG} as language from (values {_FILES}) t(path, size)) select path, language,
+    f"""with {_F}, g as (select id, path, size, {_LANG} as language from f) select id, language,
         ((contains(path, 'index') or contains(path, 'main') or contains(path, 'app'))::int * 100 + contains(lower(path), 'readme')::int * 80 + contains(path, 'package.json')::int * 70 + (contains(path, 'src/') or contains(path, 'lib/'))::int * 50
-        + (language in ('typescript', 'javascript'))::int * 30 + (size > 500 and size < 50000)::int * 10 - case when len(string_split(path, '/')) > 5 then len(string_split(path, '/')) else 0 end)::int as score from f""",
+        + (language in ('typescript', 'javascript'))::int * 30 + (size > 500 and size < 50000)::int * 10 - case when len(string_split(path, '/')) > 5 then len(string_split(path, '/')) else 0 end)::int as score from g""",
 )
 def q77(spark, d):
-    f = values(spark, _FILES, "path, size").withColumn("language", X.language(F.col("path")))
-    return f.select("path", "language", S.file_relevance(F.col("path"), F.col("language"), F.col("size")).alias("score"))
+    f = C.relation(spark, d, C.FILES).withColumn("language", X.language(F.col("path")))
+    return f.select("id", "language", S.file_relevance(F.col("path"), F.col("language"), F.col("size")).alias("score"))
 
 
 _PRIOR = "case " + " ".join(f"when regexp_matches(lower(path), '{p}') then {v}::double" for p, v in S.PATH_PRIORS) + " else 1.0::double end"
 
 
-@query("q96_path_prior", f"select path, {_PRIOR} as prior from (values {_FILES}) t(path, size)")
+@query("q96_path_prior", f"with {_F} select id, {_PRIOR} as prior from f")
 def q96(spark, d):
-    return values(spark, _FILES, "path, size").select("path", S.path_prior(F.col("path")).alias("prior"))
+    return C.relation(spark, d, C.FILES).select("id", S.path_prior(F.col("path")).alias("prior"))
 
 
-_ROUTES = "('app/page.tsx'), ('app/users/[id]/page.tsx'), ('app/blog/[...slug]/page.tsx'), ('app/files/[[...path]]/page.tsx'), ('app/(marketing)/pricing/page.tsx'), ('app/@modal/x/route.ts')"
+_ROUTED = "select p_partkey as id, case when p_size % 2 = 0 then 'src/' else '' end || 'app/' || case p_partkey % 6 when 0 then '' when 1 then 'users/[id]/' when 2 then 'blog/[...slug]/' when 3 then 'files/[[...path]]/' when 4 then '(marketing)/pricing/' else '@modal/x/' end || 's' || cast(p_size as string) || case p_partkey % 3 when 0 then '/page.tsx' when 1 then '/route.ts' else '/layout.jsx' end as file from part"
+_PART = "case when regexp_matches(s, '^\\[\\[\\.\\.\\.(.+)\\]\\]$') then '*' || regexp_extract(s, '^\\[\\[\\.\\.\\.(.+)\\]\\]$', 1) || '?' when regexp_matches(s, '^\\[\\.\\.\\.(.+)\\]$') then '*' || regexp_extract(s, '^\\[\\.\\.\\.(.+)\\]$', 1) when regexp_matches(s, '^\\[(.+)\\]$') then ':' || regexp_extract(s, '^\\[(.+)\\]$', 1) else s end"
 
 
-@query("q97_route_paths", "select * from (values ('app/page.tsx', '/'), ('app/users/[id]/page.tsx', '/users/:id'), ('app/blog/[...slug]/page.tsx', '/blog/*slug'), ('app/files/[[...path]]/page.tsx', '/files/*path?'), ('app/(marketing)/pricing/page.tsx', '/pricing'), ('app/@modal/x/route.ts', '/x')) t(file, route)")
+@query("q97_route_paths", f"with r as ({_ROUTED}), p as (select id, list_filter(string_split(regexp_replace(regexp_replace(file, '^(src/)?app/', ''), '/(page|route|layout)\\.(tsx?|jsx?)$', ''), '/'), lambda s: s <> '' and not regexp_matches(s, '^\\(.*\\)$') and not starts_with(s, '@')) as parts from r) select id, '/' || array_to_string(list_transform(parts, lambda s: {_PART}), '/') as route from p")
 def q97(spark, d):
-    return values(spark, _ROUTES, "file").select("file", T.route_path(F.col("file")).alias("route"))
+    return C.relation(spark, d, _ROUTED).select("id", T.route_path(F.col("file")).alias("route"))
 
 
-_EVIDENCE = "(1, 'import'), (1, 'import'), (1, 'sql'), (2, 'env'), (2, 'connection'), (2, 'sql'), (2, 'import'), (3, 'other')"
+_KINDS = "case l_linenumber % 6 when 0 then 'import' when 1 then 'env' when 2 then 'sql' when 3 then 'connection' when 4 then 'sql' else 'other' end"
 
 
-@query("q88_db_confidence", "select * from (values (1, 0.45::double), (2, 0.9::double), (3, 0.0::double)) t(file, confidence)")
+@query("q88_db_confidence", f"with e as (select l_orderkey as file, {_KINDS} as kind from lineitem) select file, least(1.0::double, (30 * bool_or(kind = 'import')::int + 25 * bool_or(kind = 'env')::int + 15 * bool_or(kind = 'sql')::int + 20 * bool_or(kind = 'connection')::int) / 100) as confidence from e group by file")
 def q88(spark, d):
-    return values(spark, _EVIDENCE, "file, kind").groupBy("file").agg(D.db_confidence(F.col("kind")).cast("double").alias("confidence"))
+    kind = F.expr(_KINDS)
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), kind.alias("kind")).groupBy("file").agg(D.db_confidence(F.col("kind")).cast("double").alias("confidence"))
+
+
+_RAW = "select p_partkey as id, case p_partkey % 4 when 0 then cast(p_size as string) || '.' || cast(p_partkey % 10 as string) || '%' when 1 then '0.' || cast(p_size as string) when 2 then 'none' else cast(p_size + 50 as string) end as raw from part"
 
 
-@query("q98_confidence_parse", "select * from (values ('85.2%', 0.852::double), ('0.5', 0.5::double), ('none', null)) t(raw, confidence)")
+@query("q98_confidence_parse", f"with r as ({_RAW}), n as (select id, nullif(regexp_extract(raw, '([0-9]+(?:[.][0-9]+)?)', 1), '')::double as n from r) select id, round(case when n > 1 then n / 100 else n end, 6) as confidence from n")
 def q98(spark, d):
-    return values(spark, "('85.2%'), ('0.5'), ('none')", "raw").select("raw", F.round(T.confidence(F.col("raw")), 6).alias("confidence"))
+    return C.relation(spark, d, _RAW).select("id", F.round(T.confidence(F.col("raw")), 6).alias("confidence"))
+
+
+_QUOTAS = "select p_partkey as id, case p_partkey % 7 when 0 then cast(p_size as string) || 'GB' when 1 then cast(p_size as string) || 'mb' when 2 then cast(p_size as string) when 3 then 'abc' when 4 then cast(p_size as string) || '.5 kb' when 5 then cast(p_size as string) || 'TB' else cast(p_size as string) || 'B' end as q from part"
+
+
+@query("q94_quota_parse", f"with q as ({_QUOTAS}), p as (select id, nullif(regexp_extract(upper(q), '^([0-9]+(?:[.][0-9]+)?) *(KB|MB|GB|TB|B)?$', 1), '')::double as n, regexp_extract(upper(q), '^([0-9]+(?:[.][0-9]+)?) *(KB|MB|GB|TB|B)?$', 2) as u from q) select id, case when n is null then 10737418240 else floor(n * pow(1024::double, case u when 'B' then 0 when 'KB' then 1 when 'GB' then 3 when 'TB' then 4 else 2 end))::bigint end as bytes from p")
+def q94(spark, d):
+    return C.relation(spark, d, _QUOTAS).select("id", T.quota_bytes(F.col("q")).alias("bytes"))
+
+
+_TEMPLATE = "{kind} {name} in {file} uses {unknown}. Notes: {doc}"
+
+
+@query("q171_answer_template", f"with s as ({C.SYMBOLS}), t as (select id, kind || ' ' || name || ' in ' || file || ' uses -. Notes: ' || coalesce(doc, '-') as x from s), w as (select id, x, regexp_split_to_array(x, '\\s+') as p from t) select id, case when len(p) > 12 then array_to_string(p[1:12], ' ') || '...' else x end as answer from w")
+def q171(spark, d):
+    s = C.relation(spark, d, C.SYMBOLS)
+    return s.select("id", D.fill_template(_TEMPLATE, {n: F.col(n) for n in ("kind", "name", "file", "doc")}, 12).alias("answer"))
+
+
+_NAME = "Redwidget"
+_HOLDS = f"(contains(signature, '{_NAME}') or coalesce(contains(body, '{_NAME}'), false))"
+
+
+@query("q172_around_symbol", f"with s as ({C.SYMBOLS}), r as (select 'usage' as relation, id from s where {_HOLDS} and not contains(lower(file), 'test') and name <> '{_NAME}' union all select 'test', id from s where {_HOLDS} and contains(lower(file), 'test') union all select 'error', id from s where coalesce(regexp_matches(body, '\\b(try|catch|throw)\\b|Error'), false) and file in (select file from s where name = '{_NAME}')), p as (select *, (row_number() over (partition by relation order by id))::int as place from r) select relation, place, id from p where place <= case relation when 'test' then 3 else 5 end")
+def q172(spark, d):
+    return D.around_symbol(C.relation(spark, d, C.SYMBOLS), _NAME)
+
+
+@query("q173_json_structure", "select event_id as id, case when json_valid(props) then 2 end as depth, 1 + len(json_keys(props))::int as nodes, 1 as objects, 0 as arrays, array_to_string(json_keys(props), ',') as paths from events")
+def q173(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("text"))
+    return X_.json_structure(rows).withColumn("paths", F.array_join("paths", ","))
 
 
 @query("q91_json_structure")

@@ -14,6 +14,11 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
+def lowered(spark, d):
+    """Texts in lower case once, for all that is looked for in them."""
+    return docs(spark, d).select("doc_id", "source", "n_chars", F.lower("text").alias("low"))
+
+
 def _any(column: str, seeds) -> str:
     return "(" + " or ".join(f"contains({column}, '{s.lower()}')" for s in seeds) + ")"
 
@@ -29,19 +34,19 @@ _QUESTIONS = "(1, 'how does login with a JWT token work'), (2, 'fix the broken s
         select id, array_to_string(facets, ',') as facets, matches, round(least(1.0::double, 0.3::double * len(facets) + 0.1::double * matches), 6) as confidence from q""",
 )
 def q08(spark, d):
-    q = values(spark, _QUESTIONS, "id, q").withColumn("tags", O.facet_tags(F.col("q"))).withColumn("matches", O.facet_matches(F.col("q")).cast("int"))
+    q = values(spark, _QUESTIONS, "id, q").withColumn("tags", O.facet_tags(F.lower("q"))).withColumn("matches", O.facet_matches(F.col("q")).cast("int"))
     confidence = F.least(F.lit(1.0), F.size("tags") * 0.3 + F.col("matches") * 0.1)
     return q.select("id", F.array_join("tags", ",").alias("facets"), "matches", F.round(confidence, 6).alias("confidence"))
 
 
 @query("q09_facet_tags_documents", f"select doc_id, array_to_string({_TAGS}, ',') as facets from documents")
 def q09(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(O.facet_tags(F.col("text")), ",").alias("facets"))
+    return lowered(spark, d).select("doc_id", F.array_join(O.facet_tags(F.col("low")), ",").alias("facets"))
 
 
 @query("q10_per_facet_counts", f"with t as (select doc_id, source, unnest({_TAGS}) as facet from documents) select facet, count(*) as n, count(distinct source) as sources, round(count(distinct source) / count(*), 6) as coverage from t group by facet")
 def q10(spark, d):
-    t = docs(spark, d).select("source", F.explode(O.facet_tags(F.col("text"))).alias("facet"))
+    t = lowered(spark, d).select("source", F.explode(O.facet_tags(F.col("low"))).alias("facet"))
     t = t.groupBy("facet").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
     return t.withColumn("coverage", F.round(F.col("sources") / F.col("n"), 6))
 
@@ -97,14 +102,21 @@ def q35(spark, d):
     return O.keep_best(_hashed(spark, d), "hash", [F.col("source")]).select("id", "hash", "kept", "copies", "duplicate")
 
 
-_SIGNATURE = "regexp_replace(substring(text, 1, 60), '[A-Za-z]+', 'V', 'g')"
+_KEPT = ("the", "function", "class", "type", "const")
+_SIGNATURE = "lang || '|' || trim(" + "replace(" * len(_KEPT) + "regexp_replace(" + "regexp_replace(" * (len(_KEPT) + 1) + r"text, '\s+', ' ', 'g')" + "".join(rf", '\b{w}\b', '@{k}@', 'g')" for k, w in enumerate(_KEPT)) + ", '[A-Za-z]+', 'V', 'g')" + "".join(f", '@{k}@', '{w}')" for k, w in enumerate(_KEPT)) + ")"
 
 
-@query("q36_signature_dedup", f"with h as (select doc_id as id, lang || {_SIGNATURE} as sig from documents) select md5(sig) as signature, min(id) as kept, count(*) as copies from h group by sig having count(*) > 1")
+@query("q36_signature_dedup", f"with h as (select doc_id as id, {_SIGNATURE} as sig from documents) select md5(sig) as signature, min(id) as kept, count(*) as copies from h group by sig having count(*) > 1")
 def q36(spark, d):
-    sig = F.concat("lang", F.regexp_replace(F.substring("text", 1, 60), "[A-Za-z]+", "V"))
-    h = docs(spark, d).select(F.col("doc_id").alias("id"), sig.alias("sig"))
-    return h.groupBy("sig").agg(F.min("id").alias("kept"), F.count("*").alias("copies")).filter("copies > 1").select(F.md5("sig").alias("signature"), "kept", "copies")
+    """Texts alike but for their words, a few of which are kept as they are; the digest, not the text, is grouped by."""
+    plain = F.regexp_replace("text", r"\s+", " ")
+    for k, w in enumerate(_KEPT):
+        plain = F.regexp_replace(plain, rf"\b{w}\b", f"@{k}@")
+    plain = F.regexp_replace(plain, "[A-Za-z]+", "V")
+    for k, w in enumerate(_KEPT):
+        plain = F.replace(plain, F.lit(f"@{k}@"), F.lit(w))
+    h = docs(spark, d).select(F.col("doc_id").alias("id"), F.md5(F.concat(F.col("lang"), F.lit("|"), F.trim(plain))).alias("signature"))
+    return h.groupBy("signature").agg(F.min("id").alias("kept"), F.count("*").alias("copies")).filter("copies > 1").select("signature", "kept", "copies")
 
 
 @query(
@@ -229,6 +241,6 @@ def q89(spark, d):
 def q90(spark, d):
     from pyspark.sql import Window
 
-    rows = docs(spark, d).select("doc_id", "n_chars", F.explode(O.facet_tags(F.col("text"))).alias("facet")).filter(F.col("facet").isin("auth", "data", "security"))
+    rows = lowered(spark, d).select("doc_id", "n_chars", F.explode(O.facet_tags(F.col("low"))).alias("facet")).filter(F.col("facet").isin("auth", "data", "security"))
     w = Window.partitionBy("facet").orderBy(F.desc("n_chars"), "doc_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter("rank <= 6").select("facet", "doc_id", "rank")

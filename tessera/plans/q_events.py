@@ -98,3 +98,34 @@ def q71(spark, d):
 @query("q72_benchmark_stats", "select event_type, min(value) as least, max(value) as most, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as spread, count(*) as n from events group by event_type")
 def q72(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("spread"), F.count("*").alias("n"))
+
+
+@query(
+    "q187_project_gap",
+    "with e as (select ts, event_id, case when ts - lag(ts) over (order by ts, event_id) < interval '20' minute then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (order by ts, event_id rows unbounded preceding) as n from e) select 'p' as key, min(ts) as first, max(ts) as last, max(ts) + interval '20' minute as fires, count(*) as events from s group by n",
+)
+def q187(spark, d):
+    """Changes anywhere in a project; a run ends with a pause of 20 minutes."""
+    from tessera.streaming.watching import project_changes
+
+    return project_changes(events(spark, d), "p", "20 minutes")
+
+
+@query("q188_circuit_with_reset")
+def q188(spark, d):
+    """Opened by the third error in a row, closed after two days."""
+    from tessera.streaming.watching import breaker
+
+    return breaker(events(spark, d), 3, 2 * 86_400)
+
+
+@query(
+    "q189_concurrency_halving",
+    """with h as (select event_id, user_id as key, ts, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval '2' day then 0 else 1 end as fresh from events where event_type = 'error'),
+        r as (select *, sum(fresh) over (partition by key order by ts, event_id rows unbounded preceding) as run from h), n as (select *, row_number() over (partition by key, run order by ts, event_id) as hits from r)
+        select event_id, key, hits::int as hits, case when hits >= 3 then greatest(1, floor(16 / pow(2::double, hits - 2)))::int else 16 end as concurrency from n""",
+)
+def q189(spark, d):
+    from tessera.streaming.watching import concurrency
+
+    return concurrency(events(spark, d).filter("failed"), 16, 2 * 86_400).select("event_id", "key", "hits", "concurrency")

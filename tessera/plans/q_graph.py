@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
-from tessera.operators.documents import ANCHORS
 from tessera.plans.registry import query
 from tessera.plans.tables import table, values
 
@@ -26,70 +25,3 @@ def q48(spark, d):
 @query("q49_neighbours_topk", "select distinct l_suppkey as node from lineitem where l_partkey in (1, 2, 3) and l_suppkey not in (1, 2, 3) order by 1 limit 12")
 def q49(spark, d):
     return G.neighbours(values(spark, "(1L), (2L), (3L)", "node"), edges(spark, d), 12)
-
-
-_EDGE = "select distinct l_partkey % 400 as src, (l_partkey * 7 + l_suppkey) % 400 as dst from lineitem where l_quantity > 45"
-
-
-def _module_edges(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_quantity > 45")
-    return rows.select((F.col("l_partkey") % 400).alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 400).alias("dst")).distinct()
-
-
-def _reach(a: str, b: str) -> str:
-    return f"with recursive e as ({_EDGE}), r(node, distance) as (select 1::bigint, 0 union select e.{b}, r.distance + 1 from r join e on e.{a} = r.node where r.distance < 3), m as (select node, min(distance) as distance from r group by node)"
-
-
-@query("q50_client_propagation", _reach("src", "dst") + " select node, distance from m")
-def q50(spark, d):
-    """Modules that become client code through their importers, three steps deep."""
-    return G.reachable(values(spark, "(1L)", "node"), _module_edges(spark, d), 3)
-
-
-@query(
-    "q51_bfs_dep_weight",
-    _reach("src", "dst") + ", w as (select m.node, distance, p_size::bigint as size from m join part on p_partkey = m.node where distance > 0) select node, distance, size, round(size / (select sum(size) from w), 6) as share from w order by size desc, node limit 10",
-)
-def q51(spark, d):
-    sizes = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("size"))
-    return G.dependency_weight(values(spark, "(1L)", "node"), _module_edges(spark, d), sizes, 3)
-
-
-@query("q41_cross_file_importance", "with w as (select distinct l_partkey as symbol, l_orderkey as file from lineitem), n as (select count(distinct file) as files from w) select symbol, count(*) as used_in, round(count(*) / (select files from n), 6) as importance from w group by symbol")
-def q41(spark, d):
-    w = table(spark, d, "lineitem").select(F.col("l_partkey").alias("symbol"), F.col("l_orderkey").alias("file")).distinct()
-    n = w.agg(F.count_distinct("file").alias("files"))
-    return w.groupBy("symbol").agg(F.count("*").alias("used_in")).crossJoin(F.broadcast(n)).select("symbol", "used_in", F.round(F.col("used_in") / F.col("files"), 6).alias("importance"))
-
-
-_CHUNKS = "(1, 'src/a/auth.ts', 'function verifyAuth(x)', 'useAuth'), (2, 'src/a/user.ts', 'calls verifyAuth', 'verifyAuth'), (3, 'src/b/db.ts', 'const createClient = 1', 'prisma,createClient'), (4, 'src/b/use.ts', 'createClient()', 'createClient'), (5, 'docs/x.md', 'nothing here', '')"
-
-
-@query(
-    "q11_anchor_enforcement",
-    f"""with c as (select * from (values {_CHUNKS}) t(id, path, content, symbols)), a as (select * from (values {', '.join(f"('{f}', '{x}')" for f, v in ANCHORS.items() for x in v)}) t(facet, anchor)),
-        h as (select facet, anchor, c.id, regexp_extract(path, '^(.*)/', 1) as dir from a join c on contains(lower(content), 'function ' || lower(anchor)) or contains(lower(content), 'class ' || lower(anchor)) or contains(lower(content), 'const ' || lower(anchor)))
-        select facet, anchor, min(id) as definition from h group by facet, anchor""",
-)
-def q11(spark, d):
-    """The chunk that defines each anchor; anchors are few and broadcast."""
-    a = values(spark, ", ".join(f"('{f}', '{x}')" for f, v in ANCHORS.items() for x in v), "facet, anchor")
-    c = values(spark, _CHUNKS, "id, path, content, symbols")
-    low = F.lower("content")
-    hit = F.lit(False)
-    for word in ("function ", "class ", "const "):
-        hit = hit | low.contains(F.concat(F.lit(word), F.lower("anchor")))
-    return c.join(F.broadcast(a), hit).groupBy("facet", "anchor").agg(F.min("id").alias("definition"))
-
-
-@query(
-    "q12_one_hop_expansion",
-    f"""with c as (select * from (values {_CHUNKS}) t(id, path, content, symbols)), s as (select id, unnest(string_split(symbols, ',')) as symbol from c where id in (2, 4))
-        select distinct c.id, 0.8::double as score from s join c on s.symbol <> '' and contains(c.content, s.symbol) and (contains(c.content, 'function ') or contains(c.content, 'const ')) where c.id not in (2, 4)""",
-)
-def q12(spark, d):
-    """From the selected chunks to those that define what they use, at 0.8 of the score."""
-    c = values(spark, _CHUNKS, "id, path, content, symbols")
-    used = c.filter("id in (2, 4)").select(F.explode(F.split("symbols", ",")).alias("symbol")).filter("symbol <> ''").distinct()
-    defines = c.filter(F.col("content").contains("function ") | F.col("content").contains("const "))
-    return defines.join(F.broadcast(used), F.col("content").contains(F.col("symbol"))).filter("id not in (2, 4)").select("id", F.lit(0.8).alias("score")).distinct()
