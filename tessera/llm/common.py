@@ -8,7 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -65,16 +65,29 @@ def shared_dir(spark: SparkSession) -> str:
 _CACHE: dict[str, Any] = {}
 
 
+def release() -> None:
+    """Give free memory back to the system: workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows a thousand at a time, so that a task holds few of them as Python objects; memory goes back at the end."""
+    for batch in batches:
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
+    release()
+
+
 def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     """What this worker process remembers between tasks, under one name at a time: another name empties it and gives the memory back."""
     if name not in _CACHE:
         _CACHE.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # another C library
-            pass
+        release()
         _CACHE[name] = make()
     return _CACHE[name]
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shingle_hashes, ship_package, word_hashes
+from tessera.llm.common import shingle_hashes, ship_package, slices, word_hashes
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 18
 #: Items, and characters of items, that go to the tasks at once on average.
@@ -292,7 +292,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             b = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 ids = batch.column(0)
                 hits = b.search(batch.column(1).to_pylist())
                 where = pa.array([h[0] for h in hits], pa.int64())
@@ -312,7 +312,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[h[0] for h in shared.value.search(batch.column(at).to_pylist())]] = False
                 yield batch.filter(pa.array(keep))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship_package
+from tessera.llm.common import ship_package, slices
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -389,7 +389,7 @@ def extract(pages: DataFrame, model: DomModel | None = None) -> DataFrame:
     model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [main_text(h, model) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["c0", "c1", "c2", "c3"])
 

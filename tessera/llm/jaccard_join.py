@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import GOLDEN, few_join, materialise, mix64, shingle_hashes, ship_package, shuffle_partitions, word_hashes
+from tessera.llm.common import GOLDEN, few_join, materialise, mix64, shingle_hashes, ship_package, shuffle_partitions, slices, word_hashes
 
 WIDTH, SIMILARITY, RUNS = 5, 0.8, 8
 #: Sets of a bucket up to which it is compared without splitting it further.
@@ -87,7 +87,7 @@ def set_table(docs: DataFrame, width: int, runs: int, similarity: float) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("kids", pa.list_(pa.int64()))]))
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys, sizes, found = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, width)
@@ -134,7 +134,7 @@ def chosen_again(big: DataFrame, sets: DataFrame, docs: DataFrame, width: int, s
     texts = docs.select(F.col("doc_id").alias("one"), "text").join(own, "one").select("key", "text", "nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple[int, int, bytes]] = []
             for key, text, nodes in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 s = shingle_set(text, width)
@@ -266,7 +266,7 @@ def compare(sets: DataFrame, homes: DataFrame, docs: DataFrame, width: int, simi
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             rows, waiting = [], 0
             cols = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("text", "key", "copies", "homes")]
             for text, key, copies, own in zip(*cols, strict=True):

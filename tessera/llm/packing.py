@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHE_ENTRIES, ship_package, worker_cache
+from tessera.llm.common import CACHE_ENTRIES, ship_package, slices, worker_cache
 from tessera.llm.token_counts import byte_letters
 
 #: Rows of the packed table for which one shard is made.
@@ -116,7 +116,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096
     width = 4 * max_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at: list[int] = []
             piece: list[int] = []
             ids: list[bytes] = []

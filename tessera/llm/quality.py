@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.calibration import Isotonic, fit_isotonic, training_labels
-from tessera.llm.common import fold, materialise, ship_package
+from tessera.llm.common import fold, materialise, ship_package, slices
 
 #: Number of random features, width of the kernel (in standard deviations), ridge penalty for each row.
 FEATURES, WIDTH, PENALTY, SEED = 256, 3.0, 1e-4, 20240229
@@ -62,7 +62,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [statistics(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.float64()))], names=["c0", "c1"])
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHE_ENTRIES, ship_package, worker_cache
+from tessera.llm.common import CACHE_ENTRIES, ship_package, slices, worker_cache
 
 #: Fixed value: the published pre-tokeniser pattern of byte-level BPE vocabularies of this family.
 PIECES = regex.compile(
@@ -273,7 +273,7 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             size, tokens, fits, prefixes = [], [], [], []
             for t in texts:

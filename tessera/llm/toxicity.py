@@ -55,7 +55,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.calibration import BROADCAST_LABELS, Isotonic, fit_isotonic, training_labels
-from tessera.llm.common import CACHE_ENTRIES, GOLDEN, few_join, fold, materialise, mix64, ship_package, worker_cache
+from tessera.llm.common import CACHE_ENTRIES, GOLDEN, few_join, fold, materialise, mix64, ship_package, slices, worker_cache
 
 #: Signs of an n-gram, and of those that the shared model backs off to; the discount of all counts.
 ORDER, SHORTER, DISCOUNT = 8, (5, 3, 1), 0.75
@@ -138,7 +138,7 @@ def unit_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = Counter(), Counter()
-        for b in batches:
+        for b in slices(batches):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 counts[int(y)].update(set((text or "").split()))
                 if len(counts[0]) + len(counts[1]) > CACHE_ENTRIES:
@@ -400,7 +400,7 @@ class ToxicityScorer:
             shared, name = self.shared, f"toxicity-{uuid.uuid4().hex}"
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
+                for b in slices(batches):
                     if shared is None:
                         yield out(b, np.full(b.num_rows, np.nan))
                     else:
