@@ -145,3 +145,25 @@ def around_symbol(symbols: DataFrame, name: str, usage: int = 5, tests: int = 3,
         best = best.select(F.lit(relation).alias("relation"), F.row_number().over(Window.orderBy("id")).alias("place"), "id")
         out = best if out is None else out.unionByName(best)
     return out
+
+
+def compare_configurations(runs: DataFrame, by: str) -> DataFrame:
+    """``by``, time_reduction, compression_gain, quality_gain of runs (configuration: baseline or optimised, time, compression, quality): changes as shares of the baseline's means."""
+    mean = lambda c, v: F.avg(F.when(F.col("configuration") == c, F.col(v)))
+    change = lambda v: (mean("optimised", v) - mean("baseline", v)) / mean("baseline", v)
+    return runs.groupBy(by).agg(F.round(-change("time"), 6).alias("time_reduction"), F.round(change("compression"), 6).alias("compression_gain"), F.round(change("quality"), 6).alias("quality_gain"))
+
+
+def regressions(current: DataFrame, baseline: DataFrame, by: str, threshold: float = 0.2) -> DataFrame:
+    """``by``, issues of current means (time, compression, errors) against a baseline's: what got worse by more than a share."""
+    b = baseline.select(by, *[F.col(c).alias(f"b_{c}") for c in ("time", "compression", "errors")])
+    rows = current.join(b, by)
+    slower = (F.col("time") - F.col("b_time")) / F.col("b_time") > threshold
+    larger = (F.col("b_compression") - F.col("compression")) / F.col("b_compression") > threshold
+    wrong = F.col("errors") > F.col("b_errors") * (1 + threshold)
+    return rows.select(by, F.array_join(F.array_compact(F.array(F.when(slower, "time"), F.when(larger, "compression"), F.when(wrong, "errors"))), ",").alias("issues"))
+
+
+def returned_symbols(body: Column, most: int = 5) -> Column:
+    """What a body returns by name, the first few different ones."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\breturn\s+([A-Za-z_$][\w$]*)"), F.lit(1))), 1, most)

@@ -192,3 +192,23 @@ def budget_two_pass(rows: DataFrame, group: str, budget: int, priority: float =
     key = F.col("score") * F.col("confidence") if "confidence" in rows.columns else F.col("score")
     first = F.when(F.col("score") >= priority, key + 10).otherwise(key)
     return budget_greedy(rows.withColumn("score", first), group, budget)
+
+
+def context_verdicts(messages: DataFrame, group: str, system_role: str = "system", least: int = 32, least_similar: int = 10, ratio: float = 0.15) -> DataFrame:
+    """``group``, system, dynamic, verdict of messages (role, text): whether what is said beside the instructions is enough, in all and as a share. Fewer tokens do where similar chunks are shown."""
+    tokens = F.ceil(F.length(F.trim("text")) / 4)
+    system = F.col("role") == system_role
+    shown = F.col("text").contains("% similar") | F.col("text").contains("confidence") | F.col("text").contains("embedding")
+    m = messages.groupBy(group).agg(
+        F.coalesce(F.sum(F.when(system, tokens)), F.lit(0)).alias("system"), F.coalesce(F.sum(F.when(~system, tokens)), F.lit(0)).alias("dynamic"), F.coalesce(F.max(shown), F.lit(False)).alias("shown")
+    )
+    share = F.col("dynamic") / (F.col("system") + F.col("dynamic"))
+    verdict = F.when(F.col("shown"), F.when(F.col("dynamic") < least_similar, "TOO_FEW_TOKENS").otherwise("ok")).when(F.col("dynamic") < least, "TOO_FEW_TOKENS").when(share < ratio, "LOW_DYNAMIC_RATIO").otherwise("ok")
+    return m.select(group, "system", "dynamic", verdict.alias("verdict"))
+
+
+def first_seen(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """Of rows alike in their keys the first by ordinal: an aggregation, so that a frequent key is one row a task."""
+    others = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(ordinal)).alias("r_"))
+    return first.select(*keys, *[F.col("r_")[c].alias(c) for c in others])

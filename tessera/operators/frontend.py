@@ -29,6 +29,14 @@ CALLS = (
     (r"(?i)axios\.(get|post|put|patch|delete|head|options)\s*\(\s*['\"`]([^'\"`]+)['\"`]", 2, 1),
 )
 HOOK = r"\b(use(?:Query|Mutation|InfiniteQuery|SWR))\s*\("
+#: Libraries that are heavy for a client.
+HEAVY = (
+    "monaco-editor", "three", "chart.js", "d3", "xlsx", "pdfjs-dist", "highlight.js", "@codemirror/", "react-ace", "recharts", "echarts", "react-pdf", "react-table", "ag-grid", "react-virtualized", "react-window", "framer-motion",
+    "react-spring", "react-transition-group", "react-beautiful-dnd", "react-dnd", "react-color", "react-datepicker", "react-select", "react-draft-wysiwyg", "leaflet", "mapbox-gl", "react-leaflet", "react-map-gl", "video.js", "plyr",
+    "hls.js", "react-player", "swiper", "react-slick", "react-responsive-carousel",
+)
+#: Files that a framework gives a part in a route.
+PARTS = ("page", "layout", "route", "loading", "error", "not-found", "template", "default")
 #: Largest text that is parsed, and characters that aren't in one.
 LARGEST, CONTROL = 1024 * 1024, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
@@ -170,3 +178,42 @@ def parser_gate(files: DataFrame) -> DataFrame:
     odd = F.abs(F.regexp_count("text", F.lit(r"\{")) - F.regexp_count("text", F.lit(r"\}"))) > 100
     gate = F.when(F.trim(F.regexp_replace(text, r"\s", "")) == "", "blank").when(text.rlike(CONTROL), "control_characters").when(F.length(text) > LARGEST, "too_large").when(odd, "unbalanced").otherwise("ok")
     return files.select("path", gate.alias("gate"))
+
+
+def semantic_findings(files: DataFrame) -> DataFrame:
+    """path, line, rule of lines in files (path, text) that use plain elements for headings and navigation, labels for nothing, and buttons that no key reaches."""
+    rows = _numbered_lines(files.filter(F.col("path").rlike(r"\.[tj]sx$")))
+    text = F.col("text")
+    named = lambda words: text.rlike(rf"class(?:Name)?=[\"'](?:{words})") & text.contains("<div")
+    labels = F.regexp_extract_all("text", F.lit(r"<label\s+([^>]*)>"), F.lit(1))
+    rules = {
+        "A11Y-SEMANTIC-HEADING": named("title|heading|headline|header"), "A11Y-SEMANTIC-NAV": named("nav|navigation|menu"), "A11Y-LABEL-FOR": F.exists(labels, lambda a: ~a.rlike(r"[fF]or\s*=")),
+        "A11Y-ROLE-BUTTON-KEYS": text.rlike(r"<[^>]*role\s*=\s*[\"']button[\"'][^>]*>") & ~text.rlike(r"onKey(Down|Up|Press)\s*="),
+    }
+    fired = F.array_compact(F.array(*[F.when(hit, rule) for rule, hit in rules.items()]))
+    return rows.select("path", "line", F.explode(fired).alias("rule"))
+
+
+def heavy_imports(files: DataFrame) -> DataFrame:
+    """path, library: heavy libraries that client code among files (path, text) imports."""
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"from\s+['\"]([^'\"]+)['\"]"), F.lit(1)))
+    rows = files.filter(component_kind(F.col("text")) == "client").select("path", F.explode(names).alias("name"))
+    hits = F.array_compact(F.array(*[F.when(F.col("name").startswith(h) if h.endswith("/") else (F.col("name") == h) | F.col("name").startswith(h + "/"), h) for h in HEAVY]))
+    return rows.select("path", F.explode(hits).alias("library")).distinct()
+
+
+def route_table(files: DataFrame, route: Column) -> DataFrame:
+    """route, parts, files: which parts (page, layout, ...) the files (path) of each route have."""
+    part = F.regexp_extract("path", r"(?:^|/)(" + "|".join(PARTS) + r")\.[tj]sx?$", 1)
+    rows = files.select(route.alias("route"), part.alias("part")).filter("part <> ''")
+    return rows.groupBy("route").agg(F.array_join(F.array_sort(F.collect_set("part")), ",").alias("parts"), F.count("*").alias("files"))
+
+
+def path_candidates(files: DataFrame) -> DataFrame:
+    """path, symbol, score of files (path) that a question about components or schemas is likely about."""
+    low = F.lower("path")
+    found = F.array_compact(F.array(
+        F.when(F.col("path").rlike(r"(?i)\.(tsx|jsx)$|/components/"), F.struct(F.lit("ComponentFile").alias("symbol"), F.lit(0.6).alias("score"))),
+        F.when(low.rlike(r"\.(prisma|sql)$") | low.contains("/db/migrate/") | low.contains("/migrations/") | low.contains("/db/"), F.struct(F.lit("DbSchema").alias("symbol"), F.lit(0.8).alias("score"))),
+    ))
+    return files.select("path", F.explode(found).alias("c")).select("path", "c.symbol", "c.score")

@@ -325,3 +325,11 @@ def risk_recommendations(fired: DataFrame, rules: DataFrame) -> DataFrame:
     rows = hits.join(rules, "rule").withColumn("urgency", F.when(F.col("priority") == "high", 1).when(F.col("priority") == "medium", 2).otherwise(3))
     top = rows.orderBy(F.desc("reduction"), "rule").limit(5).select(F.col("rule").alias("rule_"), F.lit(True).alias("top"))
     return rows.join(F.broadcast(top), F.col("rule") == F.col("rule_"), "left").select("rule", "title", "priority", "urgency", "files", F.coalesce("top", F.lit(False)).alias("action"))
+
+
+def workspace_verdict(folders: DataFrame, most: int = 5000) -> DataFrame:
+    """folder, verdict of folders (folder, files): a root or one with too many files is no workspace; one inside of a build is a doubtful one."""
+    low = F.lower("folder")
+    root = F.col("folder").rlike(r"^([A-Za-z]:)?[/\\]?$")
+    built = low.rlike(r"(node_modules|dist|build|\.git|target|bin|obj)([/\\]|$)")
+    return folders.select("folder", F.when(root, "root").when(F.col("files") > most, "too_many_files").when(built, "inside_build").otherwise("ok").alias("verdict"))

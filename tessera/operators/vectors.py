@@ -90,3 +90,9 @@ def mmr_rerank(candidates: DataFrame, limit: int = 15, weight: float = 0.3, cap:
         return out
 
     return candidates.groupBy("query_id").applyInPandas(pick, "query_id long, vec_id long, facet string, score double, rank int")
+
+
+def decoded_chunks(rows: DataFrame) -> DataFrame:
+    """Stored rows (id, format, data, scale, symbols) with the vector decoded by its format and the symbols read from their JSON; what is no JSON gives none."""
+    vector = F.when(F.col("format") == "int8", V.dequantize(F.col("data"), F.col("scale"))).otherwise(F.transform("data", lambda x: x.cast("double")))
+    return rows.select("id", vector.alias("embedding"), F.coalesce(F.from_json("symbols", "array<string>"), F.array().cast("array<string>")).alias("symbols"))

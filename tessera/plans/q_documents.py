@@ -206,16 +206,26 @@ def q87(spark, d):
 
 @query(
     "q73_context_quality_gate",
-    """with m as (select conv_id, count(*) as items, count(*) filter (strlen(text) >= 64) as substantive, sum(ceil(length(trim(text)) / 4)) as tokens, count(*) filter (role = 'assistant') / count(*) as dynamic from conversations group by conv_id)
-        select conv_id, items, substantive, tokens::bigint as tokens, round(dynamic, 6) as dynamic, case when substantive = 0 then 'INSUFFICIENT_CONTEXT' when tokens < 32 then 'TOO_FEW_TOKENS' when dynamic < 0.15 then 'LOW_DYNAMIC_RATIO' else 'ok' end as verdict from m""",
+    """with m as (select conv_id, coalesce(sum(ceil(length(trim(text)) / 4)) filter (role = 'assistant'), 0)::bigint as system, coalesce(sum(ceil(length(trim(text)) / 4)) filter (role <> 'assistant'), 0)::bigint as dynamic, bool_or(contains(text, '% similar') or contains(text, 'confidence') or contains(text, 'embedding')) as shown from conversations group by conv_id)
+        select conv_id, system, dynamic, case when shown then case when dynamic < 10 then 'TOO_FEW_TOKENS' else 'ok' end when dynamic < 32 then 'TOO_FEW_TOKENS' when dynamic / (system + dynamic) < 0.15 then 'LOW_DYNAMIC_RATIO' else 'ok' end as verdict from m""",
 )
 def q73(spark, d):
-    m = table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.count("*").alias("items"), F.count_if(F.octet_length("text") >= 64).alias("substantive"),
-        F.sum(F.ceil(F.length(F.trim("text")) / 4)).alias("tokens"), (F.count_if(F.col("role") == "assistant") / F.count("*")).alias("dynamic"),
-    )
-    verdict = F.when(F.col("substantive") == 0, "INSUFFICIENT_CONTEXT").when(F.col("tokens") < 32, "TOO_FEW_TOKENS").when(F.col("dynamic") < 0.15, "LOW_DYNAMIC_RATIO").otherwise("ok")
-    return m.withColumn("verdict", verdict).withColumn("dynamic", F.round("dynamic", 6))
+    """The assistant's part is taken for the instructions."""
+    return O.context_verdicts(table(spark, d, "conversations"), "conv_id", "assistant")
+
+
+@query(
+    "q190_symbol_words",
+    f"with w as (select doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z_]+')) as word from documents) select word, count(*) as n, count(distinct doc_id) as documents, count(distinct source) as sources from w where length(word) >= 3 and lower(word) not in ({', '.join(repr(x) for x in O.STOP_WORDS)}) and not starts_with(word, '_') and not (length(word) < 4 and upper(word) = word) group by word order by n desc, word limit 30",
+)
+def q190(spark, d):
+    return O.word_frequencies(docs(spark, d), 30, stop=O.STOP_WORDS, pattern="[A-Za-z_]+", lower=False)
+
+
+@query("q191_first_seen", "with r as (select event_id, user_id, event_type, value, row_number() over (partition by user_id, event_type order by event_id) as k from events) select event_id, user_id, event_type, value from r where k = 1")
+def q191(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    return O.first_seen(e, ["user_id", "event_type"], "event_id")
 
 
 _SECTIONS = (("overview", "the"), ("security", "hash"), ("licence", "licensed"), ("table", " | "))

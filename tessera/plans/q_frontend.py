@@ -156,3 +156,42 @@ def q11(spark, d):
     """The definitions of anchors that the chosen chunks' symbols hold."""
     chosen, chunks = _chunks(spark, d)
     return G.enforce_anchors(chosen, chunks, chunks.filter("id % 7 = 0").select(F.col("name").alias("anchor")).distinct())
+
+
+_DIV = lambda words: f"""regexp_matches(text, 'class(?:Name)?=["''](?:{words})') and contains(text, '<div')"""
+_SEMANTIC = {
+    "A11Y-SEMANTIC-HEADING": _DIV("title|heading|headline|header"), "A11Y-SEMANTIC-NAV": _DIV("nav|navigation|menu"), "A11Y-LABEL-FOR": r"len(list_filter(regexp_extract_all(text, '<label\s+([^>]*)>', 1), lambda a: not regexp_matches(a, '[fF]or\s*='))) > 0",
+    "A11Y-ROLE-BUTTON-KEYS": r"""regexp_matches(text, '<[^>]*role\s*=\s*["'']button["''][^>]*>') and not regexp_matches(text, 'onKey(Down|Up|Press)\s*=')""",
+}
+
+
+@query("q192_semantic_findings", f"with {_LINES} " + " union all ".join(f"select path, line, '{rule}' as rule from l where {cond}" for rule, cond in _SEMANTIC.items()))
+def q192(spark, d):
+    return O.semantic_findings(files(spark, d))
+
+
+@query("q193_heavy_imports", f"with {_C}, i as (select distinct path, unnest(regexp_extract_all(text, 'from\\s+[''\"]([^''\"]+)[''\"]', 1)) as name from c where {_USE}) select distinct path, h as library from i, (select unnest([{', '.join(repr(h) for h in O.HEAVY)}]) as h) w where name = h or starts_with(name, case when ends_with(h, '/') then h else h || '/' end)")
+def q193(spark, d):
+    return O.heavy_imports(files(spark, d))
+
+
+_ROUTED = "select p_partkey as id, 'app/' || case p_partkey % 4 when 0 then '' when 1 then 'users/' when 2 then 'cart/' else 'docs/' end || 's' || cast(p_size % 9 as string) || case p_partkey % 3 when 0 then '/page.tsx' when 1 then '/route.ts' else '/util.ts' end as path from part"
+
+
+@query("q194_route_table", f"with f as ({_ROUTED}), r as (select regexp_extract(path, '^app(/.*)/[^/]*$', 1) as route, regexp_extract(path, '(?:^|/)({'|'.join(O.PARTS)})\\.[tj]sx?$', 1) as part from f) select route, string_agg(distinct part, ',' order by part) as parts, count(*) as files from r where part <> '' group by route")
+def q194(spark, d):
+    from tessera.functions.text import route_path
+
+    return O.route_table(C.relation(spark, d, _ROUTED).filter("not path like '%util%'"), route_path(F.col("path")))
+
+
+@query("q195_path_candidates", f"with f as ({C.FILES}) select path, 'ComponentFile' as symbol, 0.6::double as score from f where regexp_matches(path, '(?i)\\.(tsx|jsx)$|/components/') union all select path, 'DbSchema', 0.8::double from f where regexp_matches(lower(path), '\\.(prisma|sql)$') or contains(lower(path), '/db/')")
+def q195(spark, d):
+    return O.path_candidates(C.relation(spark, d, C.FILES))
+
+
+@query("q196_returned_symbols", f"with s as ({C.SYMBOLS}), r as (select id, regexp_extract_all(body, '\\breturn\\s+([A-Za-z_$][\\w$]*)', 1) as x from s where body is not null) select id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i)[1:5], ',') as returned from r")
+def q196(spark, d):
+    from tessera.operators.detectors import returned_symbols
+
+    return C.relation(spark, d, C.SYMBOLS).filter("body is not null").select("id", F.array_join(returned_symbols(F.col("body")), ",").alias("returned"))

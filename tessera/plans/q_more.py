@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import detectors as D
 from tessera.operators import frontend as A
 from tessera.plans.registry import query
 from tessera.plans.tables import table
@@ -28,16 +29,30 @@ def q106(spark, d):
     return first.agg(F.count("*").alias("checked"), F.count_if(F.size(e) != 64).alias("wrong_size"), F.count_if(F.exists(e, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).alias("not_finite"))
 
 
-@query(
-    "q107_regression_check",
-    "with m as (select event_type, avg(value) filter (event_id % 2 = 0) as base, avg(value) filter (event_id % 2 = 1) as now from events group by event_type) select event_type, round(now / base, 6) as ratio, now / base > 1.2 as regressed from m",
-)
+_RUNS = "select user_id % 7 as project, case when event_id % 2 = 0 then 'baseline' else 'optimised' end as configuration, value as time, 1 + event_id % 5 as compression, 10 + event_id % 3 as quality, (event_type = 'error')::int as errors from events"
+
+
+def _runs(spark, d):
+    e, c = table(spark, d, "events"), F.col
+    kind = F.when(c("event_id") % 2 == 0, "baseline").otherwise("optimised")
+    return e.select((c("user_id") % 7).alias("project"), kind.alias("configuration"), c("value").alias("time"), (c("event_id") % 5 + 1).alias("compression"), (c("event_id") % 3 + 10).alias("quality"), (c("event_type") == "error").cast("int").alias("errors"))
+
+
+_MEAN = lambda c, v: f"avg({v}) filter (configuration = '{c}')"
+_CHANGE = lambda v: f"({_MEAN('optimised', v)} - {_MEAN('baseline', v)}) / {_MEAN('baseline', v)}"
+
+
+@query("q201_compare_configurations", f"with r as ({_RUNS}) select project, round(-({_CHANGE('time')}), 6) as time_reduction, round({_CHANGE('compression')}, 6) as compression_gain, round({_CHANGE('quality')}, 6) as quality_gain from r group by project")
+def q201(spark, d):
+    return D.compare_configurations(_runs(spark, d), "project")
+
+
+@query("q107_regression_check", f"with r as ({_RUNS}), m as (select project, {', '.join(f'{_MEAN(c, v)} as {c[0]}_{v}' for c in ('baseline', 'optimised') for v in ('time', 'compression', 'errors'))} from r group by project) select project, array_to_string(list_filter([case when (o_time - b_time) / b_time > 0.02 then 'time' end, case when (b_compression - o_compression) / b_compression > 0.02 then 'compression' end, case when o_errors > b_errors * 1.02::double then 'errors' end], lambda x: x is not null), ',') as issues from m")
 def q107(spark, d):
-    """Half of the measurements against the other half, with a tolerance of a fifth."""
-    part = lambda k: F.avg(F.when(F.col("event_id") % 2 == k, F.col("value")))
-    m = table(spark, d, "events").groupBy("event_type").agg(part(0).alias("base"), part(1).alias("now"))
-    ratio = F.col("now") / F.col("base")
-    return m.select("event_type", F.round(ratio, 6).alias("ratio"), (ratio > 1.2).alias("regressed"))
+    """One half of the measurements against the other, with a tolerance of two per cent."""
+    r = _runs(spark, d)
+    mean = lambda c: r.filter(F.col("configuration") == c).groupBy("project").agg(*[F.avg(v).alias(v) for v in ("time", "compression", "errors")])
+    return D.regressions(mean("optimised"), mean("baseline"), "project", 0.02)
 
 
 @query("q109_embedding_time", "select source, count(*) as files, case when avg(n_chars) < 1024 then 1000 when avg(n_chars) <= 10240 then 500 else 200 end as per_minute, ceil(count(*) / (case when avg(n_chars) < 1024 then 1000 when avg(n_chars) <= 10240 then 500 else 200 end) * 60)::bigint as seconds from documents group by source")

@@ -238,3 +238,27 @@ def q150(spark, d):
 
     fired = page_findings(table(spark, d, "pages")).select(F.col("page_id").alias("file"), "rule")
     return O.risk_recommendations(fired, values(spark, _RULES, "rule, title, priority, reduction"))
+
+
+@query("q197_workspace_verdicts", f"with {_F}, g as (select {_FOLDER} as folder, count(*) as files from f group by 1 union all select '/', 3 union all select 'C:', 3) select folder, case when regexp_matches(folder, '^([A-Za-z]:)?[/\\\\]?$') then 'root' when files > 150 then 'too_many_files' when regexp_matches(lower(folder), '(node_modules|dist|build|\\.git|target|bin|obj)([/\\\\]|$)') then 'inside_build' else 'ok' end as verdict from g")
+def q197(spark, d):
+    g = files(spark, d).groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("files"))
+    return O.workspace_verdict(g.unionByName(values(spark, "('/', 3L), ('C:', 3L)", "folder, files")), 150)
+
+
+_TWO = " ".join(f"when '.{k}' then '{v}'" for k, v in X.DISCOVERED.items())
+_THREE = " ".join(f"when '.{k}' then '{v}'" for k, v in X.LANGUAGES.items())
+_KINDS = "select p_partkey as id, 'src/a.' || case p_partkey % 13 when 0 then 'ts' when 1 then 'mjs' when 2 then 'h' when 3 then 'yaml' when 4 then 'htm' when 5 then 'kts' when 6 then 'zsh' when 7 then 'lua' when 8 then 'C' when 9 then 'md' when 10 then 'hxx' when 11 then 'py' else 'txt' end as path from part"
+
+
+@query("q198_two_language_maps", f"with f as ({_KINDS}) select id, coalesce(case lower({_EXT}) {_TWO} end, 'unknown') as discovered, coalesce(case lower({_EXT}) {_THREE} end, 'text') as marked from f")
+def q198(spark, d):
+    f = C.relation(spark, d, _KINDS)
+    return f.select("id", X.language(F.col("path"), "unknown", X.DISCOVERED).alias("discovered"), X.language(F.col("path")).alias("marked"))
+
+
+@query("q199_rendered_rows", "select p_partkey as id, '<tr><td>' || replace(replace(p_name, '&', '&amp;'), '<', '&lt;') || '</td><td>' || p_size || '</td></tr>' as html, 'p_name=' || p_name || ' p_size=' || p_size as line from part")
+def q199(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    two = p.select("p_name", "p_size")
+    return p.select(F.col("p_partkey").alias("id"), X.html_row(two).alias("html"), X.compact_row(two).alias("line"))

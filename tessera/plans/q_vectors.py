@@ -127,3 +127,12 @@ def q22(spark, d):
     return table(spark, d, "embeddings").agg(F.count_if(e.isNull() | (F.size(e) <= 0)).alias("invalid"), F.count_if(F.exists(e, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).alias("not_finite"))
 
 
+@query(
+    "q200_decoded_chunks",
+    f"""{_QUANTIZED}, r as (select vec_id as id, case when vec_id % 2 = 0 then list_transform(data, lambda x: x::double * scale) else list_transform(embedding, lambda x: x::double) end as e from z) select id, round(list_sum(e), 5) + 0.0::double as total, len(e)::int as dims, case when id % 5 = 0 then 0 else 2 end as symbols from r""",
+)
+def q200(spark, d):
+    z = _quantized(spark, d)
+    stored = z.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, "int8").otherwise("float32").alias("format"), F.when(F.col("vec_id") % 2 == 0, F.col("data").cast("array<float>")).otherwise(F.col("embedding").cast("array<float>")).alias("data"), "scale", F.when(F.col("vec_id") % 5 == 0, "no json").otherwise('["a", "b"]').alias("symbols"))
+    out = O.decoded_chunks(stored)
+    return out.select("id", (F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5) + F.lit(0.0)).alias("total"), F.size("embedding").alias("dims"), F.size("symbols").alias("symbols"))

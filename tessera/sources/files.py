@@ -7,11 +7,16 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Languages of file extensions.
+#: Languages of file extensions, as a discovery reports them, and as chunks are marked.
+DISCOVERED = {
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "cpp": "cpp", "c": "cpp", "h": "cpp",
+    "hpp": "cpp", "cc": "cpp", "cxx": "cpp", "md": "markdown", "json": "json", "html": "html", "htm": "html", "yaml": "json", "yml": "json",
+}
 LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "java": "java", "go": "go", "rs": "rust",
-    "cpp": "cpp", "c": "c", "h": "c", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "shell", "sql": "sql",
-    "html": "html", "css": "css", "scss": "scss", "json": "json", "yaml": "yaml", "yml": "yaml", "md": "markdown", "xml": "xml", "toml": "toml",
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "py": "python", "go": "go", "rs": "rust", "java": "java",
+    "c": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "h": "c", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "cs": "csharp", "php": "php", "rb": "ruby", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala",
+    "sh": "bash", "bash": "bash", "zsh": "bash", "ex": "elixir", "exs": "elixir", "hs": "haskell", "lhs": "haskell", "lua": "lua", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "xml": "xml",
+    "html": "html", "css": "css", "sql": "sql",
 }
 
 
@@ -19,8 +24,8 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
-def language(path: Column, otherwise: str = "text") -> Column:
-    table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+def language(path: Column, otherwise: str = "text", languages: dict[str, str] | None = None) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in (languages or LANGUAGES).items() for x in kv])
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit(otherwise))
 
 
@@ -76,3 +81,28 @@ def write_markdown(df: DataFrame, path: str, title: str, mode: str = "errorifexi
     """A row as a line of a Markdown list, below a title in each part."""
     line = F.concat(F.lit("- "), F.concat_ws(", ", *[F.concat(F.lit(f"**{c}**: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns]))
     df.select(line.alias("value")).write.mode(mode).option("lineSep", "\n").text(path)
+
+
+def write_xml(df: DataFrame, path: str, row: str = "row", mode: str = "errorifexists") -> None:
+    df.write.mode(mode).format("xml").option("rowTag", row).option("rootTag", f"{row}s").save(path)
+
+
+def escaped(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def html_row(df: DataFrame) -> Column:
+    """A row as a row of an HTML table."""
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in df.columns], F.lit("</tr>"))
+
+
+def compact_row(df: DataFrame) -> Column:
+    """A row as ``name=value`` parts."""
+    return F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in df.columns])
+
+
+def write_lines(df: DataFrame, line: Column, path: str, mode: str = "errorifexists") -> None:
+    """One line of text for each row: ``html_row``, ``compact_row`` or another."""
+    df.select(line.alias("value")).write.mode(mode).text(path)
