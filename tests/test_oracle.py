@@ -2,6 +2,9 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -44,8 +47,30 @@ def test_rows_only(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
-def test_entry_works_without_the_training_data_operators(spark):
-    import __spark_entry__ as e
+def test_entry_works_without_the_training_data_operators(tmp_path):
+    """In a copy without their folders the entry imports, lists the other queries and runs."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    gone = shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", "*.pyc")
+    shutil.copytree(root, tmp_path / "repo", ignore=gone)
+    code = (
+        "import sys; import __spark_entry__ as e; from pyspark.sql import SparkSession\n"
+        "assert not any(m.startswith('tessera.llm') for m in sys.modules)\n"
+        "assert not [n for n in e.queries() if n == 'pipeline' or n.startswith('op')] and set(e.oracle_sql()) <= set(e.queries())\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print(len(e.queries()), e.entry(spark).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    n, rows = map(int, done.stdout.split()[-2:])
+    assert n == len(QUERIES) and rows > 0
 
-    assert e.entry(spark).count() > 0
-    assert set(e.oracle_sql()) <= set(e.queries())
+
+def test_import_errors_inside_the_operators_are_not_hidden(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "*.pyc"))
+    (tmp_path / "repo" / "tessera" / "llm").mkdir()
+    (tmp_path / "repo" / "tessera" / "llm" / "queries.py").write_text("import no_such_module\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, timeout=100)
+    assert done.returncode and "no_such_module" in done.stderr
