@@ -360,19 +360,22 @@ def raw_by_join(texts: DataFrame, ratios: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * len(found), pa.binary()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["text_key", "chunk", "times"])
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int64(), pa.float64(), pa.string(), pa.int32())
+        kinds = (pa.binary(), pa.int64(), pa.float64(), pa.string(), pa.int32())
         for b in batches:
-            rows = [(c, n, unit_weight(u), *part) for c in b.column(0).to_pylist() for n, u in enumerate(units_of(c)) for part in parts_of(u)]
+            rows = [(key, n, unit_weight(u), *part) for key, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n, u in enumerate(units_of(c)) for part in parts_of(u)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk", "n", "weight", "unit", "skip"])
-
-    pairs = materialise(texts.mapInArrow(chunks, "text_key binary, chunk string, times long").distinct(), "toxicity-chunks")
-    units = pairs.select("chunk").distinct().mapInArrow(spelt, "chunk string, n long, weight double, unit string, skip int")
-    grams = units.select("chunk", "n", "weight", F.explode(_grams(F.col("unit"), F.col("skip"))).alias("gram"))
-    ratio = few_join(grams, ratios, "gram", F.col("chunk"), "left").groupBy("chunk", "n", "weight").agg(F.sum(F.coalesce(F.col("ratio").cast("double"), F.lit(0.0))).alias("ratio"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "n", "weight", "unit", "skip"])
+
+    # Chunks can be long: they are known by 16 bytes, and spelt once.
+    found = texts.mapInArrow(chunks, "text_key binary, chunk string, times long").withColumn("key", F.unhex(F.md5("chunk")))
+    found = materialise(found.dropDuplicates(["text_key", "key"]), "toxicity-chunks")
+    pairs = found.select("text_key", "key", "times")
+    units = found.select("key", "chunk").dropDuplicates(["key"]).mapInArrow(spelt, "key binary, n long, weight double, unit string, skip int")
+    grams = units.select("key", "n", "weight", F.explode(_grams(F.col("unit"), F.col("skip"))).alias("gram"))
+    ratio = few_join(grams, ratios, "gram", F.col("key"), "left").groupBy("key", "n", "weight").agg(F.sum(F.coalesce(F.col("ratio").cast("double"), F.lit(0.0))).alias("ratio"))
     value = F.log1p(EXPRESSIONS * F.expm1(F.least(F.col("ratio"), F.lit(600.0))))
-    values = materialise(ratio.groupBy("chunk").agg(F.sum(value * F.col("weight")).alias("value"), F.sum("weight").alias("weight")), "toxicity-values")
-    sums = few_join(pairs, values, "chunk", F.col("text_key")).groupBy("text_key").agg(F.sum(F.col("times") * F.col("value")).alias("a"), F.sum(F.col("times") * F.col("weight")).alias("b"))
+    values = materialise(ratio.groupBy("key").agg(F.sum(value * F.col("weight")).alias("value"), F.sum("weight").alias("weight")), "toxicity-values")
+    sums = few_join(pairs, values, "key", F.col("text_key")).groupBy("text_key").agg(F.sum(F.col("times") * F.col("value")).alias("a"), F.sum(F.col("times") * F.col("weight")).alias("b"))
     return sums.select("text_key", (SCALE * F.col("a") / F.col("b")).alias("raw"))
 
 
