@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import GOLDEN, few_join, materialise, mix64, shingle_hashes, ship_package, shuffle_partitions, slices, word_hashes
+from tessera.llm.common import BROADCAST_ROWS, GOLDEN, few_join, materialise, mix64, shingle_hashes, ship_package, shuffle_partitions, slices, word_hashes
 
 WIDTH, SIMILARITY, RUNS = 5, 0.8, 8
 #: Sets of a bucket up to which it is compared without splitting it further.
@@ -130,8 +130,11 @@ def chosen_again(big: DataFrame, sets: DataFrame, docs: DataFrame, width: int, s
     Twice as many tokens are chosen as on the first levels, so that the chance
     of a pair to part does not grow with the depth.
     """
-    own = big.groupBy("key").agg(F.collect_list("bucket").alias("nodes")).join(sets.select("key", "one"), "key")
-    texts = docs.select(F.col("doc_id").alias("one"), "text").join(own, "one").select("key", "text", "nodes")
+    own = big.groupBy("key").agg(F.collect_list("bucket").alias("nodes"))
+    own = materialise(sets.select("key", "one").join(own, "key"), "deep-sets")
+    # A bucket's number is 8 bytes, a set's key 16: with few of them the texts stay where they are.
+    few = own.agg(F.coalesce(F.sum(F.size("nodes")), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").alias("one"), "text").join(F.broadcast(own) if few else own, "one").select("key", "text", "nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
