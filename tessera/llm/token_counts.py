@@ -60,7 +60,7 @@ class _Segments(dict):
         if got is None:
             got = self.counter._count_pieces(segment)
         if len(segment) <= 64:
-            if len(self) >= 4 * CACHE_ENTRIES:
+            if len(self) >= 8 * CACHE_ENTRIES:
                 self.old = dict(self)
                 self.clear()
             self[segment] = got
@@ -237,11 +237,13 @@ class PrefixCounter:
             out[at] = total
         return out
 
-    def fit(self, text: str | None, budget: int) -> int:
-        """Characters of the longest run of whole segments, and then of characters of the next one, within ``budget`` tokens."""
+    def _counted(self, text: str) -> list[tuple[list[str], list[int], bool]]:
+        """(segments, the tokens of each, whether it is a special string) of the parts of a text."""
+        return [([part], [1], True) if special else (*self._each(part), False) for part, special in self.parts(text)]
+
+    def _fit(self, counted: list[tuple[list[str], list[int], bool]], budget: int) -> int:
         at = total = 0
-        for part, special in self.parts(text or ""):
-            segments, counts = ([part], [1]) if special else self._each(part)
+        for segments, counts, special in counted:
             for k, (segment, n) in enumerate(zip(segments, counts, strict=True)):
                 if total + n > budget:
                     if special:
@@ -255,6 +257,16 @@ class PrefixCounter:
                 at, total = at + len(segment), total + n
         return at
 
+    def fit(self, text: str | None, budget: int) -> int:
+        """Characters of the longest run of whole segments, and then of characters of the next one, within ``budget`` tokens."""
+        return self._fit(self._counted(text or ""), budget)
+
+    def measure(self, text: str | None, budget: int) -> tuple[int, int]:
+        """The tokens of a text, and how many of its characters are within ``budget``, from one pass."""
+        counted = self._counted(text or "")
+        total = sum([sum(counts) for _, counts, _ in counted])
+        return total, len(text or "") if total <= budget else self._fit(counted, budget)
+
 
 def counter(path: str) -> PrefixCounter:
     return worker_cache(f"counter-{path}", lambda: PrefixCounter(path))
@@ -277,10 +289,10 @@ def token_counts(
             texts = batch.column(1).to_pylist()
             size, tokens, fits, prefixes = [], [], [], []
             for t in texts:
-                n = c.count(t)
-                size.append(len(t.encode()) if t else 0)
+                n, within = c.measure(t, limit)
+                size.append(0 if not t else len(t) if t.isascii() else len(t.encode()))
                 tokens.append(n)
-                fits.append(len(t or "") if n <= limit else c.fit(t, limit))
+                fits.append(within)
                 if keep_prefixes:
                     prefixes.append(c.prefix_counts(t))
             arrays = [batch.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int64())]
