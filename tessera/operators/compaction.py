@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import cut
 from tessera.operators.symbols import any_of, likely_local, query_match, task_weights
 
 #: Words before a bracket that are no calls, capitalised words that are no types of their own.
@@ -398,8 +399,12 @@ def related_symbols(starts: DataFrame, symbols: DataFrame, edges: DataFrame) ->
 
 
 def compact(symbols: DataFrame, task: str, query: str, budget: int) -> DataFrame:
-    """The pipeline: what is included (symbols with importance), without duplicates, scored, until the budget is spent."""
-    kept = with_hashes(symbols.filter(included(F.col("importance"))))
+    """The pipeline: what is included (symbols with importance), without duplicates, scored, until the budget is spent.
+
+    The included symbols are written once with their hashes: the search for
+    duplicates reads them four times.
+    """
+    kept = cut(with_hashes(symbols.withColumn("included_", included(F.col("importance"))).filter("included_").drop("included_")))
     once = mark_duplicates(kept).filter("duplicate_of is null")
     scored = score_symbols(once, task, query, [], [])
     # A prefix of a budget is as long as the budget at most: each symbol takes ten tokens or more.

@@ -50,23 +50,23 @@ def query_terms(q: str) -> list[str]:
     return [t for t in q.lower().split() if len(t) > 2]
 
 
-def lexical_score(content: Column, name: Column, q: str, is_symbol: Column) -> Column:
-    """1 for the phrase, 0.3 for each occurrence of a term, 0.5 and 1 for the name, less a penalty for length; 0.2 for symbols."""
-    low, low_name, phrase = F.lower(content), F.lower(name), q.lower()
-    score = F.when(low.contains(phrase), 1.0).otherwise(0.0)
+def lexical_score(low: Column, low_name: Column, length: Column, q: str, is_symbol: Column) -> Column:
+    """1 for the phrase, 0.3 for each occurrence of a term, 0.5 and 1 for the name, less a penalty for length; 0.2 for symbols. Text and name are lower case."""
+    score = F.when(low.contains(q.lower()), 1.0).otherwise(0.0)
     for t in query_terms(q):
         times = (F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)
         score = score + times * 0.3
         score = score + F.when(F.coalesce(low_name.contains(t), F.lit(False)), 0.5).otherwise(0.0) + F.when(F.coalesce(low_name == t, F.lit(False)), 1.0).otherwise(0.0)
-    score = F.greatest(F.lit(0.0), score - F.least(F.length(content) / 1000, F.lit(0.5)))
+    score = F.greatest(F.lit(0.0), score - F.least(length / 1000, F.lit(0.5)))
     return F.when(is_symbol & (score > 0), score + 0.2).otherwise(score)
 
 
 def lexical_search(rows: DataFrame, q: str, k: int = 12) -> DataFrame:
-    """The best k of rows (id, content, name, is_symbol)."""
+    """The best k of rows (id, content, name, is_symbol); texts are lowered once."""
     if not query_terms(q):
         return rows.select("id", F.lit(0.0).alias("score")).limit(0)
-    scored = rows.select("id", F.round(lexical_score(F.col("content"), F.col("name"), q, F.col("is_symbol")), 6).alias("score"))
+    low = rows.select("id", "is_symbol", F.length("content").alias("n_"), F.lower("content").alias("low_"), F.lower("name").alias("name_"))
+    scored = low.select("id", F.round(lexical_score(F.col("low_"), F.col("name_"), F.col("n_"), q, F.col("is_symbol")), 6).alias("score"))
     return scored.filter("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 

@@ -27,13 +27,13 @@ def q67(spark, d):
     return frames(spark, d)
 
 
-_LOGS = "select conv_id as log, text from conversations where turn = 0"
+_LOGS = "select conv_id * 3 as log, text from conversations where turn = 0"
 
 
 @query("q151_fallback_tokens", f"with {_FRAMES}, b as (select log, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda x: length(x) > 2) as w from ({_LOGS}) s where log not in (select log from fr)), o as (select log, list_filter(w, lambda x, i: list_position(w, x) = i)[1:5] as w from b) select log, (unnest(range(0, len(w))))::int as place, unnest(w) as symbol from o")
 def q151(spark, d):
     """First turns of conversations, but for those whose number is that of a log with frames."""
-    logs = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("log"), "text")
+    logs = table(spark, d, "conversations").filter("turn = 0").select((F.col("conv_id") * 3).alias("log"), "text")
     return O.fallback_tokens(logs, frames(spark, d))
 
 

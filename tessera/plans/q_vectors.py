@@ -136,3 +136,9 @@ def q200(spark, d):
     stored = z.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, "int8").otherwise("float32").alias("format"), F.when(F.col("vec_id") % 2 == 0, F.col("data").cast("array<float>")).otherwise(F.col("embedding").cast("array<float>")).alias("data"), "scale", F.when(F.col("vec_id") % 5 == 0, "no json").otherwise('["a", "b"]').alias("symbols"))
     out = O.decoded_chunks(stored)
     return out.select("id", (F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5) + F.lit(0.0)).alias("total"), F.size("embedding").alias("dims"), F.size("symbols").alias("symbols"))
+
+
+@query("q202_quantisation_savings")
+def q202(spark, d):
+    """JSON of floats is written differently by every engine: rows only."""
+    return O.quantisation_savings(table(spark, d, "embeddings"), "label")

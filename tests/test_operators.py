@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,21 @@ def test_mmr_takes_every_query(spark):
     d = "/root/testdata/sf0.01"
     ids = {r[0] for r in spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 50 = 0").select("vec_id").collect()}
     assert len(ids) > 1 and {r.query_id for r in q_vectors.q13(spark, d).collect()} == ids
+
+
+def test_batch_search_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(150, 8)).round(1)
+    rows = [(k, base[k % 120].tolist()) for k in range(300)] + [(400, None), (401, [1.0] * 7), (402, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    monkeypatch.setattr(VO, "QUERIES_AT_ONCE", 3)
+    monkeypatch.setattr(VO, "VECTORS_AT_ONCE", 40)
+    got = sorted(tuple(r) for r in VO.batch_top_similar(df, q, 4).select("query_id", "rank", "vec_id").collect())
+    pairs = df.crossJoin(q).filter("vec_id <> query_id and q is not null").select("query_id", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("s")).collect()
+    expected = []
+    for i in {r.query_id for r in pairs}:
+        best = sorted((r for r in pairs if r.query_id == i), key=lambda r: (-(r.s if r.s is not None else -9), r.vec_id))[:4]
+        expected += [(i, n + 1, r.vec_id) for n, r in enumerate(best)]
+    assert got == sorted(expected)
+    assert VO.batch_top_similar(df, q.filter("false"), 4).count() == 0
