@@ -5,9 +5,9 @@ set chooses those of its tokens whose hash, keyed by the node, is below
 ``1 / (similarity * size)``: the same for all sets, so that similar sets
 choose a common token with probability over one half, and each chosen token
 leads to a child node.  Buckets of bounded size are compared by brute force;
-larger ones are split again and again, up to ``DEPTH`` levels, unless most of a
-bucket stays together in its children (then it is a group of near copies, and
-splitting it is useless).  A pair at the threshold shares one node of a run on
+larger ones are split once more, and what is still over ``DEEP`` sets again and
+again, up to ``DEPTH`` levels, unless most of a bucket stays together in its
+children (then it is a group of near copies, and splitting it is useless).  A pair at the threshold shares one node of a run on
 average, so that ``runs`` = 8 independent runs miss it with a chance of exp(-8),
 0.03 %, of exp(-5), 0.7 %, if every bucket they share is split once more, and
 of at most exp(-4.4), 1.2 %, if all are split to the last level; more similar pairs are missed less.
@@ -45,8 +45,8 @@ from tessera.llm.common import BROADCAST_ROWS, GOLDEN, few_join, materialise, mi
 WIDTH, SIMILARITY, RUNS = 5, 0.8, 8
 #: Sets of a bucket up to which it is compared without splitting it further.
 LIMIT = 256
-#: Levels that a bucket is split on; what is larger than ``LIMIT`` after them is compared as it is.
-DEPTH = 8
+#: Sets of a bucket beyond which it is split on deeper levels than the first two, and how many of those there are; what is larger after them is compared as it is.
+DEEP, DEPTH = 4096, 8
 #: Sets, and shingles, for which a bucket gets one more block.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 
@@ -150,7 +150,7 @@ def chosen_again(big: DataFrame, sets: DataFrame, docs: DataFrame, width: int, s
     return texts.mapInArrow(run, "parent long, bucket long, key binary").distinct()
 
 
-def buckets(sets: DataFrame, docs: DataFrame, limit: int, width: int, similarity: float) -> DataFrame:
+def buckets(sets: DataFrame, docs: DataFrame, limit: int, width: int, similarity: float, deep: int) -> DataFrame:
     """bucket, key, m (number of sets), of every bucket with two sets or more that is to be compared.
 
     Only the sets of large buckets are looked at again, with their children;
@@ -163,7 +163,7 @@ def buckets(sets: DataFrame, docs: DataFrame, limit: int, width: int, similarity
     rows = few_join(one, large.select("bucket"), "bucket", F.col("key"), "left_anti").join(sized, "bucket")
     rows = materialise(rows.unionByName(few_join(one, large, "bucket", F.col("key"))), "buckets")
     done, big = [rows.filter(F.col("m") <= limit)], rows.filter(F.col("m") > limit)
-    for depth in range(DEPTH):
+    for depth in range(1 + DEPTH):
         if big.isEmpty():
             break
         if depth == 0:
@@ -175,8 +175,8 @@ def buckets(sets: DataFrame, docs: DataFrame, limit: int, width: int, similarity
         children = materialise(children, "children")
         whole, parts = split(big, children, materialise(_sized(children, "parent"), "children-sizes"))
         parts = materialise(parts, "buckets")
-        done += [whole, parts.filter(F.col("m") <= limit)]
-        big = parts.filter(F.col("m") > limit)
+        done += [whole, parts.filter(F.col("m") <= deep)]
+        big = parts.filter(F.col("m") > deep)
     rows = materialise(reduce(DataFrame.unionByName, [x.select("bucket", "key", "m", "who") for x in [*done, big]]), "buckets")
     # Buckets of the same sets are compared once.
     small, large = rows.filter(F.col("m") <= limit), rows.filter(F.col("m") > limit)
@@ -365,12 +365,12 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, runs: int = RUNS, limit: int = LIMIT) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, runs: int = RUNS, limit: int = LIMIT, deep: int = DEEP) -> DataFrame:
     """doc_id, class_id, n_links of every document."""
     ship_package(docs.sparkSession)
     each = materialise(set_table(docs, width, runs, similarity), "sets")
     sets = materialise(each.groupBy("key").agg(F.first("n").alias("n"), F.first("paths").alias("paths"), F.min("doc_id").alias("one"), F.count_distinct("doc_id").alias("copies")), "distinct-sets")
-    homes = materialise(merged_buckets(materialise(buckets(sets, docs, limit, width, similarity), "buckets"), limit), "homes")
+    homes = materialise(merged_buckets(materialise(buckets(sets, docs, limit, width, similarity, deep), "buckets"), limit), "homes")
     found = materialise(compare(sets, homes, docs, width, similarity), "links")
     edges = found.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))
     edges = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")

@@ -700,7 +700,7 @@ def test_jaccard_join_equals_brute_force(spark, limit, monkeypatch):
     rows = list(enumerate(rows))
     rng.shuffle(rows)
     df = spark.createDataFrame([*rows, (None, "no id")], "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("n", F.lit(2)).withColumn("bucket", F.lit(0))
-    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(df, limit=limit).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(df, limit=limit, deep=limit).collect()}
     assert got.pop(None) == (None, 0)
     expected = brute_links(rows)
     wrong = [i for i in expected if got[i] != expected[i]]
