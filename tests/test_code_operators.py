@@ -289,3 +289,33 @@ def test_stale_loop(spark, tmp_path):
         q.awaitTermination(1)
     q.stop()
     assert found[0] == {"a": "stale", "c": "missing"}
+
+
+def sent_to_python(df):
+    """Bytes that the plan of a collected ``df`` has sent to Python."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+        own = node.metrics().get("pythonDataSent")
+        return (own.get().value() if own.isDefined() else 0) + sum(walk(x) for x in inner)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_snippets_of_many_places_send_each_file_once(spark):
+    text = "\n".join(f"const v{i} = () => {{\n  go({i})\n}}" for i in range(2000))
+    files = spark.createDataFrame([("a", text), ("b", None), ("c", "one\ntwo"), ("c", "three"), ("d", "x")], "path string, text string")
+    wanted = [(i, "a", i % 1500 * 4 - 2) for i in range(3000)] + [(3000, "b", 4), (3001, "c", 2), (3002, "c", 9), (3003, "none", 1)]
+    df = sources_text.snippets(spark.createDataFrame(wanted, "id long, path string, line int"), files)
+    got = sorted(tuple(r) for r in df.collect())
+    expected, every = [], files.collect()
+    for i, path, line in wanted:
+        for p, t in every:
+            if p == path:
+                lines = (t or "").split("\n")
+                at = min(max(0, line - 1), len(lines) - 1)
+                a, b = sources_text.snippet(lines, at, at)
+                expected.append((i, a + 1, b + 1, "\n".join(lines[a : b + 1])))
+    assert got == sorted(expected)
+    assert 0 < sent_to_python(df) < 3 * len(text)
