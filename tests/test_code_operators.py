@@ -319,3 +319,18 @@ def test_snippets_of_many_places_send_each_file_once(spark):
                 expected.append((i, a + 1, b + 1, "\n".join(lines[a : b + 1])))
     assert got == sorted(expected)
     assert 0 < sent_to_python(df) < 3 * len(text)
+
+
+def test_users_of_a_common_store_are_spread_over_tasks(spark):
+    """One name with three stores and 40 000 users: all pairs, in more than one task."""
+    text = F.when(F.col("id") < 3, "const bag = create(() => 1)").when(F.col("id") == 3, "a bag").otherwise("use(bag)")
+    files = spark.range(40_004).select(F.concat(F.lit("f"), "id").alias("path"), text.alias("text")).union(spark.createDataFrame([("g", "const sack = create(() => use(bag))")], "path string, text string"))
+    users = frontend.store_users(frontend.stores(files), files)
+    by_task = users.groupBy(F.spark_partition_id().alias("task"), "name", "store").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths")).collect()
+    total = {}
+    for r in by_task:
+        assert r.n == r.paths
+        total[r.name, r.store] = total.get((r.name, r.store), 0) + r.n
+    assert total == {("bag", f"f{k}"): 40_001 for k in range(3)}
+    tasks = {r.task for r in users.select(F.spark_partition_id().alias("task")).distinct().collect()}
+    assert len(tasks) > 1
