@@ -592,6 +592,48 @@ def test_chat_turns_sort_as_numbers(spark):
     assert [r.turn for r in sorted(chat_format.chat_format(df).collect(), key=lambda r: r.order_key)] == turns
 
 
+def test_chat_query_checks_calls_by_what_conversations_declare(spark, tmp_path):
+    """Every status comes out of the query itself, which has no table of schemas."""
+    from tessera.llm.queries import op7_chat_format
+
+    add = {"name": "add", "parameters": {"type": "object", "properties": {"x": {"type": "integer"}, "y": {"type": ["string", "null"]}, "z": True}, "required": ["x"]}}
+    tools = [{"type": "function", "function": add}, {"name": "open", "inputSchema": {"properties": {}, "additionalProperties": True}}, {"name": "now"}, "broken"]
+    arguments = [
+        ("add", {"x": 1}, "ok"), ("add", '{"x":1,"y":null,"z":[2]}', "ok"), ("add", {"x": "1"}, "invalid_arguments"), ("add", {"x": 1, "y": 2}, "invalid_arguments"), ("add", {}, "invalid_arguments"),
+        ("add", {"x": 1, "q": 1}, "invalid_arguments"), ("open", {"q": 1}, "ok"), ("now", {}, "ok"), ("now", {"q": 1}, "invalid_arguments"), ("other", {}, "unknown_tool"),
+    ]
+    call = lambda i, name, a: json.dumps({"tool_calls": [{"id": i, "name": name, "arguments": a}]})
+    # The first declaration of add is replaced by the next one.
+    rows = [(1, 0, "system", json.dumps({"tools": [add | {"parameters": {}}]})), (1, 1, "system", json.dumps({"tools": tools}))]
+    expected = {(1, 0): "ok", (1, 1): "ok"}
+    for n, (name, a, status) in enumerate(arguments):
+        rows += [(1, 10 + n, "assistant", call(f"c{n}", name, a)), (1, 100 - n, "tool", json.dumps({"tool_call_id": f"c{n}", "content": "r"}))]
+        expected |= {(1, 10 + n): status, (1, 100 - n): "ok"}
+    # Nothing declared (a user's text declares nothing): links, names and the form of arguments are still checked.
+    rows += [(2, 0, "user", json.dumps({"tools": []})), (2, 1, "assistant", call("a", "f", {"x": 1})), (2, 2, "assistant", call("b", "f", {})), (2, 3, "assistant", call("c", "f", "x")), (2, 4, "assistant", call("d", "f", [1]))]
+    rows += [(2, 5, "assistant", call("e", None, {})), *[(2, 10 + n, "tool", json.dumps({"tool_call_id": i, "content": "r"})) for n, i in enumerate("acdez")]]
+    expected |= {(2, 0): "ok", (2, 1): "ok", (2, 2): "unanswered", (2, 3): "invalid_arguments", (2, 4): "invalid_arguments", (2, 5): "unknown_tool"} | {(2, 10 + n): "unlinked" if n == 4 else "ok" for n in range(5)}
+    # No tools at all are declared.
+    rows += [(3, 0, "developer", json.dumps({"tools": []})), (3, 1, "assistant", call("a", "add", {"x": 1}))]
+    expected |= {(3, 0): "ok", (3, 1): "unknown_tool"}
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = op7_chat_format(spark, str(tmp_path))
+    got = out.collect()
+    assert len(got) == len(rows) and {(r.conv_id, r.turn): r.status for r in got} == expected
+    assert [r.turn for r in sorted(got, key=lambda r: (r.conv_id, r.order_key)) if r.conv_id == 2] == [0, 1, 10, 2, 3, 11, 4, 12, 5, 13, 14]
+    assert json.loads(next(r.json for r in got if (r.conv_id, r.turn) == (1, 1)))["content"] == rows[1][3]
+    assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_chat_checks_long_conversations_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "BLOCK", 3)
+    rows = [(c, 0, "system", json.dumps({"tools": [{"name": "f", "parameters": {"properties": {"x": {"type": "integer"}}}}]})) for c in (1, 2)]
+    rows += [(c, 1 + n, "assistant", json.dumps({"tool_calls": [{"id": f"{n}", "name": "f" if n % 3 else "g", "arguments": {"x": n if n % 2 else "?"}}]})) for c in (1, 2) for n in range(50 if c == 1 else 2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.status for r in chat_format.chat_format(df).collect()}
+    assert got == {(c, t): "ok" if t == 0 else "unknown_tool" if (t - 1) % 3 == 0 else "unanswered" if (t - 1) % 2 else "invalid_arguments" for c, t, _, _ in rows}
+
+
 # 8 pages
 
 
