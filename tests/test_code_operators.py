@@ -342,3 +342,19 @@ def test_similar_symbols_pair_by_pair(spark):
     df = spark.createDataFrame(rows, "id long, kind string, name string, signature string, content_hash string, signature_hash string")
     got = sorted(tuple(r) for r in compaction.similar_symbols(df.filter("id = 0"), df).collect())
     assert got == [(0, 1, 1.0), (0, 1, 1.0), (0, 2, 0.9), (0, 3, 0.92), (0, 5, 1.0)]
+
+
+def test_words_of_many_files_are_not_broadcast(spark):
+    """Files whose texts are made of a few bytes: Spark takes their words for small, but they are over 5 MB and may not go to the driver."""
+    keys = ("spark.sql.maxBroadcastTableSize", "spark.sql.autoBroadcastJoinThreshold")
+    words = F.concat(*[F.concat(F.lit(f" w{k}_"), F.col("id") % 7) for k in range(20)])
+    files = spark.range(10_000).select(F.concat(F.lit("f"), "id").alias("path"), F.concat(F.when(F.col("id") % 100 == 0, "const bag = create(() => 1)").otherwise("use(bag)"), words).alias("text"))
+    for key, most in zip(keys, ("5m", "10m")):
+        spark.conf.set(key, most)
+    try:
+        users = frontend.store_users(frontend.stores(files), files)
+        got = users.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("path", "store").alias("pairs")).collect()
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert [tuple(r) for r in got] == [("bag", 9_900 * 100, 9_900 * 100)]
